@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skysurvey.llm.bpe_codec import encode_decode
 from skysurvey.llm.common import table
+from skysurvey.llm.langid import language_id
+from skysurvey.llm.media import media_columns
 from skysurvey.llm.token_count import token_counts
 
 
@@ -17,9 +19,19 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
 
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op8_bpe_codec": op8_bpe_codec,
+    "op9_media_columns": op9_media_columns,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL: dict[str, str] = {}
