@@ -8,6 +8,7 @@ from skysurvey.llm.bpe_codec import encode_decode
 from skysurvey.llm.common import table
 from skysurvey.llm.langid import language_id
 from skysurvey.llm.media import media_columns
+from skysurvey.llm.packing import pack_documents
 from skysurvey.llm.token_count import token_counts
 
 
@@ -15,6 +16,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
@@ -29,6 +34,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op6_mixture_packing": op6_mixture_packing,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_media_columns": op9_media_columns,
     "op10_language_id": op10_language_id,
