@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -28,3 +32,18 @@ def build_session(app: str = "skysurvey", master: str | None = None, shuffle_par
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read through Spark so that any file system works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable by the executors' Python workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_skysurvey_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="skysurvey-")) / "skysurvey.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*")):
+            if path.is_file() and "__pycache__" not in path.parts:
+                out.write(path, path.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._skysurvey_shipped = True
