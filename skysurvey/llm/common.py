@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skysurvey.session import ship
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables, read through Spark's own readers."""
@@ -48,6 +50,7 @@ def map_columns(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Re
             if batch.num_rows:
                 yield fn(batch)
 
+    ship(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

@@ -41,6 +41,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from skysurvey.llm.bpe import Merger, default_path
 from skysurvey.llm.chunks import ChunkEncoder, LibraryLearner
 from skysurvey.llm.common import written
+from skysurvey.session import ship
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH = 2048
@@ -177,6 +178,7 @@ def tokenized(docs: DataFrame, path: str, end: int, key: str, text: str, source:
                 ["key", "source", "tokens", "ids", "part", "before"],
             )
 
+    ship(docs.sparkSession)
     return written(slim.mapInArrow(run, f"key {kind}, source string, tokens bigint, ids binary, part int, before bigint"), "packing-tokens")
 
 
