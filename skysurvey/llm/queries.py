@@ -9,6 +9,7 @@ from skysurvey.llm.common import table
 from skysurvey.llm.langid import language_id
 from skysurvey.llm.media import media_columns
 from skysurvey.llm.packing import pack_documents
+from skysurvey.llm.suffix_dedup import suffix_dedup
 from skysurvey.llm.token_count import token_counts
 
 
@@ -20,6 +21,10 @@ def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_decode(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op6_mixture_packing": op6_mixture_packing,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe_codec": op8_bpe_codec,
     "op9_media_columns": op9_media_columns,
     "op10_language_id": op10_language_id,
