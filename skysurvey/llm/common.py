@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from skysurvey.session import ship
 
@@ -62,3 +62,24 @@ def text_input(df: DataFrame, *keys: str, text: str = "text") -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """The cluster's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """docs with a column _doc: the key, or an order number by (null last, key, text's hash) where keys repeat or are null.
+
+    Rows that repeat both key and text have the same number. Also whether _doc is the key.
+    """
+    base = docs.withColumn("_doc", F.col(key).cast("bigint"))
+    found = base.groupBy("_doc").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.col("_doc").isNull()).alias("null")).first()
+    if (found["most"] or 0) <= 1 and not found["null"]:
+        return base, True
+    base = docs.withColumn("_null", F.col(key).isNull()).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
+    ids = base.select("_null", F.col(key).alias("_key"), "_hash").distinct()
+    ids = ids.repartitionByRange(partitions(docs.sparkSession), "_null", "_key", "_hash").withColumn("_part", F.spark_partition_id())
+    ids = written(ids, "suffix-order")
+    counts = ids.groupBy("_part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
+    own = F.row_number().over(Window.partitionBy("_part").orderBy("_null", "_key", "_hash"))
+    numbers = ids.withColumn("_own", own).join(before, "_part").select("_null", "_key", "_hash", (F.col("_own") + F.col("_before")).alias("_doc"))
+    match = (base["_hash"] == numbers["_hash"]) & base[key].eqNullSafe(numbers["_key"])
+    return base.join(numbers.select("_key", "_hash", "_doc"), match).select(*[base[c] for c in docs.columns], "_doc"), False

@@ -8,6 +8,7 @@ from skysurvey.llm.bpe_codec import encode_decode
 from skysurvey.llm.common import table
 from skysurvey.llm.langid import language_id
 from skysurvey.llm.media import media_columns
+from skysurvey.llm.ngram_join import ngram_join
 from skysurvey.llm.packing import pack_documents
 from skysurvey.llm.suffix_dedup import suffix_dedup
 from skysurvey.llm.token_count import token_counts
@@ -17,6 +18,10 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -39,6 +44,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op6_mixture_packing": op6_mixture_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe_codec": op8_bpe_codec,

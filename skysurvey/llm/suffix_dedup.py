@@ -39,9 +39,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from skysurvey.llm.common import partitions, written
+from skysurvey.llm.common import numbered, partitions, written
 from skysurvey.session import ship
 
 THRESHOLD = 100
@@ -355,24 +355,6 @@ def repeated_windows(spans: DataFrame, buckets: int, threshold: int) -> DataFram
     return near.unionByName(far)
 
 
-def _numbered(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, row's own columns) where doc is the key, or an order number where keys repeat or are null."""
-    base = docs.withColumn("_doc", F.col(key).cast("bigint"))
-    found = base.groupBy("_doc").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"), F.max(F.col("_doc").isNull()).alias("null")).first()
-    if (found["most"] or 0) <= 1 and not found["null"]:
-        return base
-    base = docs.withColumn("_null", F.col(key).isNull()).withColumn("_hash", F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))))
-    ids = base.select("_null", F.col(key).alias("_key"), "_hash").distinct()
-    ids = ids.repartitionByRange(partitions(docs.sparkSession), "_null", "_key", "_hash").withColumn("_part", F.spark_partition_id())
-    ids = written(ids, "suffix-order")
-    counts = ids.groupBy("_part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    own = F.row_number().over(Window.partitionBy("_part").orderBy("_null", "_key", "_hash"))
-    numbers = ids.withColumn("_own", own).join(before, "_part").select("_null", "_key", "_hash", (F.col("_own") + F.col("_before")).alias("_doc"))
-    match = (base["_hash"] == numbers["_hash"]) & base[key].eqNullSafe(numbers["_key"])
-    return base.join(numbers.select("_key", "_hash", "_doc"), match).select(*[base[c] for c in docs.columns], "_doc")
-
-
 def _kept(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     """(bytes outside the ranges, number of bytes in them, number of maximal ranges)."""
     parts, gone, spans, at = [], 0, 0, -1
@@ -399,7 +381,7 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT, key: str = "doc_id", text: str
     spark = docs.sparkSession
     ship(spark)
     others = [c for c in docs.columns if c not in (key, text)] if full else []
-    base = _numbered(docs.select(key, text, *others), key, text)
+    base, _ = numbered(docs.select(key, text, *others), key, text)
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
     rest = [F.col(c).alias(f"c{i + 1}") for i, c in enumerate(others)]
     base = base.select(F.col(key).alias("c0"), *rest, F.col("_doc").alias("doc"), data.alias("text"))
