@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skysurvey.llm.bpe_codec import encode_decode
 from skysurvey.llm.common import table
+from skysurvey.llm.fingerprint import fingerprints
 from skysurvey.llm.langid import language_id
 from skysurvey.llm.media import media_columns
 from skysurvey.llm.ngram_join import ngram_join
@@ -22,6 +23,10 @@ def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op5_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op6_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
@@ -45,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op4_ngram_jaccard": op4_ngram_jaccard,
+    "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_mixture_packing": op6_mixture_packing,
     "op7_suffix_dedup": op7_suffix_dedup,
     "op8_bpe_codec": op8_bpe_codec,
