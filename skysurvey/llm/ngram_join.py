@@ -91,21 +91,21 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, start) of the lower-cased words of data."""
-    space = _SPACE[data]
+def word_hashes(data: np.ndarray, separators: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, start, end) of the words of data, lower-cased; separators: by byte, whether it ends a word."""
+    space = separators[data]
     edge = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
     start, end = np.nonzero(edge == -1)[0], np.nonzero(edge == 1)[0]
     terms = _LOWERED[data]
     terms *= _powers(_BASE, len(data))
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
     found = (total[end] - total[start]) * _powers(_INVERSE, len(data) + 1)[start]
-    return _mix(found + (end - start).astype(np.uint64), 0), start
+    return _mix(found + (end - start).astype(np.uint64), 0), start, end
 
 
 def _sets(texts: list[bytes]) -> Iterator[np.ndarray]:
     data = np.frombuffer(b" ".join(texts), np.uint8)
-    hashes, starts = word_hashes(data)
+    hashes, starts, _ = word_hashes(data)
     bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
     cut = np.searchsorted(starts, bounds)
     whole = hashes[: max(len(hashes) - WORDS + 1, 0)].copy()

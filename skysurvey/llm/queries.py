@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from skysurvey.llm.bpe_codec import encode_decode
 from skysurvey.llm.common import table
 from skysurvey.llm.fingerprint import fingerprints
+from skysurvey.llm.html_extract import extract_pages
 from skysurvey.llm.langid import language_id
+from skysurvey.llm.license_scan import license_scan
 from skysurvey.llm.media import media_columns
 from skysurvey.llm.ngram_join import ngram_join
 from skysurvey.llm.packing import pack_documents
@@ -19,6 +21,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), limit=512)
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
@@ -49,6 +59,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_html_extraction": op2_html_extraction,
+    "op3_license_scan": op3_license_scan,
     "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_syncmer_fingerprints": op5_syncmer_fingerprints,
     "op6_mixture_packing": op6_mixture_packing,
