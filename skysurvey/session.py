@@ -47,3 +47,10 @@ def ship(spark: SparkSession) -> None:
                 out.write(path, path.relative_to(root.parent))
     context.addPyFile(str(archive))
     context._skysurvey_shipped = True
+
+
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Bound what a Python worker holds of long texts, unless the session has its own batch size."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(setting) == "10000":
+        spark.conf.set(setting, str(rows))
