@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from skysurvey.session import ship
+from skysurvey.session import ship, small_batches
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # not glibc
+    _LIBC = None
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +50,32 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def trim() -> None:
+    """Give memory that is free in this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def prepare(spark: SparkSession) -> None:
+    """What the operators that run Python need on a session."""
+    ship(spark)
+    small_batches(spark)
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in parts whose binary column holds about size bytes."""
+    if not batch.num_rows:
+        return
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < batch.num_rows:
+        before = total[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(total, before + size, "right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def map_columns(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
     """fn over every Arrow batch of df."""
 
@@ -49,8 +83,9 @@ def map_columns(df: DataFrame, schema: str, fn: Callable[[pa.RecordBatch], pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield fn(batch)
+                trim()
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

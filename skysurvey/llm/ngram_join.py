@@ -45,9 +45,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from skysurvey.llm.common import numbered, partitions, written
+from skysurvey.llm.common import numbered, partitions, prepare, slices, trim, written
 from skysurvey.llm.components import connected_components
-from skysurvey.session import ship
 
 WORDS = 5
 PERCENT = 75
@@ -199,7 +198,7 @@ def matrix_blocks(texts: DataFrame, buckets: int, hot: int, half: bool) -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = -1 - TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             entries, rows = _track(list(shingle_sets(batch.column(1).to_pylist())), docs, half)
             out = [(own, 0, rows.tobytes())]
@@ -217,6 +216,8 @@ def matrix_blocks(texts: DataFrame, buckets: int, hot: int, half: bool) -> DataF
                 entries = np.concatenate([entries[~many], tokens])
             out += [(k, 2, b) for k, b in _cut((entries["gram"] % np.uint64(buckets)).astype(np.int64), entries)]
             yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.binary())], ["bucket", "kind", "data"])
+            del out, entries, rows
+            trim()
 
     return texts.mapInArrow(run, "bucket bigint, kind int, data binary")
 
@@ -316,7 +317,7 @@ def _sizes_fit(n: str, m: str):
 def similar_classes(texts: DataFrame, hot: int = HOT, half: bool = True) -> DataFrame:
     """(doc, n, component) of rows (doc, text as bytes); doc is unique up to repeated rows."""
     spark = texts.sparkSession
-    ship(spark)
+    prepare(spark)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * partitions(spark), -(-size // BUCKET_BYTES))
     rows = written(bounded_rows(shared_columns(matrix_blocks(texts, buckets, hot, half), buckets)), "ngram-rows")

@@ -40,8 +40,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from skysurvey.llm.bpe import Merger, default_path
 from skysurvey.llm.chunks import ChunkEncoder, LibraryLearner
-from skysurvey.llm.common import written
-from skysurvey.session import ship
+from skysurvey.llm.common import prepare, trim, written
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH = 2048
@@ -177,8 +176,10 @@ def tokenized(docs: DataFrame, path: str, end: int, key: str, text: str, source:
                 [batch.column(0), batch.column(1), pa.array(sizes + 1, pa.int64()), pa.array(blobs, pa.binary()), pa.array([part] * len(blobs), pa.int32()), pa.array(before, pa.int64())],
                 ["key", "source", "tokens", "ids", "part", "before"],
             )
+            del ids, blobs
+            trim()
 
-    ship(docs.sparkSession)
+    prepare(docs.sparkSession)
     return written(slim.mapInArrow(run, f"key {kind}, source string, tokens bigint, ids binary, part int, before bigint"), "packing-tokens")
 
 

@@ -41,8 +41,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skysurvey.llm.common import numbered, partitions, written
-from skysurvey.session import ship
+from skysurvey.llm.common import numbered, partitions, prepare, slices, trim, written
 
 THRESHOLD = 100
 GRAM = 32
@@ -220,7 +219,7 @@ def run_blocks(texts: DataFrame, buckets: int, threshold: int, hot: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1)):
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             name, span, row, start, size, several = text_runs(batch.column(1).to_pylist(), threshold)
             runs = np.zeros(len(name), _RUN)
@@ -253,6 +252,8 @@ def run_blocks(texts: DataFrame, buckets: int, threshold: int, hot: int) -> Data
                     keys.append(int(bucket[a]))
                     blocks.append(firsts[a:b].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "runs"])
+            del firsts, repeats, blocks
+            trim()
 
     return texts.mapInArrow(run, "bucket bigint, runs binary")
 
@@ -379,7 +380,7 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT, key: str = "doc_id", text: str
     """
     threshold = THRESHOLD
     spark = docs.sparkSession
-    ship(spark)
+    prepare(spark)
     others = [c for c in docs.columns if c not in (key, text)] if full else []
     base, _ = numbered(docs.select(key, text, *others), key, text)
     data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
@@ -411,7 +412,7 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT, key: str = "doc_id", text: str
     schema = ", ".join([*kinds, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"]) + (", kept string" if full else "")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, len(columns) + 2)):
             out: list[tuple] = []
             for done, row, lows, highs in zip(batch.column("whole").to_pylist(), batch.column("text").to_pylist(), batch.column("lows").to_pylist(), batch.column("highs").to_pylist()):
                 if done is not None:
@@ -421,5 +422,7 @@ def suffix_dedup(docs: DataFrame, hot: int = HOT, key: str = "doc_id", text: str
                 out.append((gone, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if full else None))
             made = [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), batch.column("n_bytes"), *made[: 4 if full else 3]], names)
+            del out, made
+            trim()
 
     return rows.mapInArrow(finish, schema).toDF(key, *others, *names[len(columns) :])
