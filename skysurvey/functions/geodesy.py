@@ -288,9 +288,8 @@ def resolution(zoom: Column) -> Column:
 
 
 def zoom_for_pixel(size: Column, last: int = 32) -> Column:
-    """The deepest zoom whose pixels are not smaller than the size."""
-    level = F.ceil(F.log2(_RESOLUTION / size)).cast("int") - 1
-    return F.greatest(F.lit(0), F.least(F.lit(last - 1), F.when(resolution(level + 1) >= size, level + 1).otherwise(level)))
+    """The deepest zoom whose pixels are not smaller than the size, -1 if none."""
+    return F.least(F.lit(last - 2), F.greatest(F.lit(-1), F.floor(F.log2(_RESOLUTION / size)).cast("int")))
 
 
 def max_zoom(pixel: Column) -> Column:

@@ -49,27 +49,27 @@ def reflectance(radiance_: Column, irradiance: Column) -> Column:
 
 def irradiance(thermal: Column, stored: Column, scale: Column, spectral: Column, sun_angle: Column, sun_altitude: Column) -> Column:
     """1 for thermal bands; the stored value; the light sensor's estimate; else 1."""
-    direct = spectral / fresnel(sun_angle) / (DIRECT_RATIO + F.cos(sun_angle))
-    estimate = direct * (DIRECT_RATIO * F.sin(sun_altitude) + 1)
+    direct = spectral / fresnel(sun_angle) / (1 / DIRECT_RATIO + F.cos(sun_angle))
+    estimate = F.when(spectral != 0, direct * F.sin(sun_altitude) + direct / DIRECT_RATIO)
     return F.when(thermal, 1.0).otherwise(F.coalesce(stored * F.coalesce(scale, F.lit(1.0)), estimate, F.lit(1.0)))
 
 
 def _interface(phi: Column, n1: float, n2: float) -> Column:
-    """Transmission of unpolarised light from one medium into the next."""
+    """Transmission of unpolarised light from one medium into the next, 0 outside [0, 1]."""
     root = F.sqrt(1 - (n1 / n2 * F.sin(phi)) * (n1 / n2 * F.sin(phi)))
     s = (n1 * F.cos(phi) - n2 * root) / (n1 * F.cos(phi) + n2 * root)
     p = (n1 * root - n2 * F.cos(phi)) / (n1 * root + n2 * F.cos(phi))
-    return 1 - (s * s + p * p) / 2
+    value = 1 - (s * s + p * p) / 2
+    return F.when((value >= 0) & (value <= 1), value).otherwise(0.0)
 
 
 def fresnel(phi: Column) -> Column:
-    """Transmission through the layers, 0 outside [0, 1]; each refraction divides by the first index only."""
-    total = F.lit(1.0)
-    angle = phi
+    """Transmission through the layers; each refraction divides by the first index only."""
+    total, angle = F.lit(1.0), phi
     for n1, n2 in zip(FRESNEL_LAYERS, FRESNEL_LAYERS[1:]):
-        total = total * _interface(angle, n1, n2)
         angle = F.asin(F.sin(angle) / n1)
-    return F.when((total >= 0) & (total <= 1), total).otherwise(0.0)
+        total = total * _interface(angle, n1, n2)
+    return total
 
 
 def ned(azimuth: Column, altitude: Column) -> Column:
@@ -107,11 +107,11 @@ def solar_position(epoch_s: Column, lon: Column, lat: Column) -> Column:
 #: Defaults of the thermal model.
 THERMAL = {"emissivity": 1.0, "distance": 1.0, "reflected": 20.0, "air": 20.0, "window": 20.0, "transmission": 1.0, "humidity": 50.0, "r1": 21106.77, "b": 1501.0, "f": 1.0, "o": -7340.0, "r2": 0.012545258}
 #: The fixed set of one vendor's payload.
-M2EA = {**THERMAL, "emissivity": 0.95, "distance": 25.0, "reflected": 23.0, "r1": 16556.0, "b": 1428.0, "f": 1.0, "o": -342.0, "r2": 0.0104}
+M2EA = {**THERMAL, "emissivity": 0.95, "distance": 50.0, "reflected": 30.0, "humidity": 40.0}
 
 
 def planck_celsius(raw: Column, p: dict[str, float]) -> Column:
-    """Degrees Celsius of raw radiometric values; an error if a logarithm's argument is not positive."""
+    """Degrees Celsius of raw radiometric values; an error if a logarithm's argument is negative."""
     ata = (0.006569, 0.01262, -0.002276, -0.00667, 1.9)
     wet = p["humidity"] / 100 * math.exp(1.5587 + 0.06939 * p["air"] - 0.00027816 * p["air"] ** 2 + 0.00000068455 * p["air"] ** 3)
     half = math.sqrt(p["distance"] / 2)
@@ -129,7 +129,7 @@ def planck_celsius(raw: Column, p: dict[str, float]) -> Column:
     ]
     object_ = raw / e / tau / t / tau - sum(parts)
     inner = p["r1"] / (p["r2"] * (object_ + p["o"])) + p["f"]
-    ok = F.assert_true(inner > 0, F.lit("thermal model: the logarithm's argument is not positive"))
+    ok = F.assert_true(inner >= 0, F.lit("thermal model: the logarithm's argument is negative"))
     return F.when(ok.isNull(), p["b"] / F.log(inner) - 273.15)
 
 
@@ -247,21 +247,36 @@ def image_scale_factor(gsd_: Column, target: Column) -> Column:
     return F.when((gsd_ > 0) & (target > 0), F.pow(F.lit(2.0), F.ceil(F.log2(want)))).otherwise(1.0)
 
 
-def capped_resolution(wanted: Column, gsd_: Column, ignore: bool = False, scale: float = 1.0) -> Column:
+def image_max_size(width: Column, height: Column, factor: Column) -> Column:
+    """Pixels of the longest side at a scale factor."""
+    return F.ceil(F.greatest(width, height) * factor).cast("int")
+
+
+def capped_resolution(wanted: Column, gsd_: Column, error: float = 0.1, scale: float = 1.0, ignore_gsd: bool = False, ignore_wanted: bool = False) -> Column:
     """Not finer than the ground resolution allows."""
-    return wanted if ignore else F.coalesce(F.greatest(wanted, gsd_ * scale), wanted)
+    if ignore_gsd:
+        return wanted
+    limit = gsd_ * (1 - error) * scale
+    return F.coalesce(limit if ignore_wanted else F.greatest(limit, wanted), wanted)
 
 
-#: Share of the largest side by quality.
-DEPTHMAP_SCALE = {"ultra": 1.0, "high": 0.5, "medium": 0.25, "low": 0.125, "lowest": 0.0675}
+#: Share of the largest side by quality, for depth maps and for features.
+DEPTHMAP_SCALE = {"ultra": 0.5, "high": 0.25, "medium": 0.125, "low": 0.0675, "lowest": 0.03375}
 FEATURE_SCALE = {"ultra": 1.0, "high": 0.5, "medium": 0.25, "low": 0.125, "lowest": 0.0675}
 
 
-def depthmap_resolution(side: Column, quality: str) -> Column:
-    """Pixels of the depth maps, 320 at least for small photos."""
-    factor = DEPTHMAP_SCALE[quality]
-    base = F.when(side < 2000, side * factor).otherwise(2000 * 1.0 * factor + (side - 2000) * factor / 2)
-    return F.greatest(F.lit(320), base.cast("int"))
+def depthmap_resolution(width: Column, height: Column, quality: str) -> Column:
+    """Pixels of the depth maps' longest side; 640 without a size."""
+    megapixels = width * height / 1e6
+    factor = F.when(megapixels < 6, 2.0).when(megapixels > 42, 0.5).otherwise(1.0) * DEPTHMAP_SCALE[quality]
+    return F.coalesce(F.greatest(F.lit(320), (F.greatest(width, height) * factor).cast("int")), F.lit(640))
+
+
+def feature_size(width: Column, height: Column, quality: str) -> Column:
+    """Pixels of the longest side for feature extraction, 320 to 4480."""
+    megapixels = width * height / 1e6
+    factor = F.least(F.lit(1.0), F.when(megapixels < 2, 2.0).when(megapixels > 42, 0.5).otherwise(1.0) * FEATURE_SCALE[quality])
+    return F.least(F.lit(4480), F.greatest(F.lit(320), (F.greatest(width, height) * factor).cast("int")))
 
 
 def radius_steps(spacing: Column, count: int, multiplier: float = 1.0) -> Column:
@@ -270,8 +285,8 @@ def radius_steps(spacing: Column, count: int, multiplier: float = 1.0) -> Column
 
 
 def decimation_step(photos: Column, fast: bool = False) -> Column:
-    """X25."""
-    return F.least(F.lit(95), ((4 if fast else 40) * (photos / 1000.0 + 1)).cast("int"))
+    """Every so many points are kept; more for large sets, 95 at most."""
+    return F.lit(4) if fast else F.least(F.lit(95), (F.floor(photos / 1000) + 1).cast("int") * 40)
 
 
 def texture_size(side: Column) -> Column:
@@ -279,10 +294,10 @@ def texture_size(side: Column) -> Column:
     return F.when(side > 8000, 8192 * 3).otherwise(8192)
 
 
-def overlap_diagram(extent: Column) -> Column:
+def overlap_diagram(width: Column, height: Column, pixels: int = 1400, dense: bool = True) -> Column:
     """Resolution and radius of the overlap diagram."""
-    size = F.greatest(F.lit(0.01), extent / 1000.0)
-    return F.struct(size.alias("resolution"), (size * 4).alias("radius"))
+    size = F.greatest(width, height) / float(pixels)
+    return F.struct(size.alias("resolution"), (size * math.sqrt(2) * (1 if dense else 10)).alias("radius"))
 
 
 def hms(seconds: Column) -> Column:
