@@ -79,6 +79,8 @@ def oracle(body: str) -> str:
     used.sort(key=list(SQL).index)
     with_ = ", ".join(f"{n} AS ({SQL[n]})" for n in used)
     body = body.strip()
+    if not used:
+        return body
     if body.upper().startswith("WITH RECURSIVE "):
         return f"WITH RECURSIVE {with_}, {body[15:]}"
     return f"WITH {with_}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {with_} {body}"

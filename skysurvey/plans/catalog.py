@@ -2,31 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from collections.abc import Callable
 
-from skysurvey.session import table
+from pyspark.sql import DataFrame, SparkSession
 
-#: Metres; the side of a surface-model cell.
-CELL = 4.0
+from skysurvey.plans import raster_queries, set_queries, survey_queries
 
+_MODULES = (raster_queries, set_queries, survey_queries)
 
-def dsm_cell_max(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Highest point of every grid cell of the point table."""
-    points = table(spark, sf_dir, "lineitem").select(
-        (F.col("l_partkey") % 200).cast("double").alias("x"),
-        (F.col("l_suppkey") % 200).cast("double").alias("y"),
-        F.col("l_quantity").alias("z"),
-    )
-    cells = points.select(F.floor(F.col("x") / CELL).alias("col"), F.floor(F.col("y") / CELL).alias("row"), "z")
-    return cells.groupBy("col", "row").agg(F.max("z").alias("z_max"), F.count("*").alias("n_points"))
-
-
-QUERIES = {"dsm_cell_max": dsm_cell_max}
-
-ORACLE_SQL = {
-    "dsm_cell_max": """
-        SELECT CAST(floor((l_partkey % 200) / 4.0) AS BIGINT) AS col, CAST(floor((l_suppkey % 200) / 4.0) AS BIGINT) AS row,
-               max(l_quantity) AS z_max, count(*) AS n_points
-        FROM lineitem GROUP BY 1, 2
-    """,
-}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: fn for m in _MODULES for name, fn in m.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
