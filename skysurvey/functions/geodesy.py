@@ -37,14 +37,6 @@ _BETA = (
 )
 
 
-def _asinh(x: Column) -> Column:
-    return F.signum(x) * F.log(F.abs(x) + F.sqrt(x * x + 1))
-
-
-def _atanh(x: Column) -> Column:
-    return F.log((1 + x) / (1 - x)) / 2
-
-
 def utm_zone(lon: Column) -> Column:
     """G1."""
     return (F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1).cast("int")
@@ -64,9 +56,9 @@ def to_utm(lon: Column, lat: Column, zone: Column, south: Column) -> Column:
     """(x, y) in a zone by the Krueger series to the fifth order."""
     phi, lam = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     e = math.sqrt(E2)
-    tau = F.sinh(_atanh(F.sin(phi)) - e * _atanh(e * F.sin(phi)))
+    tau = F.sinh(F.atanh(F.sin(phi)) - e * F.atanh(e * F.sin(phi)))
     xi = F.atan2(tau, F.cos(lam))
-    eta = _asinh(F.sin(lam) / F.sqrt(tau * tau + F.cos(lam) * F.cos(lam)))
+    eta = F.asinh(F.sin(lam) / F.sqrt(tau * tau + F.cos(lam) * F.cos(lam)))
     x, y = eta, xi
     for j, a in enumerate(_ALPHA, 1):
         x = x + a * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
@@ -86,10 +78,10 @@ def from_utm(x: Column, y: Column, zone: Column, south: Column) -> Column:
     lam = F.atan2(F.sinh(v), F.cos(u))
     # The geodetic latitude by four rounds of the fixed-point iteration.
     e = math.sqrt(E2)
-    q = _atanh(conformal)
+    q = F.atanh(conformal)
     phi = F.asin(conformal)
     for _ in range(5):
-        phi = F.asin(F.tanh(q + e * _atanh(e * F.sin(phi))))
+        phi = F.asin(F.tanh(q + e * F.atanh(e * F.sin(phi))))
     return F.struct((F.degrees(lam) + (zone * 6 - 183)).alias("lon"), F.degrees(phi).alias("lat"))
 
 

@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import Column, functions as F
 
+from skysurvey.functions.checks import checked
+
 #: Ratio of direct to diffuse light that the irradiance estimate assumes.
 DIRECT_RATIO = 6.0
 FRESNEL_LAYERS = (1.000277, 1.6, 1.38)
@@ -129,8 +131,7 @@ def planck_celsius(raw: Column, p: dict[str, float]) -> Column:
     ]
     object_ = raw / e / tau / t / tau - sum(parts)
     inner = p["r1"] / (p["r2"] * (object_ + p["o"])) + p["f"]
-    ok = F.assert_true(inner >= 0, F.lit("thermal model: the logarithm's argument is negative"))
-    return F.when(ok.isNull(), p["b"] / F.log(inner) - 273.15)
+    return checked(inner.isNull() | (inner >= 0), p["b"] / F.log(inner) - 273.15, "thermal model: the logarithm's argument is negative")
 
 
 def vendor_celsius(make: Column, model: Column, raw: Column, lowest: Column, params: dict[str, float]) -> Column:

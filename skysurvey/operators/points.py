@@ -106,12 +106,24 @@ def buffered(hull: list[tuple[float, float]], distance: float) -> list[tuple[flo
         n = math.hypot(bx - ax, by - ay)
         nx, ny = (by - ay) / n, -(bx - ax) / n
         lines.append((nx, ny, nx * ax + ny * ay + distance))
+    if distance < 0:
+        ring = [(float(x), float(y)) for x, y in hull]
+        for nx, ny, limit in lines:
+            out = []
+            for (ax, ay), (bx, by) in zip(ring, [*ring[1:], ring[0]] if ring else []):
+                u, v = limit - nx * ax - ny * ay, limit - nx * bx - ny * by
+                if u >= 0:
+                    out.append((ax, ay))
+                if u * v < 0:
+                    out.append((ax + (bx - ax) * u / (u - v), ay + (by - ay) * u / (u - v)))
+            ring = out
+        return ring if len(ring) >= 3 and area(ring) > 0 else []
     ring = []
     for (a, b, c), (d, e, f) in zip([lines[-1], *lines[:-1]], lines):
         det = a * e - b * d
         if abs(det) > 1e-12:
             ring.append(((c * e - b * f) / det, (a * f - c * d) / det))
-    return ring if len(ring) >= 3 and area(ring) > 0 else []
+    return ring
 
 
 def area(ring: Sequence[tuple[float, float]]) -> float:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skysurvey.functions.checks import checked
 from skysurvey.functions.geodesy import Srs, transform
 
 
@@ -139,8 +140,7 @@ def camera_priors(camera: Column, keys: Sequence[str]) -> Column:
 def nvm_lines(images: DataFrame, renamed: DataFrame) -> DataFrame:
     """An NVM file's lines with new image names; an error if one is missing; points are dropped."""
     joined = images.join(renamed, "filename", "left")
-    whole = F.assert_true(F.col("new_name").isNotNull(), F.lit("an image has no new name"))
-    body = joined.select("path", (F.col("place") + 3).alias("line_no"), F.when(whole.isNull(), F.concat_ws(" ", "new_name", "rest")).alias("line"))
+    body = joined.select("path", (F.col("place") + 3).alias("line_no"), checked(F.col("new_name").isNotNull(), F.concat_ws(" ", "new_name", "rest"), "an image has no new name").alias("line"))
     head = images.groupBy("path").agg(F.count("*").alias("n")).select("path", F.explode(F.array(F.struct(F.lit(0).alias("line_no"), F.lit("NVM_V3").alias("line")), F.struct(F.lit(1).alias("line_no"), F.lit("").alias("line")), F.struct(F.lit(2).alias("line_no"), F.col("n").cast("string").alias("line")))).alias("h")).select("path", "h.*")
     return head.unionByName(body)
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from skysurvey.functions.checks import checked
+
 _BOM = "\ufeff"
 
 
@@ -81,11 +83,9 @@ def parse_boundary(files: DataFrame) -> DataFrame:
     doc = files.select("path", F.from_json("text", _GEOJSON).alias("j"))
     features = F.when(F.col("j.type") == "FeatureCollection", F.col("j.features.geometry")).otherwise(F.array(F.col("j.geometry")))
     doc = doc.withColumn("f", features)
-    one = F.assert_true(F.size("f") == 1, F.lit("a boundary has exactly one feature"))
-    kind = F.assert_true(F.get("f", F.lit(0))["type"] == "Polygon", F.lit("a boundary is a polygon"))
     ring = F.get(F.from_json(F.get("f", F.lit(0))["coordinates"], "array<array<array<double>>>"), F.lit(0))
     point = lambda q: F.struct(q[0].alias("x"), q[1].alias("y"), F.get(q, F.lit(2)).alias("z"))
-    return doc.select("path", F.col("j.crs.properties.name").alias("crs"), F.when(one.isNull() & kind.isNull(), F.transform(ring, point)).alias("ring"))
+    return doc.select("path", F.col("j.crs.properties.name").alias("crs"), checked(F.size("f") == 1, checked(F.get("f", F.lit(0))["type"] == "Polygon", F.transform(ring, point), "a boundary is a polygon"), "a boundary has exactly one feature").alias("ring"))
 
 
 _CAMERA = "struct<focal: double, focal_x: double, k1: double, k2: double, width: int, height: int, projection_type: string>"
@@ -108,8 +108,7 @@ def parse_nvm(files: DataFrame) -> DataFrame:
     at = F.row_number().over(_in_order()) - 1
     numbered = body.withColumn("at", at).withColumn("magic", F.first("line").over(_in_order()))
     count = F.max(F.when(F.col("at") == 1, F.col("line").try_cast("int"))).over(_whole())
-    good = F.assert_true(F.col("magic").startswith("NVM_V3"), F.lit("not an NVM_V3 file"))
-    images = numbered.withColumn("n", count).filter((F.col("at") >= 2) & (F.col("at") < F.col("n") + 2) & good.isNull())
+    images = numbered.withColumn("n", checked(F.col("magic").startswith("NVM_V3"), count, "not an NVM_V3 file")).filter((F.col("at") >= 2) & (F.col("at") < F.col("n") + 2))
     return images.select("path", (F.col("at") - 2).alias("place"), F.substring_index("line", " ", 1).alias("filename"), F.expr("substring(line, locate(' ', line) + 1)").alias("rest"))
 
 
@@ -145,14 +144,13 @@ def parse_ply_header(files: DataFrame) -> DataFrame:
     """(path, vertex_count, has_normals, has_views, properties) of PLY headers of at most 100 lines."""
     head = F.slice(F.split("text", r"\r?\n"), 1, 100)
     body = files.withColumn("h", head).withColumn("ends", F.array_position("h", "end_header"))
-    ok = F.assert_true(F.col("ends") > 0, F.lit("the PLY header has more than 100 lines"))
     inside = F.slice("h", F.lit(1), F.greatest(F.col("ends").cast("int"), F.lit(1)))
     names = F.transform(F.filter(inside, lambda x: x.startswith("property")), lambda x: F.substring_index(x, " ", -1))
     vertex = F.filter(inside, lambda x: x.startswith("element vertex"))
     return body.select(
         "path", F.substring_index(F.get(vertex, F.lit(0)), " ", -1).cast("long").alias("vertex_count"),
         F.arrays_overlap(names, F.array(F.lit("nx"), F.lit("normalx"), F.lit("normal_x"))).alias("has_normals"), F.array_contains(names, "views").alias("has_views"),
-        F.when(ok.isNull(), names).alias("properties"),
+        checked(F.col("ends") > 0, names, "the PLY header has more than 100 lines").alias("properties"),
     )
 
 
