@@ -14,13 +14,13 @@ Method:
    size alone). Of the others the e + 1 entries in the rarest columns are kept: under
    one global order of columns, two linked rows must meet in one of these.
 3. Rows with equal sets are one class, represented by the smallest document.
-4. Kept columns with several rows give candidate pairs: each row with the column's
-   smallest row first. Overlaps are counted exactly from the whole rows, pairs whose sizes
-   alone rule out a link are left out, and components are formed.
-5. Columns whose rows are not yet in one component give the remaining pairs across its
-   components, less those that the triangle inequality of the Jaccard distance rules
-   out; they are counted too. So no link between components is lost, and groups of near
-   copies are linked through their smallest row instead of by all pairs.
+4. Rows that share a kept column are candidates. Rows with the same smallest partner lie
+   in the same row blocks (of about ``BLOCK_ROWS`` rows and ``BLOCK_ENTRIES`` entries); blocks
+   that share a kept column are multiplied: overlaps of all their rows are accumulated
+   over slices of common columns, pairs below the bound of their sizes are discarded, and
+   of the links a spanning forest goes on. So a group of near copies costs one row for each
+   pair of blocks, whatever the number of its links, and no link between rows is lost.
+5. Components of the links are formed.
 
 Large rows (over ``BIG_FROM`` entries) only use the half of the columns with a smaller
 hash in steps 1 and 2, which meet the same bound; should a large row have too few
@@ -56,6 +56,10 @@ SMALL_TO, BIG_FROM = 256, 192
 HOT = 1000
 BUCKET_BYTES = 16_000_000
 GROUP = 1 << 19
+#: Rows and entries of a row block, about, and columns of a slice of a product.
+BLOCK_ROWS = 128
+BLOCK_ENTRIES = 131_072
+SLICE = 2048
 
 _RNG = np.random.default_rng(20240608)
 _BYTE = _RNG.integers(1, 2**63, 256).astype(np.uint64)
@@ -289,29 +293,93 @@ def bounded_rows(shared: DataFrame) -> DataFrame:
     return shared.groupBy("group").applyInArrow(group, "doc bigint, n bigint, x bigint, y bigint, short boolean, grams array<bigint>")
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, distance, link) of row pairs, counted from the whole rows."""
-    left, right = sets.select(F.col("doc").alias("a"), F.col("grams").alias("u")), sets.select(F.col("doc").alias("b"), F.col("grams").alias("v"))
+def _slices(sets: list[np.ndarray], common: np.ndarray) -> Iterator[np.ndarray]:
+    """Dense incidence matrices of rows by slices of columns."""
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    flat = np.concatenate(sets)
+    at = np.searchsorted(common, flat)
+    hit = common[np.minimum(at, len(common) - 1)] == flat
+    rows, at = rows[hit], at[hit]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    for low in range(0, len(common), SLICE):
+        a, b = np.searchsorted(at, [low, low + SLICE])
+        part = np.zeros((len(sets), min(SLICE, len(common) - low)), np.float32)
+        part[rows[a:b], at[a:b] - low] = 1
+        yield part
+
+
+def product_links(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
+    """Whether rows of two blocks (or of one block among themselves) link: the blocks' product against the bound."""
+    other = left if right is None else right
+    if right is None:
+        columns, counts = np.unique(np.concatenate(left), return_counts=True)
+        common = columns[counts > 1]
+    else:
+        common = np.intersect1d(np.unique(np.concatenate(left)), np.unique(np.concatenate(right)), assume_unique=True)
+    total = np.zeros((len(left), len(other)), np.float64)
+    if len(common):
+        if right is None:
+            for part in _slices(left, common):
+                total += part @ part.T
+        else:
+            for part, match in zip(_slices(left, common), _slices(right, common)):
+                total += part @ match.T
+    n, m = np.array([len(s) for s in left]), np.array([len(s) for s in other])
+    return (total > 0) & (100 * total >= PERCENT * (n[:, None] + m[None, :] - total))
+
+
+def spanning_edges(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the links connect."""
+    edges: list[tuple[int, int]] = []
+    todo = links.copy()
+    for start in np.nonzero(links.any(axis=1))[0].tolist():
+        if not todo[start].any():
+            continue
+        front = [start]
+        while front:
+            i = front.pop()
+            for j in np.nonzero(todo[i])[0].tolist():
+                edges.append((int(rows[i]), int(columns[j])))
+                more = np.nonzero(todo[:, j])[0]
+                todo[:, j] = False
+                front += [k for k in more.tolist() if k != i]
+                edges += [(int(rows[k]), int(columns[j])) for k in more.tolist() if k != i]
+    return [e for e in edges if e[0] != e[1]]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            both, either = [], []
-            for u, v in zip(batch.column("u"), batch.column("v")):
-                u, v = np.frombuffer(u.as_buffer(), "<u8"), np.frombuffer(v.as_buffer(), "<u8")
-                if len(v) > len(u):
-                    u, v = v, u
-                at = np.searchsorted(u, v)
-                n = int((u[np.minimum(at, len(u) - 1)] == v).sum())
-                both.append(n)
-                either.append(len(u) + len(v) - n)
-            x, y = np.array(both, np.int64), np.array(either, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1 - x / y), pa.array(100 * x >= PERCENT * y)], ["a", "b", "distance", "link"])
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "u", "v").mapInArrow(count, "a bigint, b bigint, distance double, link boolean")
+_ITEMS = "array<struct<doc: bigint, grams: binary>>"
 
 
-def _sizes_fit(n: str, m: str):
-    return F.least(n, m) * 100 >= F.greatest(n, m) * PERCENT
+def _block(items: pa.ListScalar) -> tuple[np.ndarray, list[np.ndarray]]:
+    values = items.values
+    return values.field("doc").to_numpy(), [np.frombuffer(g.as_buffer(), "<u8") for g in values.field("grams")]
+
+
+def block_links(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(a, b) links that span those within blocks and between the given pairs (p, q) of blocks."""
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for items in batch.column(0):
+                docs, sets = _block(items)
+                out += spanning_edges(product_links(sets, None), docs, docs)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+            trim()
+
+    def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for one, two in zip(batch.column(0), batch.column(1)):
+                (docs, sets), (others, more) = _block(one), _block(two)
+                out += spanning_edges(product_links(sets, more), docs, others)
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+            trim()
+
+    own = blocks.filter(F.size("items") > 1).select("items").mapInArrow(inside, "a bigint, b bigint")
+    left, right = blocks.select(F.col("block").alias("p"), F.col("items").alias("u")), blocks.select(F.col("block").alias("q"), F.col("items").alias("v"))
+    return own.union(pairs.join(left, "p").join(right, "q").select("u", "v").mapInArrow(between, "a bigint, b bigint"))
 
 
 def similar_classes(texts: DataFrame, hot: int = HOT, half: bool = True) -> DataFrame:
@@ -326,33 +394,26 @@ def similar_classes(texts: DataFrame, hot: int = HOT, half: bool = True) -> Data
     classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"))
     kept = rows.filter("grams is not null").select("doc", "n", "grams").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
     members = kept.select("doc", "n", F.explode("grams").alias("gram"))
-    columns = members.groupBy("gram").agg(
-        F.min(F.struct("doc", "n")).alias("lead"), F.count("*").alias("k"), F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("sign")
-    ).filter("k > 1")
-    # Columns with the same rows give the same pairs; one of them is enough.
-    columns = columns.groupBy("k", "sign", "lead").agg(F.min("gram").alias("gram"))
-    members = written(members.join(columns, "gram").select("gram", "doc", "n", F.col("lead.doc").alias("lead"), F.col("lead.n").alias("m")), "ngram-members")
-    active = members.select("doc").distinct()
+    columns = members.groupBy("gram").agg(F.min("doc").alias("lead"), F.count("*").alias("k")).filter("k > 1").select("gram", "lead")
+    members = written(members.join(columns, "gram"), "ngram-members")
+    # Row blocks: rows with the same smallest partner, dealt out by hash where there are many.
+    home = members.groupBy("doc", "n").agg(F.min("lead").alias("lead"))
+    parts = home.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ENTRIES)).alias("parts"))
+    home = written(home.join(parts, "lead").select("doc", F.xxhash64("lead", F.pmod(F.xxhash64("doc"), "parts")).alias("block")), "ngram-homes")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1).to_pylist())], pa.binary())], ["doc", "grams"])
-
-    sets = written(texts.join(active, "doc", "left_semi").mapInArrow(whole, "doc bigint, grams binary"), "ngram-sets").dropDuplicates(["doc"])
-    first = members.filter((F.col("doc") != F.col("lead")) & _sizes_fit("n", "m")).select(F.col("lead").alias("a"), F.col("doc").alias("b")).distinct()
-    first = written(overlaps(first, sets), "ngram-pairs")
-    components = connected_components(first.filter("link").select("a", "b"))
-    # Step 5: columns whose rows are in several components.
-    named = members.join(components, members["doc"] == components["node"], "left").select(members["*"], F.coalesce("component", "doc").alias("component"))
-    mixed = named.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("gram")
-    far = first.select(F.col("a").alias("lead"), F.col("b").alias("doc"), "distance")
-    rest = written(named.filter("doc <> lead").join(mixed, "gram").join(far, ["lead", "doc"], "left").select("gram", "doc", "n", "component", "distance"), "ngram-rest")
-    other = rest.select("gram", *(F.col(c).alias(f"{c}2") for c in ("doc", "n", "component", "distance")))
-    near = F.coalesce(F.abs(F.col("distance") - F.col("distance2")) <= 1 - PERCENT / 100 + 1e-9, F.lit(True))
-    second = rest.join(other, "gram").filter((F.col("doc") < F.col("doc2")) & (F.col("component") != F.col("component2")) & _sizes_fit("n", "n2") & near)
-    second = written(overlaps(second.select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct(), sets), "ngram-pairs").filter("link")
-    if not second.isEmpty():
-        components = connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).filter("a <> b").union(second.select("a", "b")))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in shingle_sets(batch.column(2).to_pylist())], pa.binary())], ["block", "doc", "grams"])
+            trim()
+
+    rowsets = texts.join(home, "doc").select("block", "doc", "text").mapInArrow(whole, "block bigint, doc bigint, grams binary")
+    blocks = written(rowsets.groupBy("block").agg(F.collect_set(F.struct("doc", "grams")).alias("items")), "ngram-blocks")
+    # Blocks that share a column; columns with the same blocks give the same pairs, one of them is enough.
+    met = members.join(home, "doc").select("gram", "block").distinct()
+    several = met.groupBy("gram").agg(F.count("*").alias("k"), F.sum(F.xxhash64("block").cast("decimal(38,0)")).alias("sign")).filter("k > 1").groupBy("k", "sign").agg(F.min("gram").alias("gram")).select("gram")
+    met = written(met.join(several, "gram"), "ngram-met")
+    pairs = met.select("gram", F.col("block").alias("p")).join(met.select("gram", F.col("block").alias("q")), "gram").filter("p < q").select("p", "q").distinct()
+    components = connected_components(block_links(pairs, blocks))
     named = classes.join(components, classes["rep"] == components["node"], "left").select("n", "x", "y", F.coalesce("component", "rep").alias("component"))
     return rows.select("doc", "n", "x", "y").join(named, ["n", "x", "y"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
 
