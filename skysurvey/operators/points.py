@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skysurvey.operators.sets import nearest
+from skysurvey.session import checkpointed
 
 
 def in_ring(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
@@ -232,17 +233,6 @@ def components(nodes: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFram
     return labels
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint in the shared folder."""
-    import tempfile
-
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='skysurvey-')}")
-    return df.checkpoint()
-
-
 def cell_clusters(places: DataFrame, distance: float) -> DataFrame:
     """Clusters of grid places that are neighbours within a city-block distance."""
     cell = lambda c: F.floor(F.col(c) / distance)

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from skysurvey.session import checkpointed
+
 #: Order of known bands; others come after, by the text '9' and their index.
 BAND_ORDER = {"RGB": "0", "RED": "1", "R": "1", "GREEN": "2", "G": "2", "BLUE": "3", "B": "3", "NIR": "4", "N": "4", "REDEDGE": "5", "RE": "5", "PANCHRO": "6", "LWIR": "7", "L": "7"}
 
@@ -16,6 +18,19 @@ def band_key(name: Column, index: Column) -> Column:
     return F.coalesce(F.try_element_at(table, F.upper(name)), F.concat(F.lit("9"), index.cast("string")))
 
 
+def ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """df with its place from 1 in a total order, without sorting it in one task.
+
+    Rows are range-partitioned and kept so; a row's place is its place in its partition
+    after the counts of the partitions before it, of which there are few.
+    """
+    parts = checkpointed(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return parts.withColumn("_i", own).join(F.broadcast(before), "_part").withColumn(out, F.col("_i") + F.col("_b")).drop("_part", "_i", "_b")
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key; partial aggregation keeps one row for each key and task."""
     rest = [c for c in df.columns if c not in keys]
@@ -186,7 +201,7 @@ def gcp_quality(gcp: DataFrame) -> DataFrame:
 def numbered_by_first(df: DataFrame, keys: Sequence[str], order: str, out: str) -> DataFrame:
     """Groups numbered from 1 by their first appearance."""
     first = df.groupBy(*keys).agg(F.min(order).alias("_f"))
-    numbers = first.withColumn(out, F.row_number().over(Window.orderBy("_f"))).drop("_f")
+    numbers = ranked(first, ["_f"], out).drop("_f")
     return df.join(numbers, list(keys))
 
 
@@ -199,13 +214,14 @@ def mean_offset(x: Column, y: Column, ground_control: bool = False) -> list[Colu
 def valid_captures(photos: DataFrame, capture: str, expected: int, order: Sequence[str], digits: int = 4) -> DataFrame:
     """Captures with the expected number of photos, numbered in order and padded."""
     groups = photos.groupBy(capture).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_o"))
-    good = groups.filter(F.col("_n") == expected).withColumn("number", F.row_number().over(Window.orderBy("_o"))).select(capture, F.lpad(F.col("number").cast("string"), digits, "0").alias("number"))
+    good = ranked(groups.filter(F.col("_n") == expected), ["_o"], "number").select(capture, F.lpad(F.col("number").cast("string"), digits, "0").alias("number"))
     return photos.join(good, capture, "left").withColumn("valid", F.col("number").isNotNull())
 
 
 def linspace_pick(frames: DataFrame, limit: int, order: str) -> DataFrame:
     """``limit`` of the rows at even steps from the first to the last, by their order."""
-    numbered = frames.withColumn("_i", F.row_number().over(Window.orderBy(order)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    placed = ranked(frames, [order], "_i").withColumn("_i", F.col("_i") - 1)
+    numbered = placed.crossJoin(F.broadcast(placed.agg(F.count("*").alias("_n"))))
     # Row i is picked if it is the truncated place of some step k.
     step = (F.col("_n") - 1) / F.lit(max(limit - 1, 1))
     k = F.ceil(F.col("_i") / step)
