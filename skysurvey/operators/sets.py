@@ -28,7 +28,7 @@ def ranked(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     counts = parts.groupBy("_part").agg(F.count("*").alias("_n"))
     before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
     own = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return parts.withColumn("_i", own).join(F.broadcast(before), "_part").withColumn(out, F.col("_i") + F.col("_b")).drop("_part", "_i", "_b")
+    return parts.withColumn("_own", own).join(F.broadcast(before), "_part").withColumn(out, F.col("_own") + F.col("_b")).drop("_part", "_own", "_b")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
