@@ -28,6 +28,7 @@ STAGE_OF = {
     "smrf_scalar": "dem", "smrf_slope": "dem", "smrf_threshold": "dem", "smrf_window": "dem", "gapfill_steps": "dem", "dem_resolution": "dem", "dem_decimation": "dem",
     "orthophoto_resolution": "orthophoto",
 }
+#: Defaults of ground rectification.
 RECTIFY = {"plan": "median", "threshold": 5.0, "extend_plan": "surrounding", "distance": 5.0, "min_area": 750.0, "min_points": 500}
 
 
