@@ -57,8 +57,8 @@ HOT = 1000
 BUCKET_BYTES = 16_000_000
 GROUP = 1 << 19
 #: Rows and entries of a row block, about, and columns of a slice of a product.
-BLOCK_ROWS = 128
-BLOCK_ENTRIES = 131_072
+BLOCK_ROWS = 512
+BLOCK_ENTRIES = 524_288
 SLICE = 2048
 
 _RNG = np.random.default_rng(20240608)
@@ -359,23 +359,43 @@ def _block(items: pa.ListScalar) -> tuple[np.ndarray, list[np.ndarray]]:
 def block_links(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
     """(a, b) links that span those within blocks and between the given pairs (p, q) of blocks."""
 
-    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for items in batch.column(0):
-                docs, sets = _block(items)
-                out += spanning_edges(product_links(sets, None), docs, docs)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
+    def forest(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        """A task's links as edges to the smallest row of what they connect: no more than the task has rows."""
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        for links, rows, columns in found:
+            for u, v in spanning_edges(links, rows, columns):
+                u, v = root(u), root(v)
+                if u != v:
+                    parent[max(u, v)] = min(u, v)
             trim()
+        edges = [(x, root(x)) for x in parent]
+        edges = [e for e in edges if e[0] != e[1]]
+        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+
+    def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for batch in batches:
+                for items in batch.column(0):
+                    docs, sets = _block(items)
+                    yield product_links(sets, None), docs, docs
+
+        yield from forest(found())
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for one, two in zip(batch.column(0), batch.column(1)):
-                (docs, sets), (others, more) = _block(one), _block(two)
-                out += spanning_edges(product_links(sets, more), docs, others)
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in out], pa.int64()), pa.array([e[1] for e in out], pa.int64())], ["a", "b"])
-            trim()
+        def found():
+            for batch in batches:
+                for one, two in zip(batch.column(0), batch.column(1)):
+                    (docs, sets), (others, more) = _block(one), _block(two)
+                    yield product_links(sets, more), docs, others
+
+        yield from forest(found())
 
     own = blocks.filter(F.size("items") > 1).select("items").mapInArrow(inside, "a bigint, b bigint")
     left, right = blocks.select(F.col("block").alias("p"), F.col("items").alias("u")), blocks.select(F.col("block").alias("q"), F.col("items").alias("v"))
