@@ -426,7 +426,8 @@ def similar_classes(texts: DataFrame, hot: int = HOT, half: bool = True) -> Data
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in shingle_sets(batch.column(2).to_pylist())], pa.binary())], ["block", "doc", "grams"])
             trim()
 
-    rowsets = texts.join(home, "doc").select("block", "doc", "text").mapInArrow(whole, "block bigint, doc bigint, grams binary")
+    # The same plan at every size: the number of rows that take part grows with the data.
+    rowsets = texts.join(home.hint("merge"), "doc").select("block", "doc", "text").mapInArrow(whole, "block bigint, doc bigint, grams binary")
     blocks = written(rowsets.groupBy("block").agg(F.collect_set(F.struct("doc", "grams")).alias("items")), "ngram-blocks")
     # Blocks that share a column; columns with the same blocks give the same pairs, one of them is enough.
     met = members.join(home, "doc").select("gram", "block").distinct()
