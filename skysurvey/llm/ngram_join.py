@@ -408,7 +408,7 @@ def similar_classes(texts: DataFrame, hot: int = HOT, half: bool = True) -> Data
     prepare(spark)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(4 * partitions(spark), -(-size // BUCKET_BYTES))
-    rows = written(bounded_rows(shared_columns(matrix_blocks(texts, buckets, hot, half), buckets)), "ngram-rows")
+    rows = written(bounded_rows(shared_columns(matrix_blocks(texts, buckets, hot, half), max(8, buckets // 8))), "ngram-rows")
     if half and not rows.filter("short").isEmpty():
         return similar_classes(texts, hot, False)
     classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"))
