@@ -322,7 +322,7 @@ def median_partitions(spark, sf_dir):
 @query()
 def grid_clusters(spark, sf_dir):
     """Connected clusters of uncovered grid places; tested against a flood fill."""
-    p = domain(spark, sf_dir, "points").filter("ord % 97 = 0").select("x", "y")
+    p = domain(spark, sf_dir, "points").select("x", "y")
     g = spark.range(51).select((c("id") * 4).cast("double").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(25)))).withColumn("y", (c("y") * 4).cast("double"))
     free = S.range_anti(g, p, 4.0).withColumn("id", (c("x") * 1000 + c("y")).cast("long"))
     return O.cell_clusters(free, 4.0).select("x", "y", "component")
@@ -331,7 +331,7 @@ def grid_clusters(spark, sf_dir):
 @query()
 def extended_ground(spark, sf_dir):
     """Ground synthesised on uncovered grid places, with plane height and mean colour."""
-    p = domain(spark, sf_dir, "points").filter("ord % 97 = 0 AND class = 2")
+    p = domain(spark, sf_dir, "points").filter("class = 2")
     hull = O.convex_hull(p.select("x", "y"))
     free = S.range_anti(O.grid_in_hull(hull, 4.0, p), p.select("x", "y"), 4.0).withColumn("part", F.floor(c("x") / 50))
     ground = p.withColumn("part", F.floor(c("x") / 50))
@@ -343,7 +343,7 @@ def extended_ground(spark, sf_dir):
 @query()
 def ground_classes(spark, sf_dir):
     """Morphological ground classification."""
-    return O.ground_points(domain(spark, sf_dir, "points").filter("ord % 11 = 0"), 8.0, 3, 0.15, 0.5, 1.25).groupBy("class", "ground").agg(F.count("*").alias("n"))
+    return O.ground_points(domain(spark, sf_dir, "points"), 8.0, 3, 0.15, 0.5, 1.25).groupBy("class", "ground").agg(F.count("*").alias("n"))
 
 
 @query("""

@@ -178,6 +178,16 @@ def test_clusters_match_flood_fill(spark):
     assert seen == places
 
 
+def test_queries_without_sql_read_all_points(spark):
+    points = domain(spark, SF, "points")
+    xy = np.array([(r.x, r.y) for r in points.select("x", "y").collect()])
+    free = {(x, y) for x in range(0, 204, 4) for y in range(0, 104, 4) if (np.abs(xy - (x, y)).sum(axis=1) > 4 - 1e-5).all()}
+    assert {(r.x, r.y) for r in RASTER["grid_clusters"](spark, SF).collect()} == free
+    assert sum(r.n for r in RASTER["ground_classes"](spark, SF).collect()) == points.count()
+    # Points have 1 view at least, synthesised ones have none.
+    assert RASTER["extended_ground"](spark, SF).filter("views > 0").count() == points.filter("class = 2").count()
+
+
 def test_guided_filter(spark):
     rng = np.random.default_rng(4)
     p, g = rng.random((9, 11)), rng.random((9, 11))
