@@ -8,13 +8,15 @@ the text. The weights are trained by ``html_train`` on generated pages and ship
 the package, so results do not depend on the input table.
 
 Blocks end where a block-level element begins or ends. Comments, scripts, styles and
-other raw text never become blocks. Character references are decoded, white space in a
-block becomes one blank, blocks are joined by a line feed in page order.
+other raw text never become blocks, nor do closed svg, select, template, noscript and
+MathML annotation elements; the text of math and object elements is text like any other.
+Character references are decoded, white space in a block becomes one blank, blocks are
+joined by a line feed in page order.
 
 Defined results: null or empty html, and pages without an article block, give the empty
-string; broken markup is read as far as it goes (an unclosed comment or script ends
-with the page); pages of any length are read whole; repeated rows are extracted each;
-an empty table gives an empty result; extra columns are not read.
+string; broken markup is read as far as it goes (an unclosed comment, script or other raw
+element ends with the page; of other hidden elements only the tag is left out); pages
+of any length are read whole; repeated rows are extracted each; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -42,17 +44,22 @@ HIDDEN = 16
 BATCH = 64
 BATCH_BLOCKS = 20_000
 
-_RAW = "script|style|noscript|template|textarea|title|iframe|noembed|noframes|xmp|svg|math|select|object"
+#: Raw text, which without a closing tag ends with the page.
+_RAW = "script|style|textarea|title|iframe|noembed|noframes|xmp"
 _TOKEN = re.compile(
-    rf"<!--(?:.*?-->|.*\Z)|<({_RAW})\b[^>]*>(?:.*?</\1\s*>|.*\Z)|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
+    rf"<!--(?:.*?-->|.*\Z)|<({_RAW})(?=[\s/>])[^>]*>(?:.*?</\1\s*>|.*\Z)|</?[a-zA-Z](?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>|</?[a-zA-Z][^>]*>|<[!?][^>]*>",
     re.S | re.I,
 )
+#: Elements that are not shown as text; without a closing tag only their own tag is left out.
+_HIDDEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in "svg select template noscript annotation annotation-xml".split()}
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input button".split())
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input button svg object param math".split()) | frozenset(
+    "mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mstyle mpadded mphantom mspace merror menclose maction semantics annotation annotation-xml".split()
+)
 #: Elements that an element of the same kind closes when it begins.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 _FENCE = frozenset("article aside body div footer form header main nav ol section table td th tr ul dl blockquote html".split())
@@ -93,7 +100,8 @@ def blocks(page: str) -> list[Block]:
 
     at = 0
     links = 0
-    for m in _TOKEN.finditer(page):
+    unclosed: set[str] = set()
+    while m := _TOKEN.search(page, at):
         if m.start() > at:
             piece = page[at : m.start()]
             pieces.append(piece)
@@ -104,6 +112,12 @@ def blocks(page: str) -> list[Block]:
         if m[1] or source[1] in "!?":
             continue
         tag = _NAME.match(source)[1].lower()
+        if tag in _HIDDEN and tag not in unclosed and source[1] != "/" and not source.endswith("/>"):
+            closing = _HIDDEN[tag].search(page, at)
+            if closing:
+                at = closing.end()
+                continue
+            unclosed.add(tag)
         if tag in _INLINE:
             if tag == "a":
                 links = 0 if source[1] == "/" else 1

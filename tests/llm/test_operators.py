@@ -166,6 +166,20 @@ def test_broken_pages(spark):
     assert H.extract_pages(got.sparkSession.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(("markup", "want"), [
+    ('<svg-icon name="a"></svg-icon>', ["one", "two"]), ("<select-menu></select-menu>", ["one", "two"]), ('<svg width="1"/>', ["one", "two"]), ("<math/>", ["one", "two"]),
+    ("<svg><path d='M0'>", ["one", "two"]), ("<svg><text>no</text></svg>", ["one", "two"]), ("<select><option>no</select>", ["one", "two"]), ("<template><p>no</template>", ["one", "two"]),
+    ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data='a'>a chart</object></p>", ["one", "so x=2 and a chart", "two"]),
+    ("<p>an <svg/>icon <svg><title>no</title></svg>here</p>", ["one", "an icon here", "two"]), ("<script>no<p>no</p>", ["one"]), ("<style-guide>yes</style-guide>", ["one", "yes", "two"]),
+])
+def test_markup_does_not_end_the_page(markup, want):
+    assert [b.text for b in H.blocks(f"<p>one</p>{markup}<p>two</p>")] == want
+
+
+def test_many_unclosed_elements_take_linear_time():
+    assert len(H.blocks("<svg><p>a</p>" * 20_000)) == 20_000
+
+
 # ---- 3: licenses -----------------------------------------------------------
 
 
