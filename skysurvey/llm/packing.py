@@ -12,7 +12,12 @@ others in proportion (a new phase).
 
 Without given targets the shares are the sources' shares of all tokens, so all queues
 end in the last sequence. Sources too small to give one token to each sequence share
-one queue, which bounds the number of queues by the sequence length.
+one queue, which bounds the number of queues by the sequence length. Inside that queue
+they are dealt by a binary tree: of the first t tokens of a node of n tokens, its first
+child of a tokens has given ``floor(t * a / n)`` and the second one the rest, so every
+source is within a few tokens of its share at any place, and a token's place in the
+queue follows from its place in its source by a division a level. The tree's upper
+levels are over hashed buckets of sources, its lower ones are made in the executors.
 
 Steps: tokens are written once, with their place in the partition's part of their
 source; sums by (partition, source) give each part's place in its queue; a map over the
@@ -27,9 +32,11 @@ from __future__ import annotations
 
 import os
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from fractions import Fraction
 from functools import lru_cache
+from itertools import accumulate
 from math import lcm
 from typing import NamedTuple
 
@@ -47,6 +54,8 @@ LENGTH = 2048
 END = 1
 #: Rows of (partition, source) sums that may be broadcast; beyond it they are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Sources of a bucket of the shared queue, about.
+BUCKET = 1000
 #: Rows of an output batch.
 BATCH = 50_000
 
@@ -146,6 +155,49 @@ class Schedule:
             s, below, upto = s + 1, below_next, upto_next
 
 
+def tree_paths(sizes: list[int]) -> list[list[int]]:
+    """Of each leaf of a balanced binary tree, from the leaf up: the child's size (negative for a second child) and its node's size, in turn."""
+    ends = [0, *accumulate(sizes)]
+    paths: list[list[int]] = [[] for _ in sizes]
+    todo = [(0, len(sizes))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < 2:
+            continue
+        whole = ends[high] - ends[low]
+        mid = bisect_left(ends, ends[low] + whole // 2, low + 1, high - 1)
+        for i in range(low, high):
+            paths[i] += [whole, ends[mid] - ends[low] if i < mid else ends[mid] - ends[high]]
+        todo += [(low, mid), (mid, high)]
+    return [p[::-1] for p in paths]
+
+
+def spread(path: list[int], place: int, tokens: int) -> np.ndarray:
+    """Places in the shared queue of tokens that follow each other in their source."""
+    at = np.arange(place, place + tokens)
+    for child, whole in zip(path[::2], path[1::2]):
+        if whole >= 1 << 31:  # products beyond 64 bits
+            at = at.astype(object)
+        at = ((at + 1) * whole + child - 1) // child - 1 if child > 0 else at * whole // -child
+        at = at.astype(np.int64)
+    return at
+
+
+def with_paths(sources: DataFrame) -> DataFrame:
+    """sources (source, n) as (source, path): the way through the tree of the shared queue."""
+    buckets = -(-sources.count() // BUCKET)
+    dealt = sources.withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(max(1, buckets))))
+    sums = sorted((r["bucket"], r["n"]) for r in dealt.groupBy("bucket").agg(F.sum("n").alias("n")).collect())
+    above = dict(zip([b for b, _ in sums], tree_paths([n for _, n in sums])))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["n"].to_pylist(), table["source"].to_pylist()), reverse=True)
+        paths = [p + above[key[0].as_py()] for p in tree_paths([n for n, _ in rows])]
+        return pa.table({"source": pa.array([s for _, s in rows], pa.string()), "path": pa.array(paths, pa.list_(pa.int64()))})
+
+    return dealt.groupBy("bucket").applyInArrow(run, "source string, path array<bigint>")
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> ChunkEncoder:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -186,7 +238,7 @@ def tokenized(docs: DataFrame, path: str, end: int, key: str, text: str, source:
 def pack_documents(docs: DataFrame, length: int = LENGTH, end: int = END, targets: dict[str, int] | None = None, vocabulary: str = "word_bpe_49k.json", path: str | None = None, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """Per piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    targets: integer weights of sources; sources it does not name share one queue of weight 1.
+    targets: integer weights of sources; sources it does not name share one queue of weight 1, by their sizes.
     """
     kind = docs.schema[key].dataType.simpleString()
     tokens = tokenized(docs, path or default_path(vocabulary), end, key, text, source)
@@ -201,23 +253,31 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, end: int = END, target
     # Queue number: the place among the own queues; the others share the last one.
     number = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for i, s in enumerate(own) for x in (s, i))), F.col("source")), F.lit(len(own))) if own else F.lit(0)
     parts = sums.withColumn("queue", number.cast("int"))
-    inner = Window.partitionBy("part", "queue").orderBy("source").rowsBetween(Window.unboundedPreceding, -1)
-    outer = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    placed = parts.groupBy("part", "queue").agg(F.sum("n").alias("n")).withColumn("outer", F.coalesce(F.sum("n").over(outer), F.lit(0))).drop("n")
-    base = written(
-        parts.withColumn("inner", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-        .join(placed, ["part", "queue"])
-        .select("part", "source", "queue", (F.col("inner") + F.col("outer")).alias("base"), "n"),
-        "packing-places",
-    )
+    earlier = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    base = written(parts.select("part", "source", "queue", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"), "n"), "packing-places")
     found = {r["queue"]: r["n"] for r in base.groupBy("queue").agg(F.sum("n").alias("n")).collect()}
     sizes = [found.get(i, 0) for i in range(len(own) + 1)]
     weights = [max(1, n) for n in sizes] if targets is None else [*(targets[s] for s in own), 1]
     schedule = Schedule(sizes, weights, length)
     small = base.select("part", "source", "queue", "base")
+    shared = base.filter(F.col("queue") == len(own)).groupBy("source").agg(F.sum("n").alias("n"))
+    if sizes[-1]:
+        small = small.join(written(with_paths(shared), "packing-paths"), "source", "left")
+    else:
+        small = small.withColumn("path", F.lit(None).cast("array<bigint>"))
     if base.count() <= BROADCAST_ROWS:
         small = F.broadcast(small)
-    joined = tokens.join(small, ["part", "source"]).select("key", "tokens", "ids", "queue", (F.col("base") + F.col("before")).alias("place"))
+    joined = tokens.join(small, ["part", "source"]).select("key", "tokens", "ids", "queue", (F.col("base") + F.col("before")).alias("place"), "path")
+
+    def pieces(queue: int, place: int, tokens: int, path: list[int] | None) -> Iterator[tuple[int, int, int, int]]:
+        if not path:
+            yield from schedule.pieces(queue, place, tokens)
+            return
+        at = spread(path, place, tokens)
+        begins = [0, *(np.flatnonzero(np.diff(at) != 1) + 1).tolist(), tokens]
+        for low, high in zip(begins, begins[1:]):
+            for start, size, sequence, offset in schedule.pieces(queue, int(at[low]), high - low):
+                yield low + start, size, sequence, offset
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -232,11 +292,11 @@ def pack_documents(docs: DataFrame, length: int = LENGTH, end: int = END, target
 
         for batch in batches:
             key_type = batch.schema.field(0).type
-            doc, n_tokens, blobs, queues, places = (batch.column(i) for i in range(5))
-            for d, n, blob, queue, place in zip(doc.to_pylist(), n_tokens.to_pylist(), blobs, queues.to_pylist(), places.to_pylist()):
+            doc, n_tokens, blobs, queues, places, paths = (batch.column(i) for i in range(6))
+            for d, n, blob, queue, place, path in zip(doc.to_pylist(), n_tokens.to_pylist(), blobs, queues.to_pylist(), places.to_pylist(), paths.to_pylist()):
                 data = blob.as_buffer()
                 ids = np.frombuffer(data, "<u2" if data.size == 2 * n else "<u4").astype("<u4").tobytes()
-                for start, size, sequence, offset in schedule.pieces(queue, place, n):
+                for start, size, sequence, offset in pieces(queue, place, n, path):
                     rows.append((start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, sequence, offset))
                     keys.append(d)
                     if len(rows) >= BATCH:

@@ -19,7 +19,7 @@ from skysurvey.llm.components import connected_components
 from skysurvey.llm.fingerprint import anchors, fingerprints
 from skysurvey.llm.langid import keep_identified, language_id
 from skysurvey.llm.ngram_join import keep_one_of_each, ngram_join
-from skysurvey.llm.packing import Schedule, pack_documents
+from skysurvey.llm.packing import Schedule, pack_documents, spread, tree_paths
 from skysurvey.llm.suffix_dedup import suffix_dedup
 from skysurvey.llm.token_count import token_counts
 from tests.compare import SF
@@ -363,6 +363,35 @@ def test_mixture_is_kept(spark):
         assert abs(r.n - 100 * share[r.source] / whole) < 2
 
 
+@pytest.mark.parametrize("targets", [None, {"s0": 3, "s1": 1}])
+def test_mixture_of_more_sources_than_tokens(spark, targets):
+    rows = [(i, "word " * (5 + i % 40), f"s{i % 100}") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    found = pack_documents(df, length=32, targets=targets)
+    library = Tokenizer.from_file(default_path("word_bpe_49k.json"))
+    check_packing(found.collect(), 32, {d: library.encode(t, add_special_tokens=False).ids + [1] for d, t in texts_of(df).items()})
+    got = collections.defaultdict(collections.Counter)
+    for r in found.join(df.select("doc_id", "source"), "doc_id").collect():
+        if r.source not in (targets or {}):
+            got[r.sequence_id][r.source] += r.length
+    share = sum(got.values(), collections.Counter())
+    whole, seen = sum(share.values()), collections.Counter()
+    for k in range(max(got) + 1):
+        seen += got[k]
+        for s in share:
+            assert abs(seen[s] - sum(seen.values()) * share[s] / whole) < 4
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_tree_deals_every_place_once(seed):
+    rng = random.Random(seed)
+    sizes = [rng.choice([1, 2, rng.randint(1, 300)]) for _ in range(rng.randint(1, 60))]
+    places = [spread(p, 0, n).tolist() for p, n in zip(tree_paths(sizes), sizes)]
+    assert all(p == sorted(p) for p in places) and sorted(sum(places, [])) == list(range(sum(sizes)))
+    assert spread([1 << 40, 1 << 41], 1 << 39, 2).tolist() == [(1 << 40) + 1, (1 << 40) + 3]
+    assert spread([-(1 << 40), 1 << 41], 1 << 39, 2).tolist() == [1 << 40, (1 << 40) + 2]
+
+
 @pytest.mark.parametrize("seed", range(60))
 def test_schedule(seed):
     rng = random.Random(seed)
