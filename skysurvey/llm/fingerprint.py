@@ -1,7 +1,8 @@
 """Document fingerprints from closed syncmers, in DataFrame functions only.
 
-Method: a text is the sequence of its white-space separated, lower-cased words. Of
-every k-mer of four words the three inner 2-mers are hashed; the k-mer is an anchor (a
+Method: a text is the sequence of its white-space separated, lower-cased words, where
+characters of scripts without spaces and those of words of more than 32 characters count
+as a word each. Of every k-mer of four words the three inner 2-mers are hashed; the k-mer is an anchor (a
 closed syncmer) if the smallest of them lies at an edge, the first or the last place.
 That depends on the k-mer alone, so an edit changes only the anchors that overlap it.
 The fingerprint is the sorted list of the 64 smallest distinct anchor hashes of the
@@ -30,6 +31,9 @@ from skysurvey.llm.common import partitions
 SKETCH = 64
 #: Ranges of keys, at most; they bound what reaches the driver.
 MOST_RANGES = 4096
+#: Characters that are a word each: those of scripts written without spaces, and those of longer words than this.
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\p{IsJavanese}\p{IsBalinese}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}]"
+LONGEST_WORD = 32
 
 
 def _inner_hashes(words: Column) -> Column:
@@ -48,7 +52,8 @@ def _closed(inner: Column) -> Column:
 
 def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     """df with the column out: by word place, the anchor's hash or null; _words: the words' hashes."""
-    words = F.filter(F.split(F.lower(F.col(text)), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(F.regexp_replace(F.lower(F.col(text)), UNSPACED, " $0 "), r"\s+"), lambda w: w != "")
+    words = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONGEST_WORD, F.split(w, "")).otherwise(F.array(w))))
     df = df.withColumn("_words", F.transform(words, lambda w: F.xxhash64(w)))
     df = df.withColumn("_inner", _inner_hashes(F.col("_words")))
     return df.withColumn(out, _closed(F.col("_inner"))).drop("_inner")

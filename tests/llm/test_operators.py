@@ -299,6 +299,15 @@ def test_fingerprint_edits(documents):
     assert sum(r.near_edited > r.near_next for r in long) / len(long) > 0.95
 
 
+@pytest.mark.parametrize("alphabet", ["日本語文章検索結果東京都市山川海空", "あいうえおカキクケコさしすせそ", "กขคงจฉชซญดตถทนบปพม", "abcdefghijklmnopqrstuvwxyz0123456789", "𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇𠀈𠀉"])
+def test_texts_without_spaces_have_anchors(spark, alphabet):
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choices(alphabet, k=600))) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert all(r.near_edited > 0.25 > r.near_next for r in fingerprints(df).collect())
+    assert anchors(df).groupBy("doc_id").count().filter("count > 100").count() == 6
+
+
 def test_fingerprint_edge_cases(spark, odd):
     assert fingerprints(odd).count() == len(ODD)
     one = fingerprints(spark.createDataFrame([(5, "a b c d e f")], "doc_id int, text string")).first()
