@@ -7,8 +7,8 @@ executors, and a batch of texts is scored as a product of its sparse count matri
 that matrix, by gathers and segment sums in numpy.
 
 The model is fitted on about ``fit_rows`` labelled rows, in equal shares by language and
-chosen by the xxhash64 of their key, cut to their first ``fit_chars`` characters; both
-bounds are parameters and fix the size of what is collected. Priors are counted over all
+chosen by the xxhash64 of their key. Their whole texts are counted in the executors; the
+counts by language and bucket are collected, whose number the matrix bounds. Priors are counted over all
 labelled rows. Predictions read whole texts and never the key, the label or the source.
 
 Defined results: null text, and text without any letter, gives ``und`` with score 0;
@@ -19,21 +19,22 @@ empty result; extra columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skysurvey.llm.common import map_columns
+from skysurvey.llm.common import map_columns, prepare
 
 UNDETERMINED = "und"
 #: Buckets of the hashed n-grams, and the longest n-gram.
 BUCKETS = 1 << 17
 LONGEST = 4
 SMOOTHING = 0.5
-#: Bounds of the fitting sample.
+#: Rows of the fitting sample, about.
 FIT_ROWS = 6000
-FIT_CHARS = 4000
 #: Characters scored at a time.
 SLICE = 1 << 18
 
@@ -65,13 +66,15 @@ class NaiveBayes:
         self.table = table  # buckets by languages, float32
 
     @classmethod
-    def fit(cls, rows: list[tuple[str, str]], seen: dict[str, int]) -> NaiveBayes:
+    def fit(cls, found: pa.Table | None, seen: dict[str, int]) -> NaiveBayes:
+        """found: rows (label, bucket, n); seen: labelled rows by language."""
         languages = sorted(seen)
         place = {lang: k for k, lang in enumerate(languages)}
         counts = np.full((len(languages), BUCKETS), SMOOTHING)
-        for text, lang in rows:
-            for grams in hashed_grams(text.lower()):
-                counts[place[lang]] += np.bincount(grams, minlength=BUCKETS)
+        if found is not None:
+            labels = found["label"].combine_chunks().dictionary_encode()
+            rows = np.array([place[lang] for lang in labels.dictionary.to_pylist()], np.int64)[labels.indices.to_numpy(zero_copy_only=False)]
+            np.add.at(counts, (rows, found["bucket"].to_numpy()), found["n"].to_numpy())
         table = np.log(counts / counts.sum(axis=1, keepdims=True)).T
         priors = np.log(np.array([seen[lang] for lang in languages], float) / max(1, sum(seen.values())))
         return cls(languages, priors, np.ascontiguousarray(table, np.float32))
@@ -123,29 +126,55 @@ class NaiveBayes:
             scores[i] = min(1.0, p)
 
 
+def bucket_counts(texts: Iterable[str]) -> np.ndarray:
+    """Occurrences of every bucket in the n-grams of whole texts."""
+    counts = np.zeros(BUCKETS, np.int64)
+    waiting: list[np.ndarray] = []
+    size = 0
+    for text in texts:
+        lowered = text.lower()
+        for low in range(0, len(lowered), SLICE):
+            high = min(low + SLICE, len(lowered))
+            waiting += [grams[: high - low] for grams in hashed_grams(lowered[low : high + LONGEST - 1])]
+            size += high - low
+            if size >= SLICE:
+                counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+                waiting, size = [], 0
+    if waiting:
+        counts += np.bincount(np.concatenate(waiting), minlength=BUCKETS)
+    return counts
+
+
 def held_out(key: Column) -> Column:
     """Whether a row is kept out of the fitting: crc32 of the key as text, modulo 4, is 2."""
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> NaiveBayes:
-    """A model of the labelled rows that are not held out, on a bounded sample of them."""
+def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", fit_rows: int = FIT_ROWS) -> NaiveBayes:
+    """A model of the labelled rows that are not held out, on a sample of them."""
     labelled = docs.filter(F.col(label).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(key))).select(
         F.col(text).cast("string").alias("text"), F.col(label).cast("string").alias("label"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 40)).alias("place")
     )
     seen = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if not seen:
-        return NaiveBayes.fit([], {})
+        return NaiveBayes.fit(None, {})
     share = max(1, fit_rows // len(seen))
     shares = F.create_map(*(F.lit(x) for lang, n in seen.items() for x in (lang, int((1 << 40) * min(1.0, share / n)))))
-    rows = (
-        labelled.filter(F.col("place") < F.element_at(shares, F.col("label")))
-        .select(F.substring("text", 1, fit_chars).alias("text"), "label", "place")
-        .orderBy("place", "label", "text")
-        .limit(2 * fit_rows)
-        .collect()
-    )
-    return NaiveBayes.fit([(r["text"], r["label"]) for r in rows], seen)
+    sample = labelled.filter(F.col("place") < F.element_at(shares, F.col("label"))).select("text", "label")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts: dict[str, list[str]] = {}
+            for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                texts.setdefault(lang, []).append(t)
+            for lang, own in texts.items():
+                counts = bucket_counts(own)
+                buckets = np.flatnonzero(counts)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(buckets), pa.string()), pa.array(buckets, pa.int32()), pa.array(counts[buckets], pa.int64())], ["label", "bucket", "n"])
+
+    prepare(docs.sparkSession)
+    found = sample.mapInArrow(run, "label string, bucket int, n bigint").groupBy("label", "bucket").agg(F.sum("n").alias("n"))
+    return NaiveBayes.fit(found.toArrow(), seen)  # at most the languages times the buckets
 
 
 def identify(docs: DataFrame, model: NaiveBayes, text: str = "text") -> DataFrame:
@@ -163,9 +192,9 @@ def identify(docs: DataFrame, model: NaiveBayes, text: str = "text") -> DataFram
     return map_columns(docs.toDF(*names), schema, run).toDF(*docs.columns, "_lang_pred", "_score")
 
 
-def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", fit_rows: int = FIT_ROWS, fit_chars: int = FIT_CHARS) -> DataFrame:
+def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per row: key, held_out, lang_pred and score."""
-    model = fit(docs, key, text, label, fit_rows, fit_chars)
+    model = fit(docs, key, text, label, fit_rows)
     found = identify(docs.select(key, text), model, text)
     return found.select(key, held_out(F.col(key)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
 

@@ -17,7 +17,7 @@ from skysurvey.llm.bpe_codec import TrieEncoder, encode_decode
 from skysurvey.llm.chunks import ChunkEncoder, LibraryLearner
 from skysurvey.llm.components import connected_components
 from skysurvey.llm.fingerprint import anchors, fingerprints
-from skysurvey.llm.langid import keep_identified, language_id
+from skysurvey.llm.langid import BUCKETS, bucket_counts, hashed_grams, keep_identified, language_id
 from skysurvey.llm.ngram_join import keep_one_of_each, ngram_join
 from skysurvey.llm.packing import Schedule, pack_documents, spread, tree_paths
 from skysurvey.llm.suffix_dedup import suffix_dedup
@@ -537,6 +537,21 @@ def test_languages(documents):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
+def test_languages_are_fitted_on_whole_texts(spark):
+    head = "notice of the rights and the terms of use " * 120
+    rows = [(i, head + ("zwolf boxkampfer jagen viktor quer " if i % 2 else "portez ce vieux whisky au juge blond ") * 40, "de" if i % 2 else "fr") for i in range(60)]
+    rows += [(1000, "zwolf boxkampfer jagen viktor quer", None), (1001, "portez ce vieux whisky au juge blond", None)]
+    found = {r.doc_id: r for r in language_id(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert found[1000].lang_pred == "de" and found[1001].lang_pred == "fr" and min(found[k].score for k in (1000, 1001)) > 0.9
+
+
+@pytest.mark.parametrize("size", [0, 3, 1 << 18, (1 << 18) + 2, 600_000])
+def test_bucket_counts_of_slices(size):
+    text = "".join(random.Random(size).choices("abcdé ", k=size))
+    whole = [np.bincount(g, minlength=BUCKETS) for g in hashed_grams(text)]
+    assert (bucket_counts([text]) == sum(whole)).all()
+
+
 def test_language_edge_cases(spark, documents):
     more = spark.createDataFrame([(9001, None), (9002, "123 ..."), (9003, ""), (9004, "the of and " * 40000)], "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("s"), "n_chars": F.lit(0).cast("long")})
     both = documents.unionByName(more)
