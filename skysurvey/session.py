@@ -56,10 +56,20 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(setting, str(rows))
 
 
+_LOCAL: dict[str, str] = {}
+
+
+def local_folder(spark: SparkSession) -> str:
+    """A folder of our own for a session in local mode; elsewhere executors would not see it."""
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _LOCAL.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='skysurvey-')}")
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='skysurvey-')}")
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or local_folder(df.sparkSession))
     return df.checkpoint()
