@@ -119,6 +119,13 @@ def parse_srs(text: str) -> Srs:
     raise ValueError(f"unknown reference system: {text!r}")
 
 
+def srs_name(found: Srs) -> str:
+    """The code of a parsed system, as files state it."""
+    if found.kind == "utm":
+        return f"EPSG:{(327 if found.south else 326) * 100 + found.zone}"
+    return {"lonlat": "EPSG:4326", "mercator": "EPSG:3857", "michigan_feet": "EPSG:2251"}[found.kind]
+
+
 #: Lambert conformal conic of EPSG:2251: standard parallels, origin and false easting in metres.
 _LCC = {"phi1": 45 + 29 / 60, "phi2": 47 + 5 / 60, "phi0": 44 + 47 / 60, "lam0": -87.0, "x0": 7999999.999968}
 

@@ -19,9 +19,12 @@ def polyval(coefficients: Column, x: Column) -> Column:
 
 
 def vignette(x: Column, y: Column, center: Column, polynomial: Column, make: Column) -> Column:
-    """The factor of a pixel, 1 where center or polynomial are missing; one vendor gives it inverted."""
+    """The factor of a pixel, 1 where center or polynomial are missing; one vendor gives it inverted.
+
+    The polynomial is given highest power first, without its constant term, which is 1.
+    """
     r = F.hypot(x - F.get(center, F.lit(0)), y - F.get(center, F.lit(1)))
-    value = polyval(polynomial, r)
+    value = polyval(F.concat(polynomial, F.array(F.lit(1.0))), r)
     applies = center.isNotNull() & (F.get(center, F.lit(0)) != 0) & polynomial.isNotNull()
     return F.when(applies, F.when(F.lower(make) == "dji", value).otherwise(1.0 / value)).otherwise(1.0)
 

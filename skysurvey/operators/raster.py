@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skysurvey.functions.geodesy import lonlat_to_mercator, metres_to_tile
+from skysurvey.session import ship
 
 #: Weight of a cell whose distance to no data is 0.
 FLOOR_WEIGHT = 0.001953125
@@ -113,15 +116,47 @@ def guided_filter(raster: DataFrame, guide: DataFrame, radius: int, epsilon: flo
     return out.select("row", "col", (F.col("a") * F.col("value") + F.col("b")).alias("value"))
 
 
-def edge_distance(raster: DataFrame, limit: int) -> DataFrame:
-    """Euclidean distance of valid cells to the nearest missing cell, up to ``limit`` cells (null beyond)."""
-    around = neighbours(raster.select("row", "col", F.lit(1).alias("value")), limit)
-    # A cell's missing neighbours are the offsets that no valid cell handed over.
-    offsets = [(r, c, (r * r + c * c) ** 0.5) for r in range(-limit, limit + 1) for c in range(-limit, limit + 1) if 0 < r * r + c * c <= limit * limit]
-    every = F.array(*(F.struct(F.lit(d).alias("d"), F.lit(r).alias("dr"), F.lit(c).alias("dc")) for r, c, d in sorted(offsets, key=lambda o: o[2])))
-    have = around.groupBy("row", "col").agg(F.collect_set(F.struct("dr", "dc")).alias("have"))
-    missing = F.filter(every, lambda o: ~F.array_contains(F.col("have"), F.struct(o["dr"].alias("dr"), o["dc"].alias("dc"))))
-    return raster.join(have, ["row", "col"]).select(*raster.columns, F.array_min(F.transform(missing, lambda o: o["d"])).alias("dist"))
+def edge_distance(raster: DataFrame) -> DataFrame:
+    """Euclidean distance, in cells, of valid cells to the nearest missing one; cells beyond the raster are missing.
+
+    Exact, in two passes: the distance along each row is the place in a run of valid cells;
+    along a column the least of d * d + row distance * row distance is a lower envelope of
+    parabolas, found in linear time for each run of valid cells of a column.
+    """
+    ship(raster.sparkSession)
+    w = Window.partitionBy("row").orderBy("col")
+    cells = raster.select("row", "col").withColumn("_run", F.col("col") - F.row_number().over(w))
+    run = Window.partitionBy("row", "_run")
+    cells = cells.select("row", "col", F.least(F.col("col") - F.min("col").over(run), F.max("col").over(run) - F.col("col")).alias("_g"))
+
+    def column(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("row")
+        rows, along = frame["row"].to_numpy(), frame["_g"].to_numpy() + 1.0
+        cut = np.concatenate([[0], np.nonzero(np.diff(rows) != 1)[0] + 1, [len(rows)]])
+        parts = [lower_envelope(np.concatenate([[0.0], along[a:b] ** 2, [0.0]]))[1:-1] for a, b in zip(cut[:-1], cut[1:])]
+        return pd.DataFrame({"row": rows, "col": frame["col"].to_numpy(), "dist": np.sqrt(np.concatenate(parts))})
+
+    found = cells.groupBy("col").applyInPandas(column, "row long, col long, dist double")
+    return raster.join(found, ["row", "col"])
+
+
+def lower_envelope(f: np.ndarray) -> np.ndarray:
+    """min over q of (p - q) ** 2 + f[q] for every place p."""
+    n = len(f)
+    hull, bound = [0], [-np.inf]
+    for q in range(1, n):
+        while True:
+            v = hull[-1]
+            s = ((f[q] + q * q) - (f[v] + v * v)) / (2 * q - 2 * v)
+            if s > bound[-1]:
+                break
+            hull.pop()
+            bound.pop()
+        hull.append(q)
+        bound.append(s)
+    at = np.searchsorted(np.array(bound), np.arange(n), "right") - 1
+    nearest = np.array(hull)[at]
+    return (np.arange(n) - nearest) ** 2 + f[nearest]
 
 
 def blend(raster: DataFrame, distance: str) -> DataFrame:
@@ -212,13 +247,13 @@ def kernel_weight(name: str, d: Column) -> Column:
 
 
 def resample(samples: DataFrame, raster: DataFrame, kernel_name: str) -> DataFrame:
-    """Raster values at fractional (x, y) under a separable kernel."""
+    """Raster values at fractional (x, y) under a separable kernel, renormalised where neighbours are missing; null where none is there, or where their weights cancel out."""
     reach = {"near": 1, "bilinear": 1, "cubic": 2, "cubicspline": 2}.get(kernel_name, 3)
     step = F.sequence(F.lit(1 - reach), F.lit(reach))
     near = samples.withColumn("_dr", F.explode(step)).withColumn("_dc", F.explode(step)).withColumn("row", F.floor("y") + F.col("_dr")).withColumn("col", F.floor("x") + F.col("_dc"))
     w = kernel_weight(kernel_name, F.col("y") - F.col("row")) * kernel_weight(kernel_name, F.col("x") - F.col("col"))
     hit = near.join(raster.select("row", "col", "value"), ["row", "col"]).withColumn("_w", w).filter("_w <> 0")
-    sums = hit.groupBy(*samples.columns).agg((F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
+    sums = hit.groupBy(*samples.columns).agg(F.when(F.abs(F.sum("_w")) > 1e-6, F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
     return samples.join(sums, samples.columns, "left")
 
 

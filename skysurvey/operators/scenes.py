@@ -12,7 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from skysurvey.functions import geodesy as G
+from skysurvey.functions.checks import checked
 from skysurvey.operators.raster import bilinear
+from skysurvey.operators.sets import ranked
 from skysurvey.session import ship
 
 
@@ -69,8 +71,13 @@ def epoch_shots(shots: DataFrame, epochs: DataFrame, epoch: str) -> DataFrame:
     return shots.withColumn("_b", base).join(own, "_b", "left_semi").drop("_b")
 
 
-def merged_reconstructions(parts: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Points of partial reconstructions with one reference, and the observations of their shots."""
+def merged_reconstructions(parts: DataFrame, observations: DataFrame, references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points of partial reconstructions, and the observations of their shots; an error unless all parts have one reference."""
+    c = F.col
+    one = references.agg(*(F.min(k).alias(f"_{k}0") for k in ("latitude", "longitude", "altitude")), *(F.max(k).alias(f"_{k}1") for k in ("latitude", "longitude", "altitude")))
+    same = (c("_latitude0") == c("_latitude1")) & (c("_longitude0") == c("_longitude1")) & (c("_altitude0") == c("_altitude1"))
+    one = one.select(same.alias("_same"))
+    parts = parts.crossJoin(F.broadcast(one)).withColumn("part", checked(c("_same"), c("part"), "the partial reconstructions have different references"))
     points = parts.select(F.concat_ws("_", "part", "id").alias("id"), "x", "y", "z")
     kept = observations.select(F.concat_ws("_", "part", "track").alias("track"), "shot")
     return points, kept.join(points.select(F.col("id").alias("track")), "track", "left_semi")
@@ -131,7 +138,7 @@ def ascii_grid_rows(raster: DataFrame, frame: tuple[int, int, int, int], nodata:
 
 
 def window(raster: DataFrame, rows: tuple[int, int], cols: tuple[int, int], fill: float | None = None) -> DataFrame:
-    """The cells of a window, with a fill value outside the raster (boundless) if given."""
+    """The cells of a window, with a fill value outside the raster (boundless) if given."""
     inside = raster.filter(F.col("row").between(*rows) & F.col("col").between(*cols)).select("row", "col", "value")
     if fill is None:
         return inside
@@ -202,6 +209,30 @@ def members_near(members: DataFrame, points: DataFrame, distance: float) -> Data
     return near.select("cluster", *points.columns).distinct()
 
 
+def sub_scenes(points: DataFrame, area: float = 660_000.0) -> DataFrame:
+    """Points with the square sub-scene (scene_col, scene_row) of an area that holds them, from the cloud's corner on.
+
+    Points without a place are in no sub-scene and left out.
+    """
+    side = math.sqrt(area)
+    corner = points.agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"))
+    at = lambda k: F.floor((F.col(k) - F.col(f"_{k}0")) / side)
+    return points.filter("x IS NOT NULL AND y IS NOT NULL").crossJoin(F.broadcast(corner)).withColumn("scene_col", at("x")).withColumn("scene_row", at("y")).drop("_x0", "_y0")
+
+
+def mosaic_extent(rasters: DataFrame) -> DataFrame:
+    """The frame that holds all rasters (left, bottom, right, top, res), at the first one's resolution, and its size in cells."""
+    c = F.col
+    ends = rasters.agg(F.min("left").alias("left"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.max("top").alias("top"), F.min_by("res", "ord").alias("res"))
+    return ends.withColumn("width", F.ceil((c("right") - c("left")) / c("res"))).withColumn("height", F.ceil((c("top") - c("bottom")) / c("res")))
+
+
+def alpha_share(raster: DataFrame, by: str) -> DataFrame:
+    """Of each source, its cells, those that are not transparent, and their share."""
+    seen = F.sum((F.col("alpha") != 0).cast("long"))
+    return raster.groupBy(by).agg(F.count("*").alias("cells"), seen.alias("opaque"), (seen / F.count("*")).alias("share"))
+
+
 # ---- alignment ---------------------------------------------------------------
 
 
@@ -240,12 +271,20 @@ def collinearity(points: DataFrame, camera: dict[str, float], rotation: Sequence
     return points.withColumn("u", u).withColumn("v", v).filter(F.col("u").between(0, camera["width"] - 1) & F.col("v").between(0, camera["height"] - 1))
 
 
-def visible(cells: DataFrame, dem: DataFrame, camera: dict[str, float], size: float, reach: int) -> DataFrame:
-    """Cells whose ray to the camera no terrain on the way rises above; samples are a cell apart, up to ``reach``."""
+def visible(cells: DataFrame, dem: DataFrame, camera: dict[str, float], size: float) -> DataFrame:
+    """Cells whose ray to the camera no terrain on the way rises above; samples are a cell apart.
+
+    Along the way to the camera a ray only rises, so it is sampled until it is higher than
+    all terrain.
+    """
     cx, cy = camera["x"] / size, camera["y"] / size
     dx, dy = cx - (F.col("col") + 0.5), cy - (F.col("row") + 0.5)
     length = F.sqrt(dx * dx + dy * dy)
-    steps = cells.withColumn("_n", F.least(F.floor(length), F.lit(reach))).withColumn("_k", F.explode(F.when(F.col("_n") >= 1, F.sequence(F.lit(1).cast("long"), F.col("_n"))).otherwise(F.array(F.lit(0).cast("long")))))
+    top = dem.agg(F.max("value").alias("_top"))
+    share = F.when(F.col("_top") <= F.col("value"), 0.0).otherwise(F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("_top") - F.col("value"), camera["z"] - F.col("value")), F.lit(1.0))))
+    share = F.when(F.lit(camera["z"]) <= F.col("value"), 1.0).otherwise(share)
+    steps = cells.crossJoin(F.broadcast(top)).withColumn("_n", F.least(F.floor(length), F.ceil(length * share)).cast("long")).drop("_top")
+    steps = steps.withColumn("_k", F.explode(F.when(F.col("_n") >= 1, F.sequence(F.lit(1).cast("long"), F.col("_n"))).otherwise(F.array(F.lit(0).cast("long")))))
     t = F.col("_k") / F.greatest(length, F.lit(1e-9))
     at = steps.withColumn("_c", F.floor(F.col("col") + 0.5 + dx * t)).withColumn("_r", F.floor(F.col("row") + 0.5 + dy * t)).withColumn("_h", F.col("value") + (camera["z"] - F.col("value")) * t)
     ground = dem.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias("_g"))
@@ -254,9 +293,9 @@ def visible(cells: DataFrame, dem: DataFrame, camera: dict[str, float], size: fl
     return judged.filter("_hidden = 0").select("row", "col", "value")
 
 
-def orthorectified(cells: DataFrame, dem: DataFrame, image: DataFrame, camera: dict[str, float], rotation: Sequence[float], size: float, reach: int) -> DataFrame:
+def orthorectified(cells: DataFrame, dem: DataFrame, image: DataFrame, camera: dict[str, float], rotation: Sequence[float], size: float) -> DataFrame:
     """Image values of the visible terrain cells."""
-    seen = visible(cells, dem, camera, size, reach)
+    seen = visible(cells, dem, camera, size)
     placed = collinearity(seen.select("row", "col", ((F.col("col") + 0.5) * size).alias("x"), ((F.col("row") + 0.5) * size).alias("y"), F.col("value").alias("z")), camera, rotation)
     samples = placed.select(F.col("row").alias("out_row"), F.col("col").alias("out_col"), F.col("u").alias("x"), F.col("v").alias("y"))
     return bilinear(samples, image).select(F.col("out_row").alias("row"), F.col("out_col").alias("col"), "value")
@@ -265,9 +304,10 @@ def orthorectified(cells: DataFrame, dem: DataFrame, image: DataFrame, camera: d
 # ---- sorting, packing, cutting -----------------------------------------------
 
 
-def ordered_tiles(tiles: DataFrame) -> DataFrame:
-    """Tiles by falling radius, then by name."""
-    return tiles.orderBy(F.desc("radius"), "name")
+def in_order(df: DataFrame, keys: dict[str, Column], out: str = "place") -> DataFrame:
+    """Df with its place from 1 in an order of several keys, the last of which makes it total."""
+    named = df.select("*", *(v.alias(f"_k{i}") for i, v in enumerate(keys.values())))
+    return ranked(named, [f"_k{i}" for i in range(len(keys))], out).select(*df.columns, out)
 
 
 def largest_feature(features: DataFrame) -> DataFrame:
@@ -276,34 +316,33 @@ def largest_feature(features: DataFrame) -> DataFrame:
 
 
 def packed(blocks: Sequence[tuple[str, int, int]]) -> tuple[dict[str, tuple[int, int]], int, int]:
-    """Places of a few dozen texture blocks (name, width, height) in one image that grows to the right or down.
+    """Places of a few dozen texture blocks (name, width, height) in one image that grows to the right or down.
 
-    Returns the places and the image's size; wide blocks are placed first.
+    Returns the places and the image's size. Wide blocks come first. A block goes into the
+    first free rectangle that holds it; what is left of that to its right is tried before
+    what is left below. The image grows to the side that keeps it square, else to the right.
     """
-    order = sorted(blocks, key=lambda b: -b[1])
     places: dict[str, tuple[int, int]] = {}
-    if not order:
+    if not blocks:
         return places, 0, 0
+    order = sorted(blocks, key=lambda b: -b[1])
     width, height = order[0][1], order[0][2]
     free = [(0, 0, width, height)]
     for name, w, h in order:
-        spot = next((f for f in free if f[2] >= w and f[3] >= h), None)
-        if spot is None:
+        if not any(fw >= w and fh >= h for _, _, fw, fh in free):
             right, down = h <= height, w <= width
-            if right and (height >= width + w or not down):
-                spot = (width, 0, w, height)
+            if not right and not down:
+                raise ValueError(f"no room for block {name!r}")
+            if right and (height >= width + w or not (down and width >= height + h)):
+                free.insert(0, (width, 0, w, height))
                 width += w
-            elif down:
-                spot = (0, height, width, h)
-                height += h
             else:
-                spot = (0, height, max(width, w), h)
-                width, height = max(width, w), height + h
-        else:
-            free.remove(spot)
-        x, y, fw, fh = spot
+                free.append((0, height, width, h))
+                height += h
+        at = next(i for i, (_, _, fw, fh) in enumerate(free) if fw >= w and fh >= h)
+        x, y, fw, fh = free[at]
         places[name] = (x, y)
-        free += [f for f in ((x + w, y, fw - w, h), (x, y + h, fw, fh - h)) if f[2] > 0 and f[3] > 0]
+        free[at : at + 1] = [(x + w, y, fw - w, h), (x, y + h, fw, fh - h)]
     return places, width, height
 
 

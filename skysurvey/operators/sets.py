@@ -44,15 +44,25 @@ def last_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> Data
     return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*(o.alias(f"o{i}") for i, o in enumerate(order)))).alias("_r")).select(*keys, "_r.*")
 
 
-def drop_redundant_bands(photos: DataFrame, band: str = "band_name") -> DataFrame:
-    """where single red, green and blue bands exist, photos of a combined band go (or those three, for one camera family)."""
-    names = photos.select(F.upper(band).alias("_b")).distinct()
-    singles = names.agg(
-        F.max(F.col("_b").isin("RED", "R").cast("int")).alias("r"), F.max(F.col("_b").isin("GREEN", "G").cast("int")).alias("g"),
-        F.max(F.col("_b").isin("BLUE", "B").cast("int")).alias("b"), F.max((F.col("_b") == "RGB").cast("int")).alias("rgb"),
-    )
-    both = singles.select(((F.col("r") + F.col("g") + F.col("b") == 3) & (F.col("rgb") == 1)).alias("_both"))
-    return photos.crossJoin(F.broadcast(both)).filter(~(F.coalesce("_both", F.lit(False)) & (F.upper(band) == "RGB"))).drop("_both")
+def drop_redundant_bands(photos: DataFrame, band: str = "band_name", make: str | None = None, model: str | None = None, order: str | None = None) -> DataFrame:
+    """where photos of a combined band lie among photos of single red, green and blue bands, one kind goes.
+
+    The combined band goes if all three single bands are there, or red and green of a
+    camera whose colour lens differs (known by make and model of the first photo by
+    ``order``); otherwise the single ones go. Without a combined band nothing goes, and
+    neither does it for fewer than two bands.
+    """
+    name = F.lower(band)
+    marks = {b: F.coalesce(F.max(name == b), F.lit(False)).alias(f"_{b}") for b in ("red", "green", "blue", "rgb", "redgreenblue")}
+    other_lens = F.lit(False)
+    if make and model and order:
+        other_lens = F.min_by(F.upper(make).eqNullSafe("DJI") & F.upper(model).eqNullSafe("M3M"), order)
+    has = photos.agg(*marks.values(), F.coalesce(other_lens, F.lit(False)).alias("_lens"))
+    c = F.col
+    mixed, drop_mixed = c("_rgb") | c("_redgreenblue"), c("_red") & c("_green") & (c("_blue") | c("_lens"))
+    main = F.when(c("_rgb"), "rgb").otherwise("redgreenblue")
+    gone = has.select(F.when(~mixed, F.array().cast("array<string>")).when(drop_mixed, F.array(main)).otherwise(F.array(F.lit("red"), F.lit("green"), F.lit("blue"))).alias("_gone"))
+    return photos.crossJoin(F.broadcast(gone)).filter(~F.coalesce(F.array_contains("_gone", name), F.lit(False))).drop("_gone")
 
 
 def complete_captures(photos: DataFrame, capture: str, band: str) -> DataFrame:
@@ -141,36 +151,47 @@ def asof_interpolate(queries: DataFrame, fixes: DataFrame, by: str, time: str, c
     return both.select(*queries.columns, *((F.col(f"_p.{c}") + (F.col(f"_n.{c}") - F.col(f"_p.{c}")) * share).alias(c) for c in columns))
 
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, k: int, cell: float, reach: int = 1) -> DataFrame:
-    """(key, x, y, point columns, distance, rank) of the k nearest points in the plane.
+def nearest(queries: DataFrame, points: DataFrame, key: str, k: int, cell: float) -> DataFrame:
+    """(key, x, y, point columns, distance, rank) of the k nearest points in the plane, of all where there are fewer.
 
-    Points within ``reach`` cells of ``cell`` units meet by equal cell keys. Within that
-    neighbourhood the k nearest are exact; a query with fewer than k points inside its
-    safe radius is widened by doubling the cell until none is left.
+    Points of a query's cell and the eight around it meet by equal cell keys. A query is
+    done if k of them are nearer than the edge of these cells; the others go on with cells
+    of twice the size, of the last round's results written to the shared folder. Queries
+    and points without a place are left out.
     """
+    c = F.col
+    placed = "x IS NOT NULL AND y IS NOT NULL"
+    left, points = queries.filter(placed), points.filter(placed)
+    ends = lambda df: df.agg(*(f(v) for v in "xy" for f in (F.min, F.max)), F.count("*")).first()
+    a, b = ends(left), ends(points)
+    extra = [v for v in points.columns if v not in ("x", "y")]
+    if not a[4] or not b[4]:
+        return left.join(points.select(F.lit(None).cast("double").alias("_px"), F.lit(None).cast("double").alias("_py"), *extra), F.lit(False)).withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(0))
+    extent = max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2]))
+    least = min(k, b[4])
+    renamed = points.withColumnsRenamed({"x": "_px", "y": "_py"})
+    step, size = F.sequence(F.lit(-1), F.lit(1)), cell
     done: DataFrame | None = None
-    left = queries
-    extra = [c for c in points.columns if c not in ("x", "y")]
-    size = cell
-    for _ in range(12):
-        cx, cy = F.floor(F.col("x") / size), F.floor(F.col("y") / size)
-        near = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-        q = left.withColumn("_cx", cx).withColumn("_cy", cy).withColumn("_dx", near).withColumn("_dy", near).withColumn("_cx", F.col("_cx") + F.col("_dx")).withColumn("_cy", F.col("_cy") + F.col("_dy")).drop("_dx", "_dy")
-        p = points.withColumn("_cx", cx).withColumn("_cy", cy).withColumnsRenamed({"x": "_px", "y": "_py"})
-        joined = q.join(p, ["_cx", "_cy"]).withColumn("distance", F.hypot(F.col("x") - F.col("_px"), F.col("y") - F.col("_py")))
-        w = Window.partitionBy(key).orderBy("distance", "_px", "_py", *extra)
-        ranked = joined.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-        # Distances up to the nearest edge of the neighbourhood are certain.
-        inner = F.least(F.pmod(F.col("x"), F.lit(size)), size - F.pmod(F.col("x"), F.lit(size)), F.pmod(F.col("y"), F.lit(size)), size - F.pmod(F.col("y"), F.lit(size)))
-        ranked = ranked.withColumn("_safe", F.col("distance") <= inner + (reach - 0) * size)
-        sure = ranked.groupBy(key).agg(F.sum(F.col("_safe").cast("int")).alias("_n")).filter(F.col("_n") >= k).select(key)
-        found = ranked.join(sure, key, "left_semi").drop("_cx", "_cy", "_safe")
-        done = found if done is None else done.unionByName(found)
-        left = left.join(sure, key, "left_anti")
-        size *= 4
+    while True:
+        last = size > extent  # every point is in the cells around every query
+        at = lambda v: F.floor(c(v) / size)  # noqa: E731, B023
+        near = left.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumn("_cx", at("x") + c("_dx")).withColumn("_cy", at("y") + c("_dy")).drop("_dx", "_dy")
+        found = near.join(renamed.withColumn("_cx", at("_px")).withColumn("_cy", at("_py")), ["_cx", "_cy"]).withColumn("distance", F.hypot(c("x") - c("_px"), c("y") - c("_py")))
+        order = Window.partitionBy(key).orderBy("distance", "_px", "_py", *extra)
+        found = found.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= k)
+        edge = size + F.least(*(f for v in "xy" for f in (F.pmod(c(v), F.lit(size)), size - F.pmod(c(v), F.lit(size)))))
+        safe = F.lit(True) if last else c("distance") <= edge
+        sure = F.sum(safe.cast("int")).over(Window.partitionBy(key)) >= least
+        found = found.withColumn("_sure", sure).drop("_cx", "_cy")
+        found = found if last else checkpointed(found)
+        fine = found.filter("_sure").drop("_sure")
+        done = fine if done is None else done.unionByName(fine)
+        if last:
+            return done
+        left = checkpointed(left.join(fine.select(key).distinct(), key, "left_anti").select(*left.columns))
         if left.isEmpty():
-            break
-    return done
+            return done
+        size *= 2
 
 
 def range_anti(grid: DataFrame, points: DataFrame, distance: float) -> DataFrame:
@@ -248,12 +269,11 @@ def option_changes(current: dict[str, str], previous: dict[str, str], stage_of:
     return list(stages[min(stages.index(s) for s in changed) :]) if changed else []
 
 
-def systematic(points: DataFrame, n: int, order: Sequence[str], buckets: int = 64) -> DataFrame:
-    """every n-th point of a stable order; numbers are found from counts of key ranges, without one global sort task."""
-    if n <= 1:
-        return points
-    spread = points.withColumn("_h", F.pmod(F.xxhash64(*order), F.lit(buckets)))
-    counts = spread.groupBy("_h").agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_b", F.coalesce(F.sum("_c").over(Window.orderBy("_h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    numbered = spread.withColumn("_i", F.row_number().over(Window.partitionBy("_h").orderBy(*order)) - 1).join(F.broadcast(before), "_h")
-    return numbered.filter((F.col("_i") + F.col("_b")) % n == 0).drop("_h", "_i", "_b")
+def systematic(points: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """every n-th point of a total order, the first one included."""
+    return points if n <= 1 else ranked(points, order, "_i").filter((F.col("_i") - 1) % n == 0).drop("_i")
+
+
+def chunks(points: DataFrame, capacity: int, order: Sequence[str]) -> DataFrame:
+    """U4: points with ``chunk``, from 0, of at most so many points each, in a total order."""
+    return ranked(points, order, "_i").withColumn("chunk", F.floor((F.col("_i") - 1) / capacity)).drop("_i")

@@ -1,4 +1,7 @@
-"""Domain tables made from the driver's tables by plain arithmetic, in SQL that Spark and DuckDB read alike."""
+"""Domain tables made from the driver's tables by plain arithmetic, in SQL that Spark and DuckDB read alike.
+
+``gaps`` is the cloud of a survey that could not fly over three boxes.
+"""
 
 from __future__ import annotations
 
@@ -51,31 +54,30 @@ SQL = {
     """,
     "raster": """
         SELECT source, col, row, CAST(sum(z) AS DOUBLE) / count(*) AS value, CAST(count(*) AS DOUBLE) AS n, CAST(min(alpha) AS INT) AS alpha
-        FROM (SELECT submodel AS source, CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row, z, ord % 256 AS alpha FROM points WHERE ord % 3 = 0) AS t
+        FROM (SELECT submodel AS source, CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row, z, ord % 256 AS alpha FROM points) AS t
         GROUP BY source, col, row
     """,
+    "gaps": """
+        SELECT * FROM points WHERE NOT (x BETWEEN 60 AND 100 AND y BETWEEN 20 AND 60) AND NOT (x >= 150 AND y >= 70) AND NOT (x BETWEEN 20 AND 31 AND y BETWEEN 40 AND 51)
+    """,
     "submodels": """
         SELECT c_custkey AS id, c_nationkey AS submodel, CAST(c_custkey * 37 % 1000 AS DOUBLE) AS x, CAST(c_custkey * 91 % 1000 AS DOUBLE) AS y, c_acctbal AS spread FROM customer
     """,
 }
-_NEEDS = {"photos": "orders", "points": "lineitem", "pixels": "part", "fixes": "events", "gcp": "supplier", "raster": "lineitem", "submodels": "customer"}
+_NEEDS = {"photos": "orders", "points": "lineitem", "pixels": "part", "fixes": "events", "gcp": "supplier", "raster": "points", "gaps": "points", "submodels": "customer"}
 
 
 def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A domain table as a DataFrame."""
     source = _NEEDS[name]
     text = re.sub(rf"\bFROM {source}\b", f"FROM {{{source}}}", SQL[name])
-    frames = {source: table(spark, sf_dir, source)}
-    if name == "raster":
-        text, frames = SQL[name].replace("FROM points", "FROM {points}"), {"points": domain(spark, sf_dir, "points")}
-    return spark.sql(text, **frames)
+    return spark.sql(text, **{source: domain(spark, sf_dir, source) if source in SQL else table(spark, sf_dir, source)})
 
 
 def oracle(body: str) -> str:
     """body as DuckDB SQL, with the domain tables it names as common table expressions."""
     used = [n for n in SQL if re.search(rf"\b{n}\b", body)]
-    if "raster" in used and "points" not in used:
-        used.insert(0, "points")
+    used += [_NEEDS[n] for n in used if _NEEDS[n] in SQL and _NEEDS[n] not in used][:1]
     used.sort(key=list(SQL).index)
     with_ = ", ".join(f"{n} AS ({SQL[n]})" for n in used)
     body = body.strip()

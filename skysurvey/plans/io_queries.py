@@ -31,7 +31,7 @@ def query(sql: str | None = None):
     return add
 
 
-def _texts(df: DataFrame, path: str, line: str, order: str, head: str | None = None, sep: str = "\n") -> DataFrame:
+def texts_by(df: DataFrame, path: str, line: str, order: str, head: str | None = None, sep: str = "\n") -> DataFrame:
     """One text a path, of a head and the lines in order."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(c(order).alias("o"), c(line).alias("l")))), lambda r: r["l"]), sep)
     text = F.concat(F.lit(head + sep), body) if head else body
@@ -44,54 +44,57 @@ def gcp_text(spark, sf_dir):
     g = domain(spark, sf_dir, "gcp")
     whole = F.concat_ws(" ", *(c(k).cast("string") for k in ("x", "y", "z", "px", "py")), "filename", F.concat(F.lit("gcp"), c("id").cast("string")))
     g = g.withColumn("line", F.when(c("id") % 10 == 3, F.concat(F.lit("# "), whole)).otherwise(F.concat(whole, F.when(c("id") % 4 == 0, "\n\n1 2 3").otherwise(""))))
-    files = _texts(g, "survey", "line", "id", "WGS84 UTM 16N")
+    files = texts_by(g, "survey", "line", "id", "WGS84 UTM 16N")
     return T.parse_gcp(files).select("path", "srs", "x", "y", "z", "px", "py", "filename", "extras")
 
 
 @query("""
-    SELECT CAST(capture % 10 AS STRING) AS path, max_by(band_name, ord) AS filename, CAST(max(ord) AS DOUBLE) AS x, CAST(CASE WHEN max(ord) % 3 = 0 THEN NULL ELSE max(ord) % 360 END AS DOUBLE) AS yaw FROM photos WHERE ord < 500 GROUP BY capture % 10, band_name
+    SELECT CAST(capture // 10 AS STRING) AS path, max_by(band_name, ord) AS filename, CAST(max(ord) AS DOUBLE) AS x, CAST(CASE WHEN max(ord) % 3 = 0 THEN NULL ELSE max(ord) % 360 END AS DOUBLE) AS yaw FROM photos GROUP BY capture // 10, band_name
 """)
 def geo_text(spark, sf_dir):
     """Positions from texts; the last line of a name wins, angles need all three."""
-    p = domain(spark, sf_dir, "photos").filter("ord < 500").withColumn("file", c("capture") % 10)
+    p = domain(spark, sf_dir, "photos").withColumn("file", F.floor(c("capture") / 10))
     angles = F.when(c("ord") % 3 == 0, "NaN 0 0").otherwise(F.concat((c("ord") % 360).cast("string"), F.lit(" 0 0")))
     p = p.withColumn("line", F.concat_ws(" ", "band_name", c("ord").cast("string"), F.lit("1 2"), angles))
-    return T.parse_geo(_texts(p, "file", "line", "ord", "EPSG:4326")).select("path", "filename", "x", "yaw")
+    return T.parse_geo(texts_by(p, "file", "line", "ord", "EPSG:4326")).select("path", "filename", "x", "yaw")
 
 
 @query("""
-    SELECT CAST(track AS STRING) AS path, CAST(id % 3600 AS DOUBLE) + 0.5 AS start_s, CAST(id % 3600 AS DOUBLE) + 1.25 AS end_s, CAST(100 + id % 300 AS INT) AS iso, CAST(60 + id % 100 AS DOUBLE) AS shutter,
-           CAST(id % 90 AS DOUBLE) + 0.25 AS latitude, CAST(id % 180 AS DOUBLE) + 0.5 AS longitude, CAST(id % 500 AS DOUBLE) AS altitude FROM fixes WHERE id < 600
+    SELECT CAST(id // 500 AS STRING) AS path, CAST(id % 3600 AS DOUBLE) + 0.5 AS start_s, CAST(id % 3600 AS DOUBLE) + 1.25 AS end_s, CAST(100 + id % 300 AS INT) AS iso, CAST(60 + id % 100 AS DOUBLE) AS shutter,
+           CAST(id % 90 AS DOUBLE) + 0.25 AS latitude, CAST(id % 180 AS DOUBLE) + 0.5 AS longitude, CAST(id % 500 AS DOUBLE) AS altitude FROM fixes
 """)
 def srt_text(spark, sf_dir):
-    """Cues of two vendors' dialects."""
-    f = domain(spark, sf_dir, "fixes").filter("id < 600")
+    """Cues of four dialects."""
+    f = domain(spark, sf_dir, "fixes")
     s = c("id") % 3600
     stamp = lambda frac: F.format_string(f"%02d:%02d:%02d,{frac}", F.floor(s / 3600), F.floor(s % 3600 / 60), s % 60)
     late = F.format_string("%02d:%02d:%02d,250", F.floor((s + 1) / 3600), F.floor((s + 1) % 3600 / 60), (s + 1) % 60)
     one = F.format_string("[iso : %d] [shutter : 1/%d.0] [fnum : 280] [latitude: %d.25] [longitude: %d.5] [altitude: %d.0]", 100 + c("id") % 300, 60 + c("id") % 100, c("id") % 90, c("id") % 180, c("id") % 500)
-    two = F.format_string("<font size=28>ISO:%d Shutter:%d GPS(%d.5,%d.25,17) H %d.0m</font>", 100 + c("id") % 300, 60 + c("id") % 100, c("id") % 180, c("id") % 90, c("id") % 500)
-    line = F.concat(c("id").cast("string"), F.lit("\n"), stamp("500"), F.lit(" --> "), late, F.lit("\n"), F.when(c("id") % 2 == 0, one).otherwise(two))
-    files = _texts(f.withColumn("line", line), "track", "line", "id", sep="\n\n")
+    place = [100 + c("id") % 300, 60 + c("id") % 100, c("id") % 180, c("id") % 90, c("id") % 500]
+    two = F.format_string("<font size=28>ISO:%d Shutter:%d GPS(%d.5,%d.25,%d) H 17.0m</font>", *place)
+    three = F.format_string("F/6.3, ISO %d, SS %d, EV 0, RTK (%d.5, %d.25, %d), HOME (1.5, 2.5, 103.55m), D 75.36m, H 76.19m", *place)
+    four = F.format_string("[iso : %d] [shutter : 1/%d.0] [longtitude : %d.5] [latitude : %d.25] [rel_alt: 0.300 abs_alt: %d.0]", *place)
+    line = F.concat(c("id").cast("string"), F.lit("\n"), stamp("500"), F.lit(" --> "), late, F.lit("\n"), F.when(c("id") % 4 == 0, one).when(c("id") % 4 == 1, two).when(c("id") % 4 == 2, three).otherwise(four))
+    files = texts_by(f.withColumn("line", line).withColumn("file", F.floor(c("id") / 500)), "file", "line", "id", sep="\n\n")
     return T.parse_srt(files).select("path", "start_s", "end_s", "iso", "shutter", "latitude", "longitude", "altitude")
 
 
-@query("SELECT CAST(capture % 20 AS STRING) AS path, filename, CAST(ord AS STRING) AS rest FROM photos WHERE ord < 400")
+@query("SELECT CAST(capture // 100 AS STRING) AS path, filename, CAST(ord AS STRING) AS rest FROM photos")
 def nvm_text(spark, sf_dir):
     """S18, W7."""
-    p = domain(spark, sf_dir, "photos").filter("ord < 400").withColumn("file", c("capture") % 20)
+    p = domain(spark, sf_dir, "photos").withColumn("file", F.floor(c("capture") / 100))
     n = p.groupBy(c("file").cast("string").alias("path")).agg(F.count("*").alias("n"))
-    files = _texts(p.withColumn("line", F.concat_ws(" ", "filename", c("ord").cast("string"))), "file", "line", "ord").join(n, "path")
+    files = texts_by(p.withColumn("line", F.concat_ws(" ", "filename", c("ord").cast("string"))), "file", "line", "ord").join(n, "path")
     files = files.select("path", F.concat(F.lit("NVM_V3\n\n"), c("n").cast("string"), F.lit("\n"), "text", F.lit("\n0\n")).alias("text"))
     return T.parse_nvm(files).select("path", "filename", "rest")
 
 
-@query("SELECT CAST(CAST(floor(id / 100) AS BIGINT) AS STRING) AS path, id % 100 + 1 AS id, CAST(row AS DOUBLE) AS x, CAST(col AS DOUBLE) AS y FROM pixels WHERE id < 1000")
+@query("SELECT CAST(CAST(floor(id / 100) AS BIGINT) AS STRING) AS path, id % 100 + 1 AS id, CAST(row AS DOUBLE) AS x, CAST(col AS DOUBLE) AS y FROM pixels")
 def obj_text(spark, sf_dir):
     """Vertices of mesh texts; comments and faces between them."""
-    p = domain(spark, sf_dir, "pixels").filter("id < 1000").withColumn("file", F.floor(c("id") / 100))
+    p = domain(spark, sf_dir, "pixels").withColumn("file", F.floor(c("id") / 100))
     line = F.concat(F.format_string("v %d %d 1.5\nvt 0.5 0.25\n# note", c("row"), c("col")), F.when(c("id") % 3 == 0, "\nusemtl m\nf 1/1 2/1 3/1").otherwise(""))
-    vertices, _, _ = T.parse_obj(_texts(p.withColumn("line", line), "file", "line", "id"))
+    vertices, _, _ = T.parse_obj(texts_by(p.withColumn("line", line), "file", "line", "id"))
     return vertices.select("path", c("id").cast("long").alias("id"), "x", "y")
 
 
@@ -105,28 +108,29 @@ def boundary_text(spark, sf_dir):
     return rings.select("path", F.array_max(F.transform("ring", lambda p: p["x"])).alias("x"), F.size("ring").cast("long").alias("n"))
 
 
-@query("SELECT submodel, count(*) AS n, round(sum(x), 3) AS x, sum(class) AS class, max(red) AS red FROM points WHERE ord % 20 = 0 GROUP BY submodel")
+@query("SELECT submodel, count(*) AS n, round(sum(x), 3) AS x, sum(class) AS class, max(red) AS red FROM points GROUP BY submodel")
 def las_round_trip(spark, sf_dir):
-    """Points written as LAS files and read back."""
+    """Points written as LAS files of bounded size and read back."""
     ship(spark)
-    p = domain(spark, sf_dir, "points").filter("ord % 20 = 0").select("submodel", "x", "y", "z", c("class").alias("classification"), "red", F.ascii("submodel").alias("point_source_id"))
+    cut = S.chunks(domain(spark, sf_dir, "points"), 50_000, ["submodel", "ord", "line", "x", "y", "z"])
+    p = cut.select("submodel", "chunk", "x", "y", "z", c("class").alias("classification"), "red", F.ascii("submodel").alias("point_source_id"))
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"content": [B.las_bytes(frame)]})
 
-    files = p.groupBy("submodel").applyInPandas(pack, "content binary")
+    files = p.groupBy("submodel", "chunk").applyInPandas(pack, "content binary")
     back = B.las_from_binary(files).withColumn("submodel", F.char("point_source_id"))
     return back.groupBy("submodel").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("x"), F.sum("classification").alias("class"), F.max("red").alias("red"))
 
 
 @query("""
-    WITH RECURSIVE f AS (SELECT track, ts, value, row_number() OVER (PARTITION BY track ORDER BY ts) AS rn FROM fixes WHERE track < 12 AND value * 4 >= 20 AND id % 50 <> 0),
+    WITH RECURSIVE f AS (SELECT track, ts, value, row_number() OVER (PARTITION BY track ORDER BY ts) AS rn FROM fixes WHERE value * 4 >= 20 AND id % 50 <> 0),
     g AS (SELECT track, ts, value, rn, value AS last, true AS kept FROM f WHERE rn = 1 UNION ALL SELECT f.track, f.ts, f.value, f.rn, CASE WHEN abs(f.value - g.last) >= 10 THEN f.value ELSE g.last END, abs(f.value - g.last) >= 10 FROM g JOIN f ON f.track = g.track AND f.rn = g.rn + 1)
-    SELECT x.id, CASE WHEN x.value * 4 < 20 THEN 'blurry' WHEN x.id % 50 = 0 THEN 'black' WHEN g.kept THEN 'kept' ELSE 'similar' END AS verdict FROM fixes x LEFT JOIN g ON x.track = g.track AND x.ts = g.ts WHERE x.track < 12
+    SELECT x.id, CASE WHEN x.value * 4 < 20 THEN 'blurry' WHEN x.id % 50 = 0 THEN 'black' WHEN g.kept THEN 'kept' ELSE 'similar' END AS verdict FROM fixes x LEFT JOIN g ON x.track = g.track AND x.ts = g.ts
 """)
 def frame_selection(spark, sf_dir):
     """V1, V2, W3."""
-    f = domain(spark, sf_dir, "fixes").filter("track < 12").select("id", c("track").alias("video"), "ts", c("value").alias("feature"), (c("value") * 4).alias("blur"), F.when(c("id") % 50 == 0, 1.0).otherwise(0.1).alias("black"))
+    f = domain(spark, sf_dir, "fixes").select("id", c("track").alias("video"), "ts", c("value").alias("feature"), (c("value") * 4).alias("blur"), F.when(c("id") % 50 == 0, 1.0).otherwise(0.1).alias("black"))
     return V.select_frames(f.withColumn("blur", c("blur") * 10), "video", "ts", "feature").select("id", "verdict")
 
 
@@ -142,11 +146,11 @@ def flight_sessions(spark, sf_dir):
 
 @query("""
     SELECT ord, replace(CAST(CAST(ord % 1000 AS DOUBLE) / 8 AS STRING), '.', ',') AS score, concat('POLYGON((', CAST(CAST(ord AS DOUBLE) AS STRING), ' 0.0, ', CAST(CAST(ord AS DOUBLE) AS STRING), ' 1.0, 2.0 3.0, ', CAST(CAST(ord AS DOUBLE) AS STRING), ' 0.0))') AS wkt,
-           concat_ws(chr(10), '2.0', '0.0', '0.0', '-2.0', CAST(CAST(ord AS DOUBLE) AS STRING), '7.0') AS world FROM photos WHERE ord < 2000
+           concat_ws(chr(10), '2.0', '0.0', '0.0', '-2.0', CAST(CAST(ord AS DOUBLE) AS STRING), '7.0') AS world FROM photos
 """)
 def sink_columns(spark, sf_dir):
     """K6, K19, K20, K31."""
-    p = domain(spark, sf_dir, "photos").filter("ord < 2000").withColumn("score", (c("ord") % 1000).cast("double") / 8)
+    p = domain(spark, sf_dir, "photos").withColumn("score", (c("ord") % 1000).cast("double") / 8)
     o = c("ord").cast("double")
     at = lambda x, y: F.struct(x.alias("x"), F.lit(y).alias("y"))
     ring = F.array(at(o, 0.0), at(o, 1.0), at(F.lit(2.0), 3.0))

@@ -40,33 +40,33 @@ def dsm_cell_max(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT * FROM points WHERE ord % 7 = 0), s AS (SELECT p.z, CAST(floor(x / 4) AS BIGINT) + i AS col, CAST(floor(y / 4) AS BIGINT) + j AS row, p.x, p.y FROM p, range(-2, 3) a(i), range(-2, 3) b(j))
+    WITH s AS (SELECT p.z, CAST(floor(x / 4) AS BIGINT) + i AS col, CAST(floor(y / 4) AS BIGINT) + j AS row, p.x, p.y FROM points p, range(-2, 3) a(i), range(-2, 3) b(j))
     SELECT row, col, max(z) AS value FROM s WHERE sqrt((x - (col + 0.5) * 4) * (x - (col + 0.5) * 4) + (y - (row + 0.5) * 4) * (y - (row + 0.5) * 4)) <= 5 GROUP BY row, col
 """)
 def dsm_radius_max(spark, sf_dir):
     """Highest point within a radius of each cell."""
-    return R.grid_radius(domain(spark, sf_dir, "points").filter("ord % 7 = 0"), 4.0, 5.0)
+    return R.grid_radius(domain(spark, sf_dir, "points"), 4.0, 5.0)
 
 
 @query("""
-    WITH p AS (SELECT * FROM points WHERE class = 2 AND ord % 7 = 0), s AS (SELECT z, CAST(floor(x / 4) AS BIGINT) + i AS col, CAST(floor(y / 4) AS BIGINT) + j AS row, x, y FROM p, range(-2, 3) a(i), range(-2, 3) b(j)),
+    WITH p AS (SELECT * FROM points WHERE class = 2), s AS (SELECT z, CAST(floor(x / 4) AS BIGINT) + i AS col, CAST(floor(y / 4) AS BIGINT) + j AS row, x, y FROM p, range(-2, 3) a(i), range(-2, 3) b(j)),
     d AS (SELECT row, col, z, sqrt((x - (col + 0.5) * 4) * (x - (col + 0.5) * 4) + (y - (row + 0.5) * 4) * (y - (row + 0.5) * 4)) AS d FROM s)
     SELECT row, col, round(coalesce(min(CASE WHEN d = 0 THEN z END), sum(CASE WHEN d > 0 THEN z / d END) / sum(CASE WHEN d > 0 THEN 1 / d END)), 6) AS value FROM d WHERE d <= 5 GROUP BY row, col
 """)
 def dtm_idw(spark, sf_dir):
     """Inverse-distance mean of ground points."""
-    p = domain(spark, sf_dir, "points").filter("class = 2 AND ord % 7 = 0")
+    p = domain(spark, sf_dir, "points").filter("class = 2")
     return R.grid_radius(p, 4.0, 5.0, "idw").withColumn("value", F.round("value", 6))
 
 
 @query("""
-    WITH a AS (SELECT CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row, max(z) AS v FROM points WHERE ord % 31 = 0 GROUP BY 1, 2), b AS (SELECT CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row, max(z) AS v FROM points WHERE ord % 5 = 0 GROUP BY 1, 2)
+    WITH a AS (SELECT CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row, max(z) AS v FROM gaps GROUP BY 1, 2), b AS (SELECT CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row, max(z) + 1 AS v FROM points GROUP BY 1, 2)
     SELECT row, col, coalesce(a.v, b.v) AS value FROM a FULL JOIN b USING (row, col)
 """)
 def mosaic_finest(spark, sf_dir):
     """The finer layer where it has a value."""
-    p = domain(spark, sf_dir, "points")
-    return R.finest([(2.0, R.grid_max(p.filter("ord % 5 = 0"), 4.0)), (1.0, R.grid_max(p.filter("ord % 31 = 0"), 4.0))])
+    coarse = R.grid_max(domain(spark, sf_dir, "points"), 4.0).withColumn("value", c("value") + 1)
+    return R.finest([(2.0, coarse), (1.0, R.grid_max(domain(spark, sf_dir, "gaps"), 4.0))])
 
 
 @query(f"""
@@ -152,26 +152,24 @@ def ortho_alpha_fold(spark, sf_dir):
 
 
 @query("""
-    WITH d AS (SELECT DISTINCT CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row FROM points WHERE ord % 41 = 0),
-    o AS (SELECT i, j, sqrt(i * i + j * j) AS d FROM range(-4, 5) a(i), range(-4, 5) b(j) WHERE i * i + j * j BETWEEN 1 AND 16)
-    SELECT d.row, d.col, round(min(o.d), 6) AS dist, round(255 * least(min(o.d) / 20, 1), 6) AS alpha FROM d LEFT JOIN o ON NOT EXISTS (SELECT 1 FROM d e WHERE e.row = d.row + o.i AND e.col = d.col + o.j) GROUP BY d.row, d.col
+    WITH d AS (SELECT DISTINCT CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row FROM gaps), f AS (SELECT i AS row, j AS col FROM range(-1, 28) a(i), range(-1, 53) b(j)),
+    m AS (SELECT row, col FROM f WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.row = f.row AND d.col = f.col)), e AS (SELECT d.row, d.col, sqrt(min((d.row - m.row) * (d.row - m.row) + (d.col - m.col) * (d.col - m.col))) AS d FROM d, m GROUP BY d.row, d.col)
+    SELECT row, col, round(d, 6) AS dist, round(255 * least(d / 20, 1), 6) AS alpha FROM e
 """)
 def edge_feather(spark, sf_dir):
     """A18, R14."""
-    d = R.grid_max(domain(spark, sf_dir, "points").filter("ord % 41 = 0"), 4.0)
-    e = R.edge_distance(d.select("row", "col"), 4)
-    alpha = F.coalesce(R.feather(F.lit(255.0), c("dist")), F.when(c("dist").isNull(), F.lit(None).cast("double")))
-    return e.select("row", "col", F.round("dist", 6).alias("dist"), F.round(F.coalesce(alpha, F.lit(255.0)), 6).alias("alpha"))
+    e = R.edge_distance(R.grid_max(domain(spark, sf_dir, "gaps"), 4.0).select("row", "col"))
+    return e.select("row", "col", F.round("dist", 6).alias("dist"), F.round(R.feather(F.lit(255.0), c("dist")), 6).alias("alpha"))
 
 
 @query("""
-    WITH f AS (SELECT i AS row, j AS col FROM range(0, 25) a(i), range(0, 50) b(j)), d0 AS (SELECT CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row, max(z) AS value FROM points WHERE ord % 41 = 0 GROUP BY 1, 2),
+    WITH f AS (SELECT i AS row, j AS col FROM range(0, 25) a(i), range(0, 50) b(j)), d0 AS (SELECT CAST(floor(x / 4) AS BIGINT) AS col, CAST(floor(y / 4) AS BIGINT) AS row, max(z) AS value FROM gaps GROUP BY 1, 2),
     d1 AS (SELECT row, col, value FROM d0 UNION ALL SELECT f.row, f.col, avg(d.value) FROM f JOIN d0 d ON abs(d.row - f.row) <= 1 AND abs(d.col - f.col) <= 1 WHERE NOT EXISTS (SELECT 1 FROM d0 z WHERE z.row = f.row AND z.col = f.col) GROUP BY f.row, f.col)
     SELECT row, col, round(value, 6) AS value FROM d1 UNION ALL SELECT f.row, f.col, round(avg(d.value), 6) FROM f JOIN d1 d ON abs(d.row - f.row) <= 1 AND abs(d.col - f.col) <= 1 WHERE NOT EXISTS (SELECT 1 FROM d1 z WHERE z.row = f.row AND z.col = f.col) GROUP BY f.row, f.col
 """)
 def dem_gap_fill(spark, sf_dir):
     """A17, R34."""
-    d = R.grid_max(domain(spark, sf_dir, "points").filter("ord % 41 = 0"), 4.0)
+    d = R.grid_max(domain(spark, sf_dir, "gaps"), 4.0)
     frame = spark.range(25).select(c("id").alias("row")).withColumn("col", F.explode(F.sequence(F.lit(0), F.lit(49))))
     return R.fill_gaps(d, frame, 2).withColumn("value", F.round("value", 6))
 
@@ -189,9 +187,9 @@ def dem_samples(spark, sf_dir):
 
 @query(f"""
     WITH d AS ({_DSM}), s AS (SELECT id, CAST(id % 44 AS DOUBLE) + 2.25 AS x, CAST(id % 19 AS DOUBLE) + 2.75 AS y FROM submodels),
-    k AS (SELECT s.id, d.value, abs(s.y - d.row) AS a, abs(s.x - d.col) AS b FROM s JOIN d ON d.row BETWEEN floor(s.y) - 1 AND floor(s.y) + 2 AND d.col BETWEEN floor(s.x) - 1 AND floor(s.x) + 2),
+    k AS (SELECT s.id, d.value, abs(s.y - d.row) AS a, abs(s.x - d.col) AS b FROM s LEFT JOIN d ON d.row BETWEEN floor(s.y) - 1 AND floor(s.y) + 2 AND d.col BETWEEN floor(s.x) - 1 AND floor(s.x) + 2),
     w AS (SELECT id, value, CASE WHEN a <= 1 THEN (1.5 * a - 2.5) * a * a + 1 WHEN a < 2 THEN ((-0.5 * a + 2.5) * a - 4) * a + 2 ELSE 0 END * CASE WHEN b <= 1 THEN (1.5 * b - 2.5) * b * b + 1 WHEN b < 2 THEN ((-0.5 * b + 2.5) * b - 4) * b + 2 ELSE 0 END AS w FROM k)
-    SELECT id, round(sum(value * w) / sum(w), 6) AS value FROM w GROUP BY id
+    SELECT id, CASE WHEN abs(sum(CASE WHEN value IS NOT NULL THEN w END)) > 0.000001 THEN round(sum(value * w) / sum(CASE WHEN value IS NOT NULL THEN w END), 6) END AS value FROM w GROUP BY id
 """)
 def dem_cubic_samples(spark, sf_dir):
     """R29."""
@@ -262,21 +260,26 @@ def thinned_cloud(spark, sf_dir):
     return O.cell_sample(domain(spark, sf_dir, "points").select("x", "y", "z").distinct(), 5.0)
 
 
-@query("SELECT (SELECT count(*) FROM points) AS total, CAST(ceil((SELECT count(*) FROM points) / 10.0) AS BIGINT) AS kept")
+@query("SELECT ord, line, x, y, z FROM (SELECT *, row_number() OVER (ORDER BY ord, line, x, y, z) AS i FROM points) AS t WHERE i % 10 = 1")
 def decimated_cloud(spark, sf_dir):
-    """One point in ten; the number kept is fixed by the count."""
-    p = domain(spark, sf_dir, "points")
-    kept = S.systematic(p, 10, ["ord", "line", "x", "y", "z"])
-    return p.agg(F.count("*").alias("total")).crossJoin(F.broadcast(kept.agg(F.count("*").alias("kept"))))
+    """one point in ten of a total order."""
+    return S.systematic(domain(spark, sf_dir, "points"), 10, ["ord", "line", "x", "y", "z"]).select("ord", "line", "x", "y", "z")
+
+
+@query("SELECT chunk, count(*) AS n, min(ord) AS first_ord, max(ord) AS last_ord, round(sum(z), 4) AS z FROM (SELECT *, CAST(floor((row_number() OVER (ORDER BY ord, line, x, y, z) - 1) / 500) AS BIGINT) AS chunk FROM points) AS t GROUP BY chunk")
+def cloud_chunks(spark, sf_dir):
+    """U4: chunks of at most 500 points."""
+    p = S.chunks(domain(spark, sf_dir, "points"), 500, ["ord", "line", "x", "y", "z"])
+    return p.groupBy("chunk").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"), F.round(F.sum("z"), 4).alias("z"))
 
 
 @query("""
-    WITH p AS (SELECT id, x, y FROM gcp UNION ALL SELECT 1000 + id, x / 10, y / 20 FROM submodels WHERE id < 200), d AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS rn FROM p a JOIN p b ON a.id <> b.id),
+    WITH p AS (SELECT id, x, y FROM gcp UNION ALL SELECT 1000000 + id, x / 10, y / 20 FROM submodels), d AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.id ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.id) AS rn FROM p a JOIN p b ON a.id <> b.id),
     m AS (SELECT id, avg(d) AS m FROM d WHERE rn <= 4 GROUP BY id) SELECT id, round(m, 6) AS mean_distance, m < (SELECT avg(m) + 2.5 * stddev_samp(m) FROM m) AS keep FROM m
 """)
 def outlier_filter(spark, sf_dir):
     """F5."""
-    p = domain(spark, sf_dir, "gcp").select("id", "x", "y").unionByName(domain(spark, sf_dir, "submodels").filter("id < 200").select((1000 + c("id")).alias("id"), (c("x") / 10).alias("x"), (c("y") / 20).alias("y")))
+    p = domain(spark, sf_dir, "gcp").select("id", "x", "y").unionByName(domain(spark, sf_dir, "submodels").select((1000000 + c("id")).alias("id"), (c("x") / 10).alias("x"), (c("y") / 20).alias("y")))
     return O.outliers(p, "id", 4, 2.5, 8.0).select("id", F.round("mean_distance", 6).alias("mean_distance"), "keep")
 
 
@@ -319,10 +322,16 @@ def median_partitions(spark, sf_dir):
     return O.quad_split(domain(spark, sf_dir, "points"), (0, 0, 200, 100), 500, 50.0, median=True).groupBy("node").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+    WITH RECURSIVE g AS (SELECT CAST(i * 4 AS DOUBLE) AS x, CAST(j * 4 AS DOUBLE) AS y FROM range(0, 51) a(i), range(0, 26) b(j)),
+    u AS (SELECT x, y, CAST(x * 1000 + y AS BIGINT) AS id FROM g WHERE NOT EXISTS (SELECT 1 FROM gaps p WHERE abs(p.x - g.x) + abs(p.y - g.y) <= 4 - 1e-5)),
+    e AS (SELECT a.id AS a, b.id AS b FROM u a JOIN u b ON abs(a.x - b.x) + abs(a.y - b.y) <= 4),
+    r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)
+    SELECT u.x, u.y, min(r.b) AS component FROM u JOIN r ON r.a = u.id GROUP BY u.x, u.y
+""")
 def grid_clusters(spark, sf_dir):
-    """Connected clusters of uncovered grid places; tested against a flood fill."""
-    p = domain(spark, sf_dir, "points").select("x", "y")
+    """Connected clusters of uncovered grid places."""
+    p = domain(spark, sf_dir, "gaps").select("x", "y")
     g = spark.range(51).select((c("id") * 4).cast("double").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(25)))).withColumn("y", (c("y") * 4).cast("double"))
     free = S.range_anti(g, p, 4.0).withColumn("id", (c("x") * 1000 + c("y")).cast("long"))
     return O.cell_clusters(free, 4.0).select("x", "y", "component")
@@ -331,7 +340,7 @@ def grid_clusters(spark, sf_dir):
 @query()
 def extended_ground(spark, sf_dir):
     """Ground synthesised on uncovered grid places, with plane height and mean colour."""
-    p = domain(spark, sf_dir, "points").filter("class = 2")
+    p = domain(spark, sf_dir, "gaps").filter("class = 2")
     hull = O.convex_hull(p.select("x", "y"))
     free = S.range_anti(O.grid_in_hull(hull, 4.0, p), p.select("x", "y"), 4.0).withColumn("part", F.floor(c("x") / 50))
     ground = p.withColumn("part", F.floor(c("x") / 50))
@@ -351,7 +360,7 @@ def ground_classes(spark, sf_dir):
     WHERE i BETWEEN floor((x - 20) / 250) AND floor((x + 20) / 250) AND j BETWEEN floor((y - 20) / 250) AND floor((y + 20) / 250) GROUP BY 1, 2
 """)
 def split_submodels(spark, sf_dir):
-    """Submodels that overlap."""
+    """Submodels that overlap."""
     s = O.overlapping_submodels(domain(spark, sf_dir, "submodels"), 250.0, 20.0)
     return s.groupBy("sub_col", "sub_row").agg(F.count("*").alias("n"), F.sum(c("core").cast("long")).alias("core"))
 
@@ -366,11 +375,10 @@ def survey_hull(spark, sf_dir):
 
 
 @query("""
-    SELECT x, y, z, class, coalesce(views, 0) AS views FROM (SELECT x, y, z, class, views FROM points WHERE ord % 50 = 0 UNION ALL SELECT x, y, z + 1, class, NULL FROM points WHERE ord % 50 = 1) AS t
+    SELECT x, y, z, class, coalesce(views, 0) AS views FROM (SELECT x, y, z, class, views FROM points UNION ALL SELECT x, y, z + 1, class, NULL FROM gaps) AS t
 """)
 def merged_clouds(spark, sf_dir):
     """Union with defaults for missing dimensions."""
     p = domain(spark, sf_dir, "points")
-    a = p.filter("ord % 50 = 0").select("x", "y", "z", "class", "views")
-    b = p.filter("ord % 50 = 1").select("x", "y", (c("z") + 1).alias("z"), "class")
-    return S.union_clouds(a, b, {"views": 0})
+    b = domain(spark, sf_dir, "gaps").select("x", "y", (c("z") + 1).alias("z"), "class")
+    return S.union_clouds(p.select("x", "y", "z", "class", "views"), b, {"views": 0})

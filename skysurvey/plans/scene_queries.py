@@ -167,7 +167,7 @@ def orthorectified_cells(spark, sf_dir):
     d = _dsm(spark, sf_dir)
     image = domain(spark, sf_dir, "pixels").select("row", "col", c("red").alias("value"))
     camera = {"x": 100.0, "y": 50.0, "z": 90.0, "width": 50.0, "height": 40.0, "focal": 20.0}
-    return C.orthorectified(d, d, image, camera, (1, 0, 0, 0, -1, 0, 0, 0, 1), 4.0, 20).select("row", "col", F.round("value", 6).alias("value"))
+    return C.orthorectified(d, d, image, camera, (1, 0, 0, 0, -1, 0, 0, 0, 1), 4.0).select("row", "col", F.round("value", 6).alias("value"))
 
 
 @query()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -45,11 +47,22 @@ def complete_band_sets(spark, sf_dir):
     return S.complete_captures(domain(spark, sf_dir, "photos").filter("ord % 7 <> 3"), "capture", "band_name").select("ord", "capture", "band_name")
 
 
-@query("SELECT ord, band_name FROM (SELECT ord, CASE WHEN ord % 9 = 0 THEN 'RGB' ELSE band_name END AS band_name FROM photos) AS t WHERE band_name <> 'RGB'")
+@query("""
+    WITH p AS (SELECT ord, CASE WHEN ord % 9 = 0 THEN 'RGB' ELSE band_name END AS band_name FROM photos)
+    SELECT 'all' AS survey, ord, band_name FROM p WHERE band_name <> 'RGB' UNION ALL SELECT 'no_blue', ord, band_name FROM p WHERE band_name NOT IN ('Red', 'Green', 'Blue')
+    UNION ALL SELECT 'other_lens', ord, band_name FROM p WHERE band_name NOT IN ('RGB', 'Blue') UNION ALL SELECT 'no_colour', ord, band_name FROM p WHERE band_name <> 'RGB'
+    UNION ALL SELECT 'joined', ord, 'RedGreenBlue' FROM p WHERE band_name = 'RGB' UNION ALL SELECT 'joined', ord, band_name FROM p WHERE band_name IN ('NIR', 'RedEdge')
+""")
 def redundant_bands(spark, sf_dir):
-    """F1."""
+    """five surveys with other bands missing."""
     p = domain(spark, sf_dir, "photos").select("ord", F.when(c("ord") % 9 == 0, "RGB").otherwise(c("band_name")).alias("band_name"))
-    return S.drop_redundant_bands(p)
+    m3m = p.filter("band_name <> 'Blue'").select("*", F.lit("DJI").alias("make"), F.lit("M3M").alias("model"))
+    joined = p.filter("band_name <> 'Green'").withColumn("band_name", F.when(c("band_name") == "RGB", "RedGreenBlue").otherwise(c("band_name")))
+    surveys = {
+        "all": S.drop_redundant_bands(p), "no_blue": S.drop_redundant_bands(p.filter("band_name <> 'Blue'")), "other_lens": S.drop_redundant_bands(m3m, make="make", model="model", order="ord"),
+        "no_colour": S.drop_redundant_bands(p.filter("band_name <> 'RGB'")), "joined": S.drop_redundant_bands(joined),
+    }
+    return functools.reduce(DataFrame.unionByName, (df.select(F.lit(name).alias("survey"), "ord", "band_name") for name, df in surveys.items()))
 
 
 @query("""
@@ -155,23 +168,23 @@ def asof_positions(spark, sf_dir):
 
 
 @query("""
-    WITH p AS (SELECT DISTINCT x, y, z FROM points WHERE ord % 5 = 0), s AS (SELECT id, x, y FROM gcp),
+    WITH p AS (SELECT DISTINCT x, y, z FROM points), s AS (SELECT id, x, y FROM gcp),
     d AS (SELECT s.id, p.z, row_number() OVER (PARTITION BY s.id ORDER BY sqrt((p.x - s.x)*(p.x - s.x) + (p.y - s.y)*(p.y - s.y)), p.x, p.y, p.z) AS rn FROM s, p)
     SELECT id, round(median(z), 6) AS ground FROM d WHERE rn <= 9 GROUP BY id
 """)
 def ground_heights(spark, sf_dir):
     """The median height of the 9 nearest points."""
-    p = domain(spark, sf_dir, "points").filter("ord % 5 = 0").select("x", "y", "z").distinct()
+    p = domain(spark, sf_dir, "points").select("x", "y", "z").distinct()
     return S.nearest(domain(spark, sf_dir, "gcp").select("id", "x", "y"), p, "id", 9, 4.0).groupBy("id").agg(F.round(F.median("z"), 6).alias("ground"))
 
 
 @query("""
-    WITH p AS (SELECT x, y FROM points WHERE ord % 97 = 0), g AS (SELECT CAST(i * 4 AS DOUBLE) AS x, CAST(j * 4 AS DOUBLE) AS y FROM range(0, 51) a(i), range(0, 26) b(j))
+    WITH p AS (SELECT x, y FROM gaps), g AS (SELECT CAST(i * 4 AS DOUBLE) AS x, CAST(j * 4 AS DOUBLE) AS y FROM range(0, 51) a(i), range(0, 26) b(j))
     SELECT x, y FROM g WHERE NOT EXISTS (SELECT 1 FROM p WHERE abs(p.x - g.x) + abs(p.y - g.y) <= 4 - 1e-5)
 """)
 def uncovered_grid(spark, sf_dir):
     """Grid places without a point nearby."""
-    p = domain(spark, sf_dir, "points").filter("ord % 97 = 0").select("x", "y")
+    p = domain(spark, sf_dir, "gaps").select("x", "y")
     g = spark.range(51).select((c("id") * 4).cast("double").alias("x")).withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(25)))).withColumn("y", (c("y") * 4).cast("double"))
     return S.range_anti(g, p, 4.0)
 
@@ -185,7 +198,7 @@ def colour_ramp(spark, sf_dir):
 
 
 @query("""
-    WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id < 40), t AS (SELECT vec_id AS other, embedding AS e FROM embeddings),
+    WITH q AS (SELECT vec_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0), t AS (SELECT vec_id AS other, embedding AS e FROM embeddings),
     d AS (SELECT q.vec_id, t.other, round(list_sum([(CAST(q.e[i] AS DOUBLE) - t.e[i]) * (CAST(q.e[i] AS DOUBLE) - t.e[i]) for i in range(1, 65)]), 6) AS d2 FROM q, t WHERE q.vec_id <> t.other),
     r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d2, other) AS rn FROM d)
     SELECT a.vec_id, a.other, a.d2 < 0.49 * b.d2 AS kept FROM r a JOIN r b ON a.vec_id = b.vec_id AND a.rn = 1 AND b.rn = 2
@@ -193,8 +206,13 @@ def colour_ramp(spark, sf_dir):
 def descriptor_matches(spark, sf_dir):
     """The two nearest descriptors of a stated query set, and the ratio test."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id < 40").select("vec_id", c("embedding").alias("e"))
-    pairs = e.select(c("vec_id").alias("other"), c("embedding").alias("f")).join(F.broadcast(q), c("vec_id") != c("other"))
+    asked = e.filter("vec_id % 100 = 0").select("vec_id", c("embedding").alias("e"))
+    blocks = max(1, math.ceil(asked.count() / 4096))  # one block of about 4096 queries is broadcast at a time
+    return functools.reduce(DataFrame.unionByName, (_two_nearest(e, asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b)) for b in range(blocks)))
+
+
+def _two_nearest(e: DataFrame, asked: DataFrame) -> DataFrame:
+    pairs = e.select(c("vec_id").alias("other"), c("embedding").alias("f")).join(F.broadcast(asked), c("vec_id") != c("other"))
     d2 = F.aggregate(F.zip_with("e", "f", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
     # The rank limit is applied before the shuffle, so two candidates of each task travel.
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy("d2", "other"))
@@ -272,7 +290,7 @@ def photo_rollup(spark, sf_dir):
 
 
 @query("""
-    WITH a AS (SELECT map_from_entries([('crop', '3'), ('split', CAST(ord % 3 AS STRING)), ('dsm', 'true')]) AS m, ord FROM photos WHERE ord < 300),
+    WITH a AS (SELECT map_from_entries([('crop', '3'), ('split', CAST(ord % 3 AS STRING)), ('dsm', 'true')]) AS m, ord FROM photos),
     b AS (SELECT ord, unnest(map_entries(m)) AS e FROM a)
     SELECT ord, e.key AS name, e.value AS now, CASE e.key WHEN 'crop' THEN '3' WHEN 'split' THEN '1' END AS "before" FROM b WHERE e.value IS DISTINCT FROM CASE e.key WHEN 'crop' THEN '3' WHEN 'split' THEN '1' END
 """)
@@ -280,5 +298,5 @@ def option_differences(spark, sf_dir):
     """Options that differ from an earlier run's."""
     now = F.create_map(F.lit("crop"), F.lit("3"), F.lit("split"), (c("ord") % 3).cast("string"), F.lit("dsm"), F.lit("true"))
     before = F.create_map(F.lit("crop"), F.lit("3"), F.lit("split"), F.lit("1"))
-    rows = domain(spark, sf_dir, "photos").filter("ord < 300").select("ord", F.explode(now).alias("name", "now")).withColumn("before", F.try_element_at(before, c("name")))
+    rows = domain(spark, sf_dir, "photos").select("ord", F.explode(now).alias("name", "now")).withColumn("before", F.try_element_at(before, c("name")))
     return rows.filter(~c("now").eqNullSafe(c("before")))

@@ -227,14 +227,14 @@ def vegetation_indices(spark, sf_dir):
 
 
 @query("""
-    WITH v AS (SELECT *, 1 / (1 + 0.0001 * (sqrt((col - 25)*(col - 25) + (row - 20)*(row - 20))) * sqrt((col - 25)*(col - 25) + (row - 20)*(row - 20))) AS vig FROM pixels),
+    WITH v AS (SELECT *, 1 / (((0.0001::DOUBLE * q - 0.002::DOUBLE) * q + 0.01::DOUBLE) * q + 1) AS vig FROM (SELECT *, sqrt((col - 25)*(col - 25) + (row - 20)*(row - 20)) AS q FROM pixels) AS t),
     d AS (SELECT id, row, (red - 8) / 256 * vig AS a FROM v), g AS (SELECT id, a * (1 / (1 + 0.0002 * row / 0.01 - 0.0003 * row)) AS a FROM d)
     SELECT id, round(greatest(a, 0) / (2 * 0.01) * 1.5 * 0.9, 9) AS radiance, round(greatest(0, least(1, greatest(a, 0) / (2 * 0.01) * 1.5 * 0.9 * pi() / 25)), 9) AS reflectance FROM g
 """)
 def pixel_radiance(spark, sf_dir):
     """X1, X2, X3, P21, P24."""
     p = domain(spark, sf_dir, "pixels")
-    vig = X.vignette(c("col").cast("double"), c("row").cast("double"), P.exactly(F.lit("25 20"), 2), P.vignetting_polynomial(F.lit("1 0 0.0001"), F.lit("micasense")), F.lit("micasense"))
+    vig = X.vignette(c("col").cast("double"), c("row").cast("double"), P.exactly(F.lit("25 20"), 2), P.vignetting_polynomial(F.lit("0.01 -0.002 0.0001"), F.lit("micasense")), F.lit("micasense"))
     rad = X.radiance(c("red"), F.lit(8.0), F.lit(256.0), vig, P.calibration_triple(F.lit("1.5 0.0002 0.0003")), c("row"), F.lit(0.01), F.lit(2.0), F.lit(0.9), F.lit(False))
     return p.withColumn("r", rad).select("id", F.round("r", 9).alias("radiance"), F.round(X.reflectance(c("r"), F.lit(25.0)), 9).alias("reflectance"))
 

@@ -67,9 +67,14 @@ def local_folder(spark: SparkSession) -> str:
     return _LOCAL.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='skysurvey-')}")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or local_folder(spark)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df cut from its lineage by a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or local_folder(df.sparkSession))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

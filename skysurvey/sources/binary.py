@@ -117,14 +117,26 @@ def xmp_packets(data: bytes) -> list[str]:
 
 
 def thermal_payload(data: bytes) -> bytes:
-    """The bytes of a JPEG's third to thirteenth APP3 segments, a thermal image of 16-bit samples."""
+    """The bytes of a JPEG's application (and comment) segments 3 to 13, counted from 0: a thermal image of 16-bit samples."""
     parts, at = [], 2
     while at + 4 <= len(data) and data[at] == 0xFF and data[at + 1] != 0xDA:
         size = struct.unpack(">H", data[at + 2 : at + 4])[0]
-        if data[at + 1] == 0xE3:
+        if 0xE0 <= data[at + 1] <= 0xEF or data[at + 1] == 0xFE:
             parts.append(data[at + 4 : at + 2 + size])
         at += 2 + size
-    return b"".join(parts)
+    return b"".join(parts[3:14])
+
+
+def with_thermal_payload(files: DataFrame) -> DataFrame:
+    """(path, payload) from a binaryFile DataFrame."""
+    from skysurvey.session import ship
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([thermal_payload(c.as_py()) for c in batch.column(1)], pa.binary())], ["path", "payload"])
+
+    ship(files.sparkSession)
+    return files.select("path", "content").mapInArrow(run, "path string, payload binary")
 
 
 def with_image_metadata(files: DataFrame) -> DataFrame:

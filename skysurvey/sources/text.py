@@ -158,6 +158,11 @@ _TIME = r"(\d\d:\d\d:\d\d[,.]\d{1,3})"
 _NUMBER = r"([+-]?\d+\.?\d*)"
 
 
+def _place(field: int, tag: str) -> str:
+    """The pattern of one field of a position (longitude, latitude, altitude) after a tag."""
+    return rf"\b{tag}\s*\(\s*" + r"[^,()]*,\s*" * (field - 1) + _NUMBER
+
+
 def _pick(text: Column, patterns: list[str]) -> Column:
     return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns))
 
@@ -166,7 +171,8 @@ def parse_srt(files: DataFrame) -> DataFrame:
     """(path, cue, start_s, end_s, iso, shutter, fnum, focal_len, latitude, longitude, altitude) of drone subtitles.
 
     A cue is a block between blank lines; the last one counts without a blank line after
-    it. Markup is removed; every field is looked for under several vendors' spellings.
+    it. Markup is removed; every field is looked for under several vendors' spellings, and
+    a height above the start is never taken for an altitude.
     """
     blocks = files.select("path", F.posexplode(F.split("text", r"\r?\n\s*\r?\n")).alias("cue", "block"))
     text = F.regexp_replace("block", "<[^>]+>", "")
@@ -186,9 +192,9 @@ def parse_srt(files: DataFrame) -> DataFrame:
         shutter.try_cast("double").alias("shutter"),
         (_pick(t, [r"(?i)fnum\s*:\s*(\d+\.?\d*)", r"F/(\d+\.?\d*)"]).try_cast("double")).alias("fnum_raw"),
         _pick(t, [r"(?i)focal_len\s*:\s*(\d+)"]).try_cast("int").alias("focal_len"),
-        number(_pick(t, [rf"(?i)latitude\s*:\s*{_NUMBER}", rf"GPS\s*\(\s*[^,]*,\s*{_NUMBER}", rf"\(N:?\s*{_NUMBER}"])).alias("latitude"),
-        number(_pick(t, [rf"(?i)long?itude?\s*:\s*{_NUMBER}", rf"(?i)longtitude\s*:\s*{_NUMBER}", rf"GPS\s*\(\s*{_NUMBER}"])).alias("longitude"),
-        number(_pick(t, [rf"(?i)abs_alt\s*:\s*{_NUMBER}", rf"(?i)altitude\s*:\s*{_NUMBER}", rf"H\s+{_NUMBER}m"])).alias("altitude"),
+        number(_pick(t, [rf"(?i)latitude\s*:\s*{_NUMBER}", _place(2, "GPS"), _place(2, "RTK"), rf"\(N:?\s*{_NUMBER}"])).alias("latitude"),
+        number(_pick(t, [rf"(?i)long?itude?\s*:\s*{_NUMBER}", rf"(?i)longtitude\s*:\s*{_NUMBER}", _place(1, "GPS"), _place(1, "RTK")])).alias("longitude"),
+        number(_pick(t, [rf"(?i)altitude\s*:\s*{_NUMBER}", _place(3, "GPS"), _place(3, "RTK"), rf"(?i)abs_alt\s*:\s*{_NUMBER}"])).alias("altitude"),
     ).withColumn("fnum", F.when(F.col("fnum_raw") > 100, F.col("fnum_raw") / 100).otherwise(F.col("fnum_raw"))).drop("fnum_raw")
 
 

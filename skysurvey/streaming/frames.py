@@ -31,11 +31,11 @@ def frame_time(index: Column, rate: Column, base: Column) -> Column:
     return base + index / rate
 
 
-def video_starts(videos: DataFrame) -> DataFrame:
-    """The first video starts at its file's time, each later one after the length of the current one."""
+def video_starts(videos: DataFrame, by: str) -> DataFrame:
+    """Of each flight, the first video starts at its file's time, each later one after the length of the current one."""
     from pyspark.sql import Window
 
-    w = Window.orderBy("ord")
+    w = Window.partitionBy(by).orderBy("ord")
     own = F.when(F.row_number().over(w) == 1, F.lit(0.0)).otherwise(F.col("frames") / F.col("rate"))
     return videos.withColumn("_own", own).withColumn("start", F.first("file_time").over(w) + F.sum("_own").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_own")
 

@@ -22,7 +22,7 @@ def test_visibility(spark):
         dx, dy = camera["x"] - (j + 0.5), camera["y"] - (i + 0.5)
         n = math.hypot(dx, dy)
         hidden = False
-        for k in range(1, min(int(n), 5) + 1):
+        for k in range(1, int(n) + 1):
             t = k / n
             r, c = math.floor(i + 0.5 + dy * t), math.floor(j + 0.5 + dx * t)
             if 0 <= r < 8 and 0 <= c < 9 and grid[r, c] > v + (camera["z"] - v) * t:
@@ -30,7 +30,7 @@ def test_visibility(spark):
         if not hidden:
             want.add((i, j))
     d = frame(spark, grid)
-    assert {(r.row, r.col) for r in C.visible(d, d, camera, 1.0, 5).collect()} == want
+    assert {(r.row, r.col) for r in C.visible(d, d, camera, 1.0).collect()} == want
 
 
 def test_cheapest_seam(spark):
@@ -92,7 +92,8 @@ def test_helpers(spark):
 def test_reconstructions_and_listing(spark):
     parts = spark.createDataFrame([("p", "1", 1.0, 2.0, 3.0)], "part string, id string, x double, y double, z double")
     seen = spark.createDataFrame([("p", "1", "a.jpg"), ("p", "2", "a.jpg")], "part string, track string, shot string")
-    points, kept = C.merged_reconstructions(parts, seen)
+    one = spark.createDataFrame([(1.0, 2.0, 3.0)] * 2, "latitude double, longitude double, altitude double")
+    points, kept = C.merged_reconstructions(parts, seen, one)
     assert points.first().id == "p_1" and kept.count() == 1
     photos = spark.createDataFrame([("a.jpg", -85.61322729531112, 44.701151842605441, None)], "filename string, longitude double, latitude double, altitude double")
     assert C.utm_listing(photos, 16).first().x == "609,865.708"
