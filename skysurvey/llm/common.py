@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from skysurvey.session import ship, small_batches
+from skysurvey.session import local_folder, ship, small_batches
 
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
@@ -26,28 +25,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir; in local mode, where it is unset, one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='skysurvey-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = local_folder(spark)
     return found
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors."""
+    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+
+    The shuffle files of the job that writes it are given back at its end.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(clean)
+    spark.conf.set(clean, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(clean, before)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.stored_at = path
+    return found
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the table that written() made for df, once nothing will read it again."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have (Spark's names are case-insensitive)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def positional(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """docs with its columns renamed c0, c1, ..., whatever their names are, and the new names of the given ones."""
+    lower = [c.lower() for c in docs.columns]
+    at = [docs.columns.index(n) if n in docs.columns else lower.index(n.lower()) for n in names]
+    return docs.toDF(*(f"c{i}" for i in range(len(lower)))), [f"c{i}" for i in at]
 
 
 def trim() -> None:
@@ -102,6 +117,7 @@ def partitions(spark: SparkSession) -> int:
 def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
     """docs with a column _doc: the key, or an order number by (null last, key, text's hash) where keys repeat or are null.
 
+    docs has no columns of the names _doc, _null, _hash, _key, _part, _own and _before: see positional.
     Rows that repeat both key and text have the same number. Also whether _doc is the key.
     """
     base = docs.withColumn("_doc", F.col(key).cast("bigint"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from skysurvey.llm.common import written
+from skysurvey.llm.common import discard, written
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -12,7 +12,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every node hands its neighbours to the smallest one it knows, first the larger
     neighbours, then the smaller ones, until nothing changes; each round is written to
-    the shared folder. Aggregation by node has partial sums, and the star shape keeps
+    the shared folder, and the one before it deleted. Aggregation by node has partial sums, and the star shape keeps
     the number of edges from growing.
     """
     pairs = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "components")
@@ -28,6 +28,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         # The edges are a set, so equal counts and sums of two hashes mean equal edges.
         wide = "decimal(38,0)"
         now = small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast(wide)), F.sum(F.xxhash64("b", F.lit(7), "a").cast(wide))).first()
+        discard(pairs)
         if now == before:
             break
         pairs, before = small, now

@@ -3,32 +3,37 @@
 Every byte covered by a string of ``threshold`` bytes that also starts earlier (in a
 document with a smaller key, or earlier in the same one) is removed.
 
-Method: prefix doubling names the strings of length 2n that start at a position by the
-pair of names of its two halves. Names are hashes here, so they are found position by
-position without a sort up to length 32, and sorting starts where strings can be unique:
+Prefix doubling ranks the strings of length 2n by the pair of ranks of their halves:
+Spark sorts (rank, rank at the offset, position), equal pairs get one rank, positions
+with a rank of their own drop out, and the offset grows until it is past the threshold.
+Sorting starts here where strings can be unique; before, five doublings name all strings
+of up to 32 bytes where the text lies.
 
 1. Every window of ``threshold`` bytes is represented by the smallest 32-byte name in
    it (leftmost among equals). Equal windows have equal representatives, and
-   neighbouring windows mostly share one, so only one run of windows in about 35
-   positions is sorted, by (name of 32 bytes, name of the run's whole span).
-2. Runs whose name is unique in the corpus drop out. Of runs with equal names and
-   spans all but the first are repeats as a whole. What remains are runs that share a
-   name but differ somewhere in the span, such as those at the edge of a copied passage.
-3. Those go on to the names of all their windows, pairs of names at the offset that
-   reaches the threshold, and are sorted again: every window but the first of a name
-   is a repeat.
-
-Each sort is a shuffle of compact blocks to buckets of names, sorted in numpy. Runs of
-a name with more than ``hot`` different spans are not brought into one task: their
-windows are aggregated by name with partial sums on the map side and joined back.
-
-Names have 48 + 64 bits in step 2 and 48 + 64 bits in step 3.
+   neighbouring windows mostly share one, so one run of windows in about 35 positions
+   stands for all.
+2. Spark sorts the runs' pairs by (name of 32 bytes, name of the run's whole string, position).
+   Runs whose first name is unique drop out. Of runs with equal pairs all but the first
+   are repeats as a whole; if a name has one pair only, its first run is no repeat.
+   What remains are runs that share 32 bytes but differ further on, such as those at the
+   edge of a copied passage.
+3. Of these, Spark sorts the pairs of every window, (rank of 32 bytes, name at the offset
+   that reaches the threshold, position): every window but the first of a pair is a repeat.
+
+Both sorts are by ranges of the whole key, position included, so a string that a third of
+all rows hold is spread over many tasks. A task settles the groups that lie inside its
+range; those at its ends are settled by a second, small aggregation.
+
+A pair has 64 + 64 bits. Texts move twice: those with unsettled windows to them, and all
+to the ranges that they lose.
 
 Defined results: null and empty text keeps nothing and has nothing removed; texts
 shorter than the threshold are kept whole; rows that repeat both key and text count as
 one document and get the same result each, rows that repeat only the key are ordered by
 a hash of their text; null keys come last; an empty table gives an empty result; only
-the key and the text are read. The key must be an integer.
+the key and the text are read, and other columns may have any name. The key must be an
+integer.
 """
 
 from __future__ import annotations
@@ -38,24 +43,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skysurvey.llm.common import numbered, partitions, prepare, slices, trim, written
+from skysurvey.llm.common import discard, numbered, partitions, positional, prepare, slices, trim, written
 
 THRESHOLD = 100
 GRAM = 32
-#: Different spans of one name that a bucket may hold; beyond it windows are aggregated by Spark.
-HOT = 20_000
 #: Positions named at a time; also the range of a position inside a packed name.
 CHUNK = 1 << 16
-#: Bytes of text for each bucket of names, at most.
-BUCKET_BYTES = 16_000_000
+#: Bytes of text and windows for each task of a sort, about.
+SORT_BYTES = 16_000_000
+SORT_WINDOWS = 400_000
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _MULTIPLY = _RNG.integers(1, 2**62, 16).astype(np.uint64) * np.uint64(4) + np.uint64(3)
-_S29, _S32, _S16 = np.uint64(29), np.uint64(32), np.uint64(16)
+_S29, _S32 = np.uint64(29), np.uint64(32)
 
 
 def _pair(left: np.ndarray, right: np.ndarray, level: int) -> np.ndarray:
@@ -120,7 +123,7 @@ def chunk_runs(data: np.ndarray, ends: np.ndarray, threshold: int) -> tuple[np.n
     packed = names & ~np.uint64(0xFFFF)
     packed |= np.arange(len(packed), dtype=np.uint64)
     low = smallest(packed, width)
-    name = low >> _S16
+    name = names[(low & np.uint64(0xFFFF)).astype(np.int64)]
     # A window lies inside a text if the text's end is far enough.
     limit = np.repeat(ends, np.diff(np.concatenate([[0], ends])))[:n]
     inside = np.arange(n) + threshold <= limit
@@ -184,176 +187,149 @@ def first_of_groups(*keys: np.ndarray) -> np.ndarray:
     return first
 
 
-_RUN = np.dtype([("name", "<u8"), ("span", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "u1"), ("flag", "u1")])
-#: Flags of a run: several representatives; one of a name that is hot already in its own block.
-_SEVERAL, _TOKEN = 1, 2
-REPEAT, VARIANT, HOT_VARIANT = 1, 2, 3
-
-
-def _collapse(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first runs of each name and span, runs that repeat one of them), sorted by name, span, doc, start."""
-    runs = runs[np.lexsort((runs["start"], runs["doc"], runs["span"], runs["name"]))]
-    # Rows that share key and text have the same runs; one is enough.
-    runs = runs[first_of_groups(runs["name"], runs["span"], runs["doc"], runs["start"])]
-    first = first_of_groups(runs["name"], runs["span"])
-    return runs[first], runs[~first]
-
-
-def _rows(runs: np.ndarray, status: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(runs["doc"]), pa.array(runs["start"].astype(np.int64)), pa.array(runs["size"].astype(np.int32)), pa.array(np.full(len(runs), status, np.int32)), pa.array(runs["name"].astype(np.int64))],
-        ["doc", "start", "size", "status", "name"],
-    )
-
-
-_ROWS = pa.schema([("doc", pa.int64()), ("start", pa.int64()), ("size", pa.int32()), ("status", pa.int32()), ("name", pa.int64())])
-_ROWS_SQL = "doc bigint, start bigint, size int, status int, name bigint"
+#: What a sort finds of a run: a repeat as a whole, one to be told apart by windows, one that other tasks decide on (and with several representatives), one that they need to know of.
+REPEAT, VARIANT, EDGE, EDGE_SEVERAL, FACT = 1, 2, 3, 4, 5
+_RUN_SQL = "name bigint, span bigint, doc bigint, start bigint, size int, several boolean"
+_RANKED_SQL = "name bigint, span bigint, doc bigint, start bigint, size int, status int"
 
 
-def run_blocks(texts: DataFrame, buckets: int, threshold: int, hot: int) -> DataFrame:
-    """Step 1: (bucket, runs) blocks.
-
-    Negative buckets are a task's own: odd ones hold runs that repeat one in the same
-    block, even ones runs of names that are hot in their block.
-    """
+def named_runs(texts: DataFrame, threshold: int) -> DataFrame:
+    """Step 1: the runs of (doc, text as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task = TaskContext.get().partitionId()
         for batch in (part for whole in batches for part in slices(whole, 1)):
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             name, span, row, start, size, several = text_runs(batch.column(1).to_pylist(), threshold)
-            runs = np.zeros(len(name), _RUN)
-            runs["name"], runs["span"], runs["doc"], runs["start"], runs["size"] = name, span, docs[row] if len(row) else row, start, size
-            runs["flag"] = np.where(several, _SEVERAL, 0)
-            del name, span, row, start, size, several
-            firsts, repeats = _collapse(runs)
-            del runs
-            keys, blocks = [], []
-            if len(repeats):
-                keys.append(-2 * task - 1)
-                blocks.append(repeats.tobytes())
-            if len(firsts):
-                # Names with very many spans in this block go straight to step 3; one run stays as a token.
-                head = np.nonzero(first_of_groups(firsts["name"]))[0]
-                count = np.diff(np.append(head, len(firsts)))
-                many = np.repeat(count > hot, count)
-                if many.any():
-                    keys.append(-2 * task - 2)
-                    blocks.append(firsts[many].tobytes())
-                    tokens = firsts[head[count > hot]].copy()
-                    tokens["flag"] |= _TOKEN
-                    firsts = np.concatenate([firsts[~many], tokens])
-                    firsts = firsts[np.argsort(firsts["name"], kind="stable")]
-                bucket = (firsts["name"] % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                bucket, firsts = bucket[order], firsts[order]
-                cut = np.nonzero(first_of_groups(bucket))[0]
-                for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(bucket)]):
-                    keys.append(int(bucket[a]))
-                    blocks.append(firsts[a:b].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blocks, pa.binary())], ["bucket", "runs"])
-            del firsts, repeats, blocks
+            made = [name.view(np.int64), span.view(np.int64), docs[row] if len(row) else row.astype(np.int64), start.astype(np.int64), size.astype(np.int32), several.astype(bool)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["name", "span", "doc", "start", "size", "several"])
+            del name, span, row, start, size, several, made
             trim()
 
-    return texts.mapInArrow(run, "bucket bigint, runs binary")
+    return texts.mapInArrow(run, _RUN_SQL)
 
 
-def sort_runs(blocks: DataFrame, hot: int) -> DataFrame:
-    """Step 2: the runs that repeat, and those that have to be told apart window by window."""
+def _columns(batches: Iterator[pa.RecordBatch]) -> list[np.ndarray]:
+    """A task's sorted rows, by column."""
+    found = list(batches)
+    return [c.to_numpy() for c in pa.Table.from_batches(found).columns] if found else []
 
-    def bucket(group: pa.Table) -> pa.Table:
-        key = group.column("bucket")[0].as_py()
-        runs = np.concatenate([np.frombuffer(x.as_buffer(), _RUN) for x in group.column("runs")])
-        if key < 0:
-            return pa.Table.from_batches([_rows(runs, REPEAT if key % 2 else HOT_VARIANT)])
-        firsts, repeats = _collapse(runs)
-        head = np.nonzero(first_of_groups(firsts["name"]))[0]
-        count = np.diff(np.append(head, len(firsts)))
-        token = np.add.reduceat((firsts["flag"] & _TOKEN) > 0, head) if len(head) else count
-        # A token's run is in step 3 already, but another block's run with its span may have come first.
-        marked = set(runs["name"][(runs["flag"] & _TOKEN) > 0].tolist())
-        is_hot = np.repeat((count > hot) | (token > 0) | np.isin(firsts["name"][head], list(marked) or [0]), count)
-        several = np.repeat(count > 1, count) | ((firsts["flag"] & _SEVERAL) > 0) | is_hot
-        own = (repeats["flag"] & _TOKEN) == 0
-        out = [_rows(repeats[own], REPEAT), _rows(firsts[several & ~is_hot], VARIANT), _rows(firsts[is_hot & ((firsts["flag"] & _TOKEN) == 0)], HOT_VARIANT)]
-        return pa.Table.from_batches(out, _ROWS)
 
-    return blocks.groupBy("bucket").applyInArrow(bucket, _ROWS_SQL)
+def ranked_runs(runs: DataFrame, tasks: int) -> DataFrame:
+    """Step 2: runs that repeat or are to be told apart, and a few at the ends of each task's range.
 
+    Of the groups that may go on in other tasks only two runs are open: the task's first run,
+    which may repeat one of the task before, and the first run of its last group, if that
+    has one span here but may have others in the next task. Other tasks need to know of the
+    first run of both groups, and the first run of their last span.
+    """
 
-def _cover(places: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of bytes covered by windows at the given sorted places."""
-    if not len(places):
-        return places, places
-    cut = np.nonzero(np.diff(places) > threshold)[0]
-    return places[np.concatenate([[0], cut + 1])], places[np.concatenate([cut, [len(places) - 1]])] + threshold
-
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = _columns(batches)
+        if not columns or not len(columns[0]):
+            return
+        name, span, doc, start, size, several = columns
+        head = np.nonzero(first_of_groups(name))[0]
+        group = np.repeat(np.arange(len(head)), np.diff(np.append(head, len(name))))
+        first = first_of_groups(name, span)
+        mixed = (np.add.reduceat(first.astype(np.int64), head) > 1)[group]
+        status = np.where(first, np.where(several | mixed, VARIANT, 0), REPEAT)
+        begins = np.nonzero(first)[0]
+        last_span = begins[np.searchsorted(begins, np.append(head[1:], len(name))) - 1]
+        open_ = np.array([0] if mixed[head[-1]] else sorted({0, int(head[-1])}))
+        status[open_] = np.where(several[open_], EDGE_SEVERAL, EDGE)
+        facts = np.unique([head[0], head[-1], last_span[0], last_span[-1]])
+        rows = np.concatenate([np.nonzero(status)[0], facts])
+        status = np.concatenate([status[status > 0], np.full(len(facts), FACT)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[rows]) for x in (name, span, doc, start, size)), pa.array(status)], ["name", "span", "doc", "start", "size", "status"])
+        trim()
+
+    keys = ["name", "span", "doc", "start"]
+    return runs.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(scan, _RANKED_SQL)
+
+
+def settled_runs(ranked: DataFrame) -> DataFrame:
+    """Step 2: (doc, start, size, status, name) with the open runs of all tasks settled."""
+    place = F.struct("doc", "start")
+    facts, ends = ranked.filter(F.col("status") == FACT), ranked.filter(F.col("status").isin(EDGE, EDGE_SEVERAL))
+    mixed = facts.groupBy("name").agg((F.min("span") != F.max("span")).alias("mixed"))
+    leads = facts.groupBy("name", "span").agg(F.min(place).alias("lead"))
+    status = F.when(place > F.col("lead"), REPEAT).when(F.col("mixed") | (F.col("status") == EDGE_SEVERAL), VARIANT).otherwise(0)
+    rest = ends.join(leads, ["name", "span"]).join(mixed, "name").withColumn("status", status).filter("status > 0")
+    columns = ["doc", "start", "size", "status", "name"]
+    return ranked.filter(F.col("status") < EDGE).select(*columns).unionByName(rest.select(*columns))
+
+
+def variant_spans(texts: DataFrame, settled: DataFrame, threshold: int) -> DataFrame:
+    """(name, doc, start, size, span) of the runs that have to be told apart, with their bytes."""
+    variants = settled.filter(F.col("status") == VARIANT).groupBy("doc").agg(F.collect_list(F.struct("name", "start", "size")).alias("runs"))
 
-def variant_spans(candidates: DataFrame) -> DataFrame:
-    """(name, hot, doc, start, size, span) of the runs that have to be told apart."""
     def span(r: Column) -> Column:
-        bytes_ = F.substring(F.col("text"), (r["start"] + 1).cast("int"), r["size"] + F.lit(THRESHOLD - 1))
-        return F.struct(r["name"].alias("name"), (r["status"] == HOT_VARIANT).alias("hot"), r["start"].alias("start"), r["size"].alias("size"), bytes_.alias("span"))
+        bytes_ = F.substring(F.col("text"), (r["start"] + 1).cast("int"), r["size"] + F.lit(threshold - 1))
+        return F.struct(r["name"].alias("name"), r["start"].alias("start"), r["size"].alias("size"), bytes_.alias("span"))
 
-    spans = F.explode(F.transform(F.filter("runs", lambda r: r["status"] > REPEAT), span))
-    return candidates.select("doc", spans.alias("r")).select("doc", "r.*")
+    return texts.join(variants, "doc").select("doc", F.explode(F.transform("runs", span)).alias("r")).select("r.name", "doc", "r.start", "r.size", "r.span")
 
 
-def _span_windows(table: pa.Table | pa.RecordBatch, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(name of the run, name, doc, place) of every window of the spans."""
-    spans = [x.as_py() for x in table.column("span")]
-    size = table.column("size").to_numpy().astype(np.int64)
-    data = np.frombuffer(b"".join(spans), np.uint8)
-    begin = np.cumsum([0, *map(len, spans)])[:-1]
-    order = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-    at = np.repeat(begin, size) + order
-    name = windows(grams(data), at, threshold) if len(at) else np.zeros(0, np.uint64)
-    return np.repeat(table.column("name").to_numpy(), size), name, np.repeat(table.column("doc").to_numpy(), size), np.repeat(table.column("start").to_numpy(), size) + order
+def span_windows(spans: DataFrame, threshold: int) -> DataFrame:
+    """Step 3: (name, window, doc, place) of every window of the spans."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = batch.column(3).to_numpy().astype(np.int64)
+            data = batch.column(4).to_pylist()
+            begin = np.cumsum([0, *map(len, data)])[:-1]
+            order = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            at = np.repeat(begin, size) + order
+            window = windows(grams(np.frombuffer(b"".join(data), np.uint8)), at, threshold) if len(at) else np.zeros(0, np.uint64)
+            made = [np.repeat(batch.column(0).to_numpy(), size), window.view(np.int64), np.repeat(batch.column(1).to_numpy(), size), np.repeat(batch.column(2).to_numpy(), size) + order]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["name", "window", "doc", "place"])
 
-_RANGES_SQL = "doc bigint, low bigint, high bigint"
+    return spans.mapInArrow(run, "name bigint, window bigint, doc bigint, place bigint")
 
 
-def _ranges(doc: np.ndarray, place: np.ndarray, threshold: int) -> pa.Table:
-    """Covered ranges (doc, low, high) of repeated windows."""
+def _ranges(doc: np.ndarray, place: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal byte ranges (doc, low, high) covered by windows."""
     order = np.lexsort((place, doc))
     doc, place = doc[order], place[order]
-    cut = np.nonzero(first_of_groups(doc))[0]
-    docs, lows, highs = [], [], []
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(doc)]):
-        low, high = _cover(place[a:b], threshold)
-        docs.append(np.full(len(low), doc[a]))
-        lows.append(low)
-        highs.append(high)
-    join = lambda x: pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64())
-    return pa.table({"doc": join(docs), "low": join(lows), "high": join(highs)})
-
-
-def repeated_windows(spans: DataFrame, buckets: int, threshold: int) -> DataFrame:
-    """Step 3: the byte ranges covered by windows that are not the first with their name."""
-
-    def bucket(group: pa.Table) -> pa.Table:
-        run, name, doc, place = _span_windows(group, threshold)
-        order = np.lexsort((place, doc, name, run))
-        first = first_of_groups(run[order], name[order])
-        # Rows that share a document's place are one window.
-        again = order[~first]
-        lead = order[np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))][~first]
-        again = again[(doc[again] != doc[lead]) | (place[again] != place[lead])]
-        return _ranges(doc[again], place[again], threshold)
-
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                run, name, doc, place = _span_windows(batch.slice(at, 2000), threshold)
-                yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(name.view(np.int64)), pa.array(doc), pa.array(place)], ["run", "window", "doc", "place"])
+    first = np.ones(len(doc), bool)
+    first[1:] = (doc[1:] != doc[:-1]) | (place[1:] - place[:-1] > threshold)
+    last = np.append(first[1:], True)[: len(doc)]
+    return doc[first], place[first], place[last] + threshold
+
 
-    cold = spans.filter(~F.col("hot")).withColumn("bucket", F.pmod("name", F.lit(buckets)))
-    near = cold.groupBy("bucket").applyInArrow(bucket, _RANGES_SQL)
-    single = spans.filter("hot").mapInArrow(explode, "run bigint, window bigint, doc bigint, place bigint")
-    least = single.groupBy("run", "window").agg(F.min(F.struct("doc", "place")).alias("least"))
-    far = single.join(least, ["run", "window"]).filter(F.struct("doc", "place") > F.col("least")).select("doc", F.col("place").alias("low"), (F.col("place") + threshold).alias("high"))
-    return near.unionByName(far)
+#: Rows of step 3: a range, the first window of a task, and the first of its last group.
+_RANGE, _HEAD, _LEAD = 0, 1, 2
+_RANGES_SQL = "kind int, name bigint, window bigint, doc bigint, low bigint, high bigint"
+
+
+def ranked_windows(found: DataFrame, tasks: int, threshold: int) -> DataFrame:
+    """Step 3: the byte ranges of windows that are not the first of their pair, and the ends of tasks."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = _columns(batches)
+        if not columns or not len(columns[0]):
+            return
+        name, window, doc, place = columns
+        first = first_of_groups(name, window)
+        again, low, high = _ranges(doc[~first], place[~first], threshold)
+        ends = np.array([0, np.nonzero(first)[0][-1]])
+        none = np.zeros(len(again), np.int64)
+        made = [(none, [_HEAD, _LEAD]), (none, name[ends]), (none, window[ends]), (again, doc[ends]), (low, place[ends]), (high, place[ends] + threshold)]
+        kinds = [pa.int32(), *[pa.int64()] * 5]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64), k) if k == pa.int64() else pa.array(np.concatenate(x).astype(np.int32)) for x, k in zip(made, kinds)], ["kind", "name", "window", "doc", "low", "high"])
+        trim()
+
+    keys = ["name", "window", "doc", "place"]
+    return found.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).mapInArrow(scan, _RANGES_SQL)
+
+
+def settled_ranges(ranked: DataFrame) -> DataFrame:
+    """Step 3: (doc, low, high), the first windows of tasks settled."""
+    place = F.struct("doc", "low")
+    leads = ranked.filter(F.col("kind") == _LEAD).groupBy("name", "window").agg(F.min(place).alias("lead"))
+    again = ranked.filter(F.col("kind") == _HEAD).join(leads, ["name", "window"]).filter(place > F.col("lead"))
+    columns = ["doc", "low", "high"]
+    return ranked.filter(F.col("kind") == _RANGE).select(*columns).unionByName(again.select(*columns))
 
 
 def _kept(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -372,57 +348,68 @@ def _kept(data: bytes, ranges: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(parts), gone, spans
 
 
-def suffix_dedup(docs: DataFrame, hot: int = HOT, key: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:
-    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256.
-
-    With full also kept, the text that is left (characters that a removal cut in two are
-    dropped), and the other columns of docs.
-    """
-    threshold = THRESHOLD
-    spark = docs.sparkSession
+def repeated_ranges(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc, low, high): the byte ranges of (doc, text as bytes) that are repeats; doc is unique."""
+    spark = texts.sparkSession
     prepare(spark)
-    others = [c for c in docs.columns if c not in (key, text)] if full else []
-    base, _ = numbered(docs.select(key, text, *others), key, text)
-    data = F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")
-    rest = [F.col(c).alias(f"c{i + 1}") for i, c in enumerate(others)]
-    base = base.select(F.col(key).alias("c0"), *rest, F.col("_doc").alias("doc"), data.alias("text"))
-    texts = base.select("doc", "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * partitions(spark), -(-size // BUCKET_BYTES))
-    runs = sort_runs(run_blocks(texts, buckets, threshold, hot), hot).groupBy("doc").agg(F.collect_list(F.struct("start", "size", "status", "name")).alias("runs"))
-    joined = base.join(runs, "doc", "left")
-    digest = joined.withColumn("n_bytes", F.octet_length("text").cast("bigint"))
-    if full:
-        digest = digest.withColumn("whole", F.lit(None).cast("string"))
-    else:  # texts without a repeat are done here and need not be kept
-        digest = digest.withColumn("whole", F.when(F.col("runs").isNull(), F.sha2("text", 256))).withColumn("text", F.when(F.col("runs").isNotNull(), F.col("text")))
-    digest = written(digest, "suffix-candidates")
-    candidates = digest.filter(F.col("runs").isNotNull())
-    again = repeated_windows(variant_spans(candidates), buckets, threshold)
-    ranges = again.groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
-    whole = F.transform(F.filter("runs", lambda r: r["status"] == REPEAT), lambda r: F.struct(r["start"].alias("low"), (r["start"] + r["size"] + F.lit(threshold - 1)).alias("high")))
-    found = F.concat(whole, F.coalesce("ranges", F.array().cast("array<struct<low:bigint,high:bigint>>")))
-    columns = [f"c{i}" for i in range(len(others) + 1)]
-    shape = [*columns, "n_bytes", "whole", "text"]
-    none = F.lit(None).cast("array<bigint>")
-    removed = candidates.join(ranges, "doc", "left").withColumn("found", found).select(*shape, F.col("found.low").alias("lows"), F.col("found.high").alias("highs"))
-    rows = removed.unionByName(digest.filter(F.col("runs").isNull()).select(*shape, none.alias("lows"), none.alias("highs")))
-    kinds = [f"{c} {digest.schema[c].dataType.simpleString()}" for c in columns]
-    names = [*columns, "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if full else [])]
-    schema = ", ".join([*kinds, "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"]) + (", kept string" if full else "")
+    runs = written(named_runs(texts, threshold), "suffix-runs")
+    ranked = written(ranked_runs(runs, max(partitions(spark), -(-size // SORT_BYTES))), "suffix-ranked")
+    discard(runs)
+    settled = settled_runs(ranked)
+    spans = written(variant_spans(texts, settled, threshold), "suffix-spans")
+    several = spans.agg(F.sum("size")).first()[0] or 0
+    ranges = written(ranked_windows(span_windows(spans, threshold), max(partitions(spark), -(-several // SORT_WINDOWS)), threshold), "suffix-windows")
+    discard(spans)
+    whole = settled.filter(F.col("status") == REPEAT).select("doc", F.col("start").alias("low"), (F.col("start") + F.col("size") + F.lit(threshold - 1)).alias("high"))
+    return whole.unionByName(settled_ranges(ranges))
+
+
+def _deduped(docs: DataFrame, key: str, text: str, full: bool) -> tuple[DataFrame, list[str]]:
+    """(c0, c1, ... for the key and, with full, the other columns; n_bytes, n_removed, n_spans, kept_sha256, kept), and the columns' names in docs."""
+    flat, (c_key, c_text) = positional(docs, key, text)
+    columns = [c_key, *(c for c in flat.columns if full and c not in (c_key, c_text))]
+    base, same = numbered(flat, c_key, c_text)
+    data = F.coalesce(F.col(c_text).cast("string"), F.lit("")).cast("binary")
+    base = base.select(*columns, F.col("_doc").alias("doc"), data.alias("text"))
+    texts = base.select("doc", "text")
+    ranges = repeated_ranges(texts if same else texts.dropDuplicates(["doc"]))
+    ranges = ranges.groupBy("doc").agg(F.collect_list("low").alias("lows"), F.collect_list("high").alias("highs"))
+    rows = base.join(ranges, "doc", "left").select(*columns, "text", "lows", "highs")
+    n = len(columns)
+    made = ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if full else [])]
+    schema = ", ".join([*(f"{c} {flat.schema[c].dataType.simpleString()}" for c in columns), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *(["kept string"] if full else [])])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, len(columns) + 2)):
+        for batch in (part for whole in batches for part in slices(whole, n)):
             out: list[tuple] = []
-            for done, row, lows, highs in zip(batch.column("whole").to_pylist(), batch.column("text").to_pylist(), batch.column("lows").to_pylist(), batch.column("highs").to_pylist()):
-                if done is not None:
-                    out.append((0, 0, done, None))
-                    continue
+            for row, lows, highs in zip(*(batch.column(n + i).to_pylist() for i in range(3))):
                 kept, gone, spans = _kept(row, list(zip(lows or [], highs or [])))
-                out.append((gone, spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if full else None))
-            made = [pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), batch.column("n_bytes"), *made[: 4 if full else 3]], names)
-            del out, made
+                out.append((len(row), gone, spans, hashlib.sha256(kept).hexdigest(), *([kept.decode("utf-8", "ignore")] if full else [])))
+            found = [pa.array(x, k) for x, k in zip(zip(*out), (*[pa.int64()] * 3, *[pa.string()] * 2))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(n)), *found], [*columns, *made])
+            del out, found
             trim()
 
-    return rows.mapInArrow(finish, schema).toDF(key, *others, *names[len(columns) :])
+    return rows.mapInArrow(finish, schema), [docs.columns[int(c[1:])] for c in columns]
+
+
+def suffix_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:
+    """Per row: key, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With full the key and the other columns of docs, n_bytes, n_removed, n_spans,
+    kept_sha256 and kept, the text that is left (characters that a removal cut in two are
+    dropped).
+    """
+    found, names = _deduped(docs, key, text, full)
+    return found.toDF(*names, *found.columns[len(names) :])
+
+
+def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", size: str = "n_chars") -> DataFrame:
+    """docs, all columns, with the text that is left and its length; rows with nothing left are dropped."""
+    found, names = _deduped(docs, key, text, True)
+    left = found.filter("n_bytes > n_removed")
+    place = {name: F.col(c) for name, c in zip(names, found.columns)} | {text: F.col("kept")}
+    if size in docs.columns:
+        place[size] = F.length("kept").cast(docs.schema[size].dataType)
+    return left.select(*[place[c].alias(c) for c in docs.columns])
