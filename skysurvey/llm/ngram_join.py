@@ -18,8 +18,9 @@ Method:
    in the same row blocks (of about ``BLOCK_ROWS`` rows and ``BLOCK_ENTRIES`` entries); blocks
    that share a kept column are multiplied: overlaps of all their rows are accumulated
    over slices of common columns, pairs below the bound of their sizes are discarded, and
-   of the links a spanning forest goes on. So a group of near copies costs one row for each
-   pair of blocks, whatever the number of its links, and no link between rows is lost.
+   of the links a spanning forest goes on, and each row's number of links. So a group of
+   near copies costs a few rows for each task, whatever the number of its links, and no link
+   between rows is lost: two rows' blocks meet once, so numbers of links add up.
 5. Components of the links are formed.
 
 Large rows (over ``BIG_FROM`` entries) only use the half of the columns with a smaller
@@ -33,6 +34,8 @@ Defined results: null text, and text without words, is an empty set and linked w
 nothing; fewer than five words are one shingle; rows that repeat key and text share
 one result; rows that repeat only a key are rows of their own, and their component is
 named by its smallest key; null keys come last; an empty table gives an empty result.
+A document's number of links counts the other documents it links with, copies one by one;
+rows that repeat key and text are one document.
 Only the key and the text are read. The key must be an integer.
 """
 
@@ -45,7 +48,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from skysurvey.llm.common import numbered, partitions, prepare, slices, trim, written
+from skysurvey.llm.common import discard, numbered, partitions, positional, prepare, slices, trim, written
 from skysurvey.llm.components import connected_components
 
 WORDS = 5
@@ -348,20 +351,24 @@ def spanning_edges(links: np.ndarray, rows: np.ndarray, columns: np.ndarray) ->
     return [e for e in edges if e[0] != e[1]]
 
 
-_ITEMS = "array<struct<doc: bigint, grams: binary>>"
+class _Block:
+    """A row block: its number, its documents, how many copies each stands for, and their rows."""
 
-
-def _block(items: pa.ListScalar) -> tuple[np.ndarray, list[np.ndarray]]:
-    values = items.values
-    return values.field("doc").to_numpy(), [np.frombuffer(g.as_buffer(), "<u8") for g in values.field("grams")]
+    def __init__(self, number: pa.Scalar, items: pa.ListScalar):
+        values = items.values
+        self.number = number.as_py()
+        self.docs, self.copies = values.field("doc").to_numpy(), values.field("copies").to_numpy()
+        self.rows = [np.frombuffer(g.as_buffer(), "<u8") for g in values.field("grams")]
 
 
 def block_links(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(a, b) links that span those within blocks and between the given pairs (p, q) of blocks."""
+    """Links within blocks and between the given pairs (p, q) of blocks: (a, b) that span them, and (block, docs, links) with numbers of links as packed arrays."""
 
-    def forest(found: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        """A task's links as edges to the smallest row of what they connect: no more than the task has rows."""
+    def forest(found: Iterator[tuple[np.ndarray, _Block, _Block]]) -> Iterator[pa.RecordBatch]:
+        """A task's links as edges to the smallest row of what they connect, no more than the task has rows, and a row of numbers for each block."""
         parent: dict[int, int] = {}
+        docs: dict[int, np.ndarray] = {}
+        degrees: dict[int, np.ndarray] = {}
 
         def root(x: int) -> int:
             while parent.setdefault(x, x) != x:
@@ -369,41 +376,71 @@ def block_links(pairs: DataFrame, blocks: DataFrame) -> DataFrame:
                 x = parent[x]
             return x
 
-        for links, rows, columns in found:
-            for u, v in spanning_edges(links, rows, columns):
+        def count(block: _Block, links: np.ndarray) -> None:
+            if links.any():
+                docs[block.number] = block.docs
+                degrees[block.number] = degrees.get(block.number, 0) + links
+
+        for links, one, two in found:
+            if one is two:
+                np.fill_diagonal(links, False)
+            else:
+                count(two, one.copies @ links)
+            count(one, links @ two.copies)
+            for u, v in spanning_edges(links, one.docs, two.docs):
                 u, v = root(u), root(v)
                 if u != v:
                     parent[max(u, v)] = min(u, v)
             trim()
         edges = [(x, root(x)) for x in parent]
         edges = [e for e in edges if e[0] != e[1]]
-        yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+        none, packed = [None] * len(edges), list(docs)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([e[0] for e in edges] + [None] * len(packed), pa.int64()), pa.array([e[1] for e in edges] + [None] * len(packed), pa.int64()), pa.array(none + packed, pa.int64()),
+                pa.array(none + [docs[k].astype("<i8").tobytes() for k in packed], pa.binary()), pa.array(none + [degrees[k].astype("<i8").tobytes() for k in packed], pa.binary()),
+            ], ["a", "b", "block", "docs", "links"],
+        )
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for batch in batches:
-                for items in batch.column(0):
-                    docs, sets = _block(items)
-                    yield product_links(sets, None), docs, docs
+                for number, items in zip(batch.column(0), batch.column(1)):
+                    block = _Block(number, items)
+                    yield product_links(block.rows, None), block, block
 
         yield from forest(found())
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
             for batch in batches:
-                for one, two in zip(batch.column(0), batch.column(1)):
-                    (docs, sets), (others, more) = _block(one), _block(two)
-                    yield product_links(sets, more), docs, others
+                for p, u, q, v in zip(*(batch.column(k) for k in range(4))):
+                    one, two = _Block(p, u), _Block(q, v)
+                    yield product_links(one.rows, two.rows), one, two
 
         yield from forest(found())
 
-    own = blocks.filter(F.size("items") > 1).select("items").mapInArrow(inside, "a bigint, b bigint")
+    own = blocks.filter(F.size("items") > 1).select("block", "items").mapInArrow(inside, _LINKS)
     left, right = blocks.select(F.col("block").alias("p"), F.col("items").alias("u")), blocks.select(F.col("block").alias("q"), F.col("items").alias("v"))
-    return own.union(pairs.join(left, "p").join(right, "q").select("u", "v").mapInArrow(between, "a bigint, b bigint"))
+    return own.union(pairs.join(left, "p").join(right, "q").select("p", "u", "q", "v").mapInArrow(between, _LINKS))
+
+
+_LINKS = "a bigint, b bigint, block bigint, docs binary, links binary"
+
+
+def link_numbers(links: DataFrame) -> DataFrame:
+    """(rep, links): every row's number of links, from the blocks' packed arrays."""
+
+    def block(table: pa.Table) -> pa.Table:
+        docs = np.frombuffer(table.column("docs")[0].as_buffer(), "<i8")
+        total = sum(np.frombuffer(x.as_buffer(), "<i8") for x in table.column("links"))
+        return pa.table({"rep": pa.array(docs), "links": pa.array(total)})
+
+    return links.filter("block IS NOT NULL").groupBy("block").applyInArrow(block, "rep bigint, links bigint")
 
 
 def similar_classes(texts: DataFrame, hot: int = HOT, half: bool = True) -> DataFrame:
-    """(doc, n, component) of rows (doc, text as bytes); doc is unique up to repeated rows."""
+    """(doc, n, component, links) of rows (doc, text as bytes); doc is unique up to repeated rows."""
     spark = texts.sparkSession
     prepare(spark)
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -411,50 +448,57 @@ def similar_classes(texts: DataFrame, hot: int = HOT, half: bool = True) -> Data
     rows = written(bounded_rows(shared_columns(matrix_blocks(texts, buckets, hot, half), max(8, buckets // 8))), "ngram-rows")
     if half and not rows.filter("short").isEmpty():
         return similar_classes(texts, hot, False)
-    classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"))
-    kept = rows.filter("grams is not null").select("doc", "n", "grams").join(classes.select(F.col("rep").alias("doc")), "doc", "left_semi")
-    members = kept.select("doc", "n", F.explode("grams").alias("gram"))
+    classes = rows.filter("n > 0").groupBy("n", "x", "y").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
+    kept = rows.filter("grams is not null").select("doc", "n", "grams").join(classes.select(F.col("rep").alias("doc"), "copies"), "doc")
+    members = kept.select("doc", "n", "copies", F.explode("grams").alias("gram"))
     columns = members.groupBy("gram").agg(F.min("doc").alias("lead"), F.count("*").alias("k")).filter("k > 1").select("gram", "lead")
     members = written(members.join(columns, "gram"), "ngram-members")
     # Row blocks: rows with the same smallest partner, dealt out by hash where there are many.
-    home = members.groupBy("doc", "n").agg(F.min("lead").alias("lead"))
+    home = members.groupBy("doc", "n", "copies").agg(F.min("lead").alias("lead"))
     parts = home.groupBy("lead").agg(F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_ENTRIES)).alias("parts"))
-    home = written(home.join(parts, "lead").select("doc", F.xxhash64("lead", F.pmod(F.xxhash64("doc"), "parts")).alias("block")), "ngram-homes")
+    home = written(home.join(parts, "lead").select("doc", "copies", F.xxhash64("lead", F.pmod(F.xxhash64("doc"), "parts")).alias("block")), "ngram-homes")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([s.tobytes() for s in shingle_sets(batch.column(2).to_pylist())], pa.binary())], ["block", "doc", "grams"])
-            trim()
+            for part in slices(batch, 3):
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), pa.array([s.tobytes() for s in shingle_sets(part.column(3).to_pylist())], pa.binary())], ["block", "doc", "copies", "grams"])
+                trim()
 
     # The same plan at every size: the number of rows that take part grows with the data.
-    rowsets = texts.join(home.hint("merge"), "doc").select("block", "doc", "text").mapInArrow(whole, "block bigint, doc bigint, grams binary")
-    blocks = written(rowsets.groupBy("block").agg(F.collect_set(F.struct("doc", "grams")).alias("items")), "ngram-blocks")
+    rowsets = texts.join(home.hint("merge"), "doc").select("block", "doc", "copies", "text").mapInArrow(whole, "block bigint, doc bigint, copies bigint, grams binary")
+    blocks = written(rowsets.groupBy("block").agg(F.collect_set(F.struct("doc", "copies", "grams")).alias("items")), "ngram-blocks")
     # Blocks that share a column; columns with the same blocks give the same pairs, one of them is enough.
-    met = members.join(home, "doc").select("gram", "block").distinct()
+    met = members.select("doc", "gram").join(home, "doc").select("gram", "block").distinct()
     several = met.groupBy("gram").agg(F.count("*").alias("k"), F.sum(F.xxhash64("block").cast("decimal(38,0)")).alias("sign")).filter("k > 1").groupBy("k", "sign").agg(F.min("gram").alias("gram")).select("gram")
     met = written(met.join(several, "gram"), "ngram-met")
     pairs = met.select("gram", F.col("block").alias("p")).join(met.select("gram", F.col("block").alias("q")), "gram").filter("p < q").select("p", "q").distinct()
-    components = connected_components(block_links(pairs, blocks))
-    named = classes.join(components, classes["rep"] == components["node"], "left").select("n", "x", "y", F.coalesce("component", "rep").alias("component"))
-    return rows.select("doc", "n", "x", "y").join(named, ["n", "x", "y"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    links = written(block_links(pairs, blocks), "ngram-links")
+    for table in (members, home, blocks, met):
+        discard(table)
+    components = connected_components(links.filter("a IS NOT NULL").select("a", "b"))
+    named = classes.join(components, classes["rep"] == components["node"], "left").join(link_numbers(links), "rep", "left")
+    named = named.select("n", "x", "y", F.coalesce("component", "rep").alias("component"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("links"))
+    return rows.select("doc", "n", "x", "y").join(named, ["n", "x", "y"], "left").select("doc", "n", F.coalesce("component", "doc").alias("component"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 def ngram_join(docs: DataFrame, hot: int = HOT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_shingles, component_id."""
-    base, same = numbered(docs.select(key, text), key, text)
-    texts = base.select(F.col("_doc").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
-    found = similar_classes(texts, hot)
+    """Per row: key, n_shingles, component_id, n_links."""
+    base, same = numbered(docs.select(key, text).toDF("key", "text"), "key", "text")
+    texts = base.select(F.col("_doc").alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    found = similar_classes(texts, hot).withColumnsRenamed({"n": "n_shingles", "links": "n_links"})
+    kind = docs.schema[key].dataType
     if same:
-        return found.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), F.col("n").alias("n_shingles"), F.col("component").cast(docs.schema[key].dataType).alias("component_id"))
-    keys = base.select(F.col("_doc").alias("component"), F.col(key).alias("component_id")).distinct()
-    rows = base.select(F.col(key), F.col("_doc").alias("doc")).join(found, "doc").join(keys, "component")
-    return rows.select(key, F.col("n").alias("n_shingles"), "component_id")
+        return found.select(F.col("doc").cast(kind).alias(key), "n_shingles", F.col("component").cast(kind).alias("component_id"), "n_links")
+    keys = base.select(F.col("_doc").alias("component"), F.col("key").alias("component_id")).distinct()
+    rows = base.select("key", F.col("_doc").alias("doc")).join(found.distinct(), "doc").join(keys, "component")
+    return rows.select(F.col("key").alias(key), "n_shingles", "component_id", "n_links")
 
 
 def keep_one_of_each(docs: DataFrame, hot: int = HOT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs, all columns, with one row of each component: the one with the smallest key."""
-    base, same = numbered(docs, key, text)
-    texts = base.select(F.col("_doc").alias("doc"), F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary").alias("text"))
+    flat, (c_key, c_text) = positional(docs, key, text)
+    base, same = numbered(flat, c_key, c_text)
+    texts = base.select(F.col("_doc").alias("doc"), F.coalesce(F.col(c_text).cast("string"), F.lit("")).cast("binary").alias("text"))
     firsts = similar_classes(texts, hot).filter("doc = component").select(F.col("doc").alias("_doc"))
     kept = base.join(firsts, "_doc", "left_semi")
-    return (kept if same else kept.dropDuplicates(["_doc"])).select(*docs.columns)
+    return (kept if same else kept.dropDuplicates(["_doc"])).select(*flat.columns).toDF(*docs.columns)

@@ -84,7 +84,8 @@ ORACLE_SQL: dict[str, str] = {
             SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)
         ), f AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e
         ), r(a, b) AS (SELECT a, b FROM f UNION SELECT r.a, f.b FROM r JOIN f ON r.b = f.a)
-        SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id, coalesce((SELECT min(r.b) FROM r WHERE r.a = documents.doc_id), documents.doc_id)) AS component_id
+        SELECT documents.doc_id, coalesce(n.n, 0) AS n_shingles, least(documents.doc_id, coalesce((SELECT min(r.b) FROM r WHERE r.a = documents.doc_id), documents.doc_id)) AS component_id,
+               (SELECT count(*) FROM f WHERE f.a = documents.doc_id) AS n_links
         FROM documents LEFT JOIN n ON n.doc_id = documents.doc_id
     """,
     "op7_suffix_dedup": """
