@@ -4,9 +4,9 @@ Method: templates are cut into lower-cased words of ASCII letters, digits and ot
 non-ASCII characters. Of the hashes of their three-word sequences, winnowing keeps the
 smaller one of every two neighbours, and an inverted index maps each to its templates
 and places. Texts are fingerprinted the same way in numpy; a text that repeats four or
-more words of a template must hit the index. Hits of a template on neighbouring
-diagonals make a candidate region, on which a banded local alignment of words counts the
-matched template words and finds the span.
+more words in a row of a template must hit the index. Around the first hit of a template a
+banded local alignment of words counts the matched template words and finds the span; its
+words are taken out, and the next hit is aligned until none is left.
 
 The index holds the templates only, so its size does not grow with the data; it is
 part of the function sent to the executors.
@@ -36,7 +36,7 @@ from skysurvey.llm.ngram_join import GROUP, word_hashes
 LEAST = 0.8
 GRAM = 3
 WINNOW = 2
-#: Diagonals on either side of a region's own that the alignment visits.
+#: Diagonals on either side of a hit's own that the alignment visits.
 BAND = 12
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -129,18 +129,15 @@ class Index:
         self.lists = [w.tolist() for w in self.words]
         postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
         for t, words in enumerate(self.words):
-            # All sequences of a template are indexed, so that texts' winnowed ones always meet theirs.
-            grams, places = self._all(words)
+            # A text's window inside a notice is a window of its template, so both choose the same sequence of it.
+            if len(words) < GRAM + WINNOW - 1:
+                raise ValueError(f"template {self.names[t]!r} has fewer than {GRAM + WINNOW - 1} words")
+            grams, places = winnowed(words)
             for g, p in zip(grams.tolist(), places.tolist()):
                 postings[g].append((t, p))
         self.postings = dict(postings)
         self.keys = np.array(sorted(postings), np.uint64)
 
-    @staticmethod
-    def _all(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        pairs = [winnowed(words[i : i + GRAM]) for i in range(len(words) - GRAM + 1)]
-        return (np.concatenate([g for g, _ in pairs]), np.arange(len(pairs))) if pairs else (words[:0], np.zeros(0, np.int64))
-
     def hits(self, grams: np.ndarray) -> np.ndarray:
         """Which fingerprints are in the index."""
         if not len(self.keys):
@@ -185,34 +182,43 @@ class Scanner:
         self.index = Index(templates)
         self.least = least
 
-    def _regions(self, hits: list[tuple[int, int]]) -> list[tuple[int, int]]:
-        """(template, diagonal) of candidate regions, from (word, posting) hits."""
-        found: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for gram, word in hits:
-            for t, place in self.index.postings[gram]:
-                found[t].append((word - place, word))
-        out = []
-        for t, diagonals in found.items():
-            diagonals.sort()
-            at = 0
-            while at < len(diagonals):
-                to = at
-                while to < len(diagonals) and diagonals[to][0] - diagonals[at][0] <= BAND:
-                    to += 1
-                out.append((t, diagonals[(at + to - 1) // 2][0]))
-                at = to
-        return out
+    def _notices(self, t: int, words: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """(matched words, first word, last word + 1) of every notice of a template, from (diagonal, word) hits.
+
+        The first hit's surroundings are aligned. A notice found takes its words and hits away
+        from the others; where there is none, the hits near this diagonal and place go. This
+        is repeated until no hit is left, so adjacent notices are found one after the other.
+        """
+        template, free, found = self.index.lists[t], words, []
+        hits = sorted(hits)
+        near = min(BAND, max(1, len(template) // 4))
+        while hits:
+            shift = hits[0][0]
+            low = max(0, shift - BAND)
+            part = free[low : shift + len(template) + BAND + 1].tolist()
+            matched, first, last = align(template, part, shift - low)
+            if matched >= self.least * len(template) and first >= 0:
+                first, last = first + low, last + low
+                found.append((matched, first, last))
+                if free is words:
+                    free = words.copy()
+                free[first:last] = 0  # no word's hash
+                rest = [h for h in hits if not first <= h[1] < last]
+                hits = rest if len(rest) < len(hits) else hits[1:]
+            else:
+                hits = [h for h in hits if h[0] > shift + near]
+        return found
 
     def scan(self, words: np.ndarray, hits: list[tuple[int, int]]) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, first word, last word + 1, matched words) of a text's words."""
+        by_template: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for gram, word in hits:
+            for t, place in self.index.postings[gram]:
+                by_template[t].append((word - place, word))
         found = []
-        for t, shift in self._regions(hits):
-            template = self.index.lists[t]
-            low = max(0, shift - BAND)
-            part = words[low : shift + len(template) + BAND + 1].tolist()
-            matched, first, last = align(template, part, shift - low)
-            if matched >= self.least * len(template) and first >= 0:
-                found.append((-matched, -matched / len(template), self.index.names[t], first + low, last + low))
+        for t, own in by_template.items():
+            size = len(self.index.lists[t])
+            found += [(-matched, -matched / size, self.index.names[t], first, last) for matched, first, last in self._notices(t, words, own)]
         kept: list[tuple] = []
         for x in sorted(set(found)):
             if all(min(x[4], y[4]) - max(x[3], y[3]) <= 0.5 * min(x[4] - x[3], y[4] - y[3]) for y in kept):
