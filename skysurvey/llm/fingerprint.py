@@ -5,15 +5,18 @@ characters of scripts without spaces and those of words of more than 32 characte
 as a word each. Of every k-mer of four words the three inner 2-mers are hashed; the k-mer is an anchor (a
 closed syncmer) if the smallest of them lies at an edge, the first or the last place.
 That depends on the k-mer alone, so an edit changes only the anchors that overlap it.
-The fingerprint is the sorted list of the 64 smallest distinct anchor hashes of the
-whole text; the likeness of two fingerprints is the share of common hashes among the 64
-smallest of their union, an estimate of the Jaccard similarity of the anchor sets.
+The fingerprint holds the 64 anchors of the whole text whose hashes are smallest, each with
+the place, counted in words, where it first stands (``sketch=None``: all anchors). Two
+fingerprints are matched by position: of the 64 smallest hashes of their union the common
+ones count, an estimate of the Jaccard similarity of the anchor sets, and of these, in the
+order of their places in one text, the share that also goes on in the other one. So the
+same words in another order are less alike than an edited text.
 
 Documents are paired with the next one by descending key: ranges of keys with about
 equal numbers of rows, taken from approximate quantiles, are sorted each in a partition
 of its own, and the first row of each range is also put behind the last row of the range
-before it. Texts are shuffled once; only the quantiles and each range's largest key
-reach the driver.
+before it. There are as many ranges as the text has ``RANGE_BYTES``, ``MOST_RANGES`` at most.
+Texts are shuffled once; only the quantiles and each range's largest key reach the driver.
 
 Defined results: a text of fewer than four words, or without an anchor, has the hash of
 all its words as its only anchor; null text and text without words has the empty
@@ -29,8 +32,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from skysurvey.llm.common import partitions
 
 SKETCH = 64
-#: Ranges of keys, at most; they bound what reaches the driver.
-MOST_RANGES = 4096
+#: Bytes of text of a range, about, and ranges at most, which bound what reaches the driver.
+RANGE_BYTES = 32_000_000
+MOST_RANGES = 65_536
 #: Characters that are a word each: those of scripts written without spaces, and those of longer words than this.
 UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsBopomofo}\p{IsYi}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}\p{IsTibetan}\p{IsJavanese}\p{IsBalinese}\p{IsTai_Le}\p{IsNew_Tai_Lue}\p{IsTai_Tham}]"
 LONGEST_WORD = 32
@@ -59,14 +63,17 @@ def with_anchors(df: DataFrame, text: str, out: str) -> DataFrame:
     return df.withColumn(out, _closed(F.col("_inner"))).drop("_inner")
 
 
-def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
-    """df with the column out: the sorted smallest anchor hashes of the text."""
+_ANCHORS = "array<struct<hash: bigint, place: int>>"
+
+
+def with_fingerprint(df: DataFrame, text: str, out: str, sketch: int | None = SKETCH) -> DataFrame:
+    """df with the column out: (hash, first place) of the smallest anchor hashes of the text, by hash."""
     df = with_anchors(df, text, "_anchors")
-    found = F.array_compact("_anchors")
-    whole = F.when(F.size("_words") > 0, F.array(F.xxhash64(F.col("_words")))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_found", found)
-    chosen = F.when(F.size("_found") > 0, F.col("_found")).otherwise(whole)
-    return df.withColumn(out, F.slice(F.sort_array(F.array_distinct(chosen)), 1, SKETCH)).drop("_words", "_anchors", "_found")
+    df = df.withColumn("_chosen", F.sort_array(F.array_distinct(F.array_compact("_anchors"))))
+    least = F.slice("_chosen", 1, sketch) if sketch else F.col("_chosen")
+    placed = F.transform(least, lambda h: F.struct(h.alias("hash"), (F.array_position("_anchors", h) - 1).cast("int").alias("place")))
+    whole = F.when(F.size("_words") > 0, F.array(F.struct(F.xxhash64(F.col("_words")).alias("hash"), F.lit(0).alias("place")))).otherwise(F.array().cast(_ANCHORS))
+    return df.withColumn(out, F.when(F.size("_chosen") > 0, placed).otherwise(whole)).drop("_words", "_anchors", "_chosen")
 
 
 def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -76,14 +83,29 @@ def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return placed.filter("anchor is not null").withColumnRenamed("key", key)
 
 
-def _likeness(a: str, b: str) -> Column:
-    union = F.slice(F.sort_array(F.array_union(a, b)), 1, SKETCH)
-    common = F.size(F.array_intersect(union, F.array_intersect(a, b)))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(common / F.greatest(F.size(union), F.lit(1)))
+def _likeness(a: str, b: str, sketch: int | None = SKETCH) -> Column:
+    """The share of common hashes times the share of them that stand in one order."""
+    one, two = F.col(f"{a}.hash"), F.col(f"{b}.hash")
+    union = F.array_union(one, two)
+    union = F.slice(F.sort_array(union), 1, sketch) if sketch else union
+    common = F.array_intersect(F.array_intersect(one, two), union)
+    # Of the common anchors, in the order of the first text: those whose place in the second one is after the last one's.
+    at = lambda side, hashes, h: F.get(F.col(f"{side}.place"), (F.array_position(hashes, h) - 1).cast("int"))
+    places = F.transform(F.array_sort(F.transform(common, lambda h: F.struct(at(a, one, h).alias("p"), at(b, two, h).alias("q")))), lambda s: s["q"])
+    n = F.size(common)
+    steps = F.when(n > 1, F.zip_with(F.slice(places, F.lit(1), n - 1), F.slice(places, F.lit(2), n - 1), lambda p, q: F.when(q >= p, 1).otherwise(0))).otherwise(F.array().cast("array<int>"))
+    ordered = F.when(n > 1, F.aggregate(steps, F.lit(0), lambda s, x: s + x) / F.greatest(n - 1, F.lit(1))).otherwise(F.lit(1.0))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(n / F.greatest(F.size(union), F.lit(1)) * ordered)
 
 
 def _shown(fingerprint: str) -> Column:
-    return F.array_join(F.transform(fingerprint, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    """Sixteen hexadecimal digits of the hash and eight of the place, anchor by anchor."""
+    return F.array_join(F.transform(fingerprint, lambda x: F.concat(F.lpad(F.lower(F.hex(x["hash"])), 16, "0"), F.lpad(F.lower(F.hex(x["place"].cast("long"))), 8, "0"))), "")
+
+
+def _longs(values: list[int]) -> Column:
+    """A constant array, as one literal."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>") if values else F.array().cast("array<bigint>")
 
 
 def with_next(rows: DataFrame, carried: dict[str, str]) -> DataFrame:
@@ -92,13 +114,13 @@ def with_next(rows: DataFrame, carried: dict[str, str]) -> DataFrame:
     carried: names of the new columns by the columns they are taken from.
     """
     spark = rows.sparkSession
-    ranges = min(4 * partitions(spark), MOST_RANGES)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = min(max(4 * partitions(spark), -(-size // RANGE_BYTES)), MOST_RANGES)
     cuts = rows.agg(F.approx_percentile("key", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0]
     cuts = sorted(set(cuts or []))
     # A range's number: how many cuts lie below the key, counted by coarse steps and then by fine ones.
     step = max(1, int(len(cuts) ** 0.5))
-    coarse = F.array(*(F.lit(c).cast("bigint") for c in cuts[step - 1 :: step])) if cuts[step - 1 :: step] else F.array().cast("array<bigint>")
-    fine = F.array(*(F.lit(c).cast("bigint") for c in cuts)) if cuts else F.array().cast("array<bigint>")
+    coarse, fine = _longs(cuts[step - 1 :: step]), _longs(cuts)
     rows = rows.withColumn("_coarse", F.size(F.filter(coarse, lambda c: c < F.col("key"))) * step)
     rows = rows.withColumn("_range", F.when(F.col("key").isNull(), -1).otherwise(F.col("_coarse") + F.size(F.filter(F.slice(fine, F.col("_coarse") + 1, F.lit(step)), lambda c: c < F.col("key"))))).drop("_coarse")
     tops = {r["_range"]: r["top"] for r in rows.groupBy("_range").agg(F.max("key").alias("top")).collect()}  # at most MOST_RANGES + 1
@@ -106,34 +128,35 @@ def with_next(rows: DataFrame, carried: dict[str, str]) -> DataFrame:
     rows = rows.withColumn("_after", F.lit(0))
     if order:
         # The first row of each range follows the last one of the range above it.
-        above = {r: order[(i + 1) % len(order)] for i, r in enumerate(order)}
-        heads = [tops[r] for r in order if tops[r] is not None]
-        first = F.col("key").isin(heads) if heads else F.lit(False)
-        first = F.coalesce(first, F.lit(True))
-        target = F.element_at(F.create_map(*(F.lit(x) for pair in above.items() for x in pair)), F.col("_range"))
+        # Arrays by range, from -1 (null keys) on.
+        above = dict(zip(order, [*order[1:], order[0]]))
+        every = range(-1, order[-1] + 1)
+        top = F.get(_longs([tops.get(r) or 0 for r in every]), F.col("_range") + 1)
+        target = F.get(_longs([above.get(r, r) for r in every]), F.col("_range") + 1).cast("int")
+        first = F.coalesce(F.col("key") == top, F.lit(True))
         rows = rows.unionByName(rows.filter(first).withColumn("_range", target).withColumn("_after", F.lit(1)))
     window = Window.partitionBy("_range").orderBy("_after", F.desc_nulls_last("key"), "_order")
     rows = rows.withColumns({new: F.lead(old).over(window) for old, new in carried.items()})
     return rows.filter("_after = 0").drop("_range", "_after")
 
 
-def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", sketch: int | None = SKETCH) -> DataFrame:
     """Per row: key, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     kind = docs.schema[key].dataType
     rows = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = with_fingerprint(rows.withColumn("_order", F.xxhash64("text")), "text", "own")
+    rows = with_fingerprint(rows.withColumn("_order", F.xxhash64("text")), "text", "own", sketch)
     rows = with_next(rows, {"text": "next_text", "own": "next"})
     third = F.floor(F.col("n_chars") / 3).cast("int")
     rows = rows.withColumn("n_chars", F.length("text").cast("bigint")).withColumn("_third", third)
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - F.col("_third")), F.substring(F.col("next_text"), F.lit(1), F.col("_third")))
     rows = rows.withColumn("edited", edited).drop("text", "next_text")
-    rows = with_fingerprint(rows, "edited", "changed")
+    rows = with_fingerprint(rows, "edited", "changed", sketch)
     return rows.select(
         F.col("key").cast(kind).alias(key),
         "n_chars",
         F.sha2("edited", 256).alias("edited_sha256"),
         _shown("own").alias("fingerprint"),
         _shown("changed").alias("edited_fingerprint"),
-        _likeness("own", "changed").alias("near_edited"),
-        _likeness("own", "next").alias("near_next"),
+        _likeness("own", "changed", sketch).alias("near_edited"),
+        _likeness("own", "next", sketch).alias("near_next"),
     )
