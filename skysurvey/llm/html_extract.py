@@ -8,8 +8,8 @@ the text. The weights are trained by ``html_train`` on generated pages and ship
 the package, so results do not depend on the input table.
 
 Blocks end where a block-level element begins or ends. Comments, scripts, styles and
-other raw text never become blocks, nor do closed svg, select, template, noscript and
-MathML annotation elements; the text of math and object elements is text like any other.
+other raw text never become blocks, nor do closed select, template, noscript and MathML
+annotation elements; the text of math, svg and object elements is text like any other.
 Character references are decoded, white space in a block becomes one blank, blocks are
 joined by a line feed in page order.
 
@@ -51,13 +51,13 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 #: Elements that are not shown as text; without a closing tag only their own tag is left out.
-_HIDDEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in "svg select template noscript annotation annotation-xml".split()}
+_HIDDEN = {t: re.compile(rf"</{t}\s*>", re.I) for t in "select template noscript annotation annotation-xml".split()}
 _NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
 _MARKS = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PARTS = re.compile(r"[a-zA-Z]+")
 _SPACE = re.compile(r"\s+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input button svg object param math".split()) | frozenset(
+_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input button svg g tspan textpath path rect circle ellipse line polyline polygon defs use symbol image marker mask pattern filter stop clippath lineargradient radialgradient object param math".split()) | frozenset(
     "mi mn mo ms mtext mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mstyle mpadded mphantom mspace merror menclose maction semantics annotation annotation-xml".split()
 )
 #: Elements that an element of the same kind closes when it begins.
@@ -66,10 +66,11 @@ _FENCE = frozenset("article aside body div footer form header main nav ol sectio
 
 
 class Block(NamedTuple):
-    """A leaf of a page: its text, the names on its path and how many of its characters are in links."""
+    """A leaf of a page: its text, the different names on its path, those of its own element and how many of its characters are in links."""
 
     text: str
     path: tuple[str, ...]
+    own: tuple[str, ...]
     linked: int
 
 
@@ -78,7 +79,7 @@ def _open(tag: str, source: str) -> tuple[str, ...]:
     names = [tag]
     if "=" in source:
         for m in _MARKS.finditer(source):
-            names += ["." + w.lower() for w in _PARTS.findall(m[2] or m[3] or m[4] or "")[:6]]
+            names += ["." + w.lower() for w in _PARTS.findall(m[2] or m[3] or m[4] or "")]
     return tuple(names)
 
 
@@ -93,8 +94,8 @@ def blocks(page: str) -> list[Block]:
         if pieces:
             text = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
             if text:
-                path = tuple(n for _, names in stack[:2] + stack[2:][-8:] for n in names)
-                found.append(Block(text, path, min(linked[0], len(text))))
+                path = tuple(dict.fromkeys(n for _, names in stack for n in names))
+                found.append(Block(text, path, stack[-1][1] if stack else (), min(linked[0], len(text))))
             pieces.clear()
             linked[0] = 0
 
@@ -121,7 +122,7 @@ def blocks(page: str) -> list[Block]:
         if tag in _INLINE:
             if tag == "a":
                 links = 0 if source[1] == "/" else 1
-            elif tag == "br":
+            elif tag in ("br", "tspan"):
                 pieces.append(" ")
             continue
         end()
@@ -172,7 +173,7 @@ def encode(page: list[Block]) -> Encoded:
     before = 0
     for i, b in enumerate(page):
         names = [_bucket(n, PATHS) for n in b.path]
-        names.append(_bucket("leaf " + (b.path[-1] if b.path else ""), PATHS))
+        names += [_bucket("leaf " + n, PATHS) for n in b.own or ("",)]
         paths += names
         path_of += [i] * len(names)
         n = len(b.text)
@@ -180,7 +181,7 @@ def encode(page: list[Block]) -> Encoded:
         words += own
         word_of += [i] * len(own)
         marks = sum(map(b.text.count, ".,;!?"))
-        measures[i] = (min(np.log1p(n) / 6, 1.5), min(np.log1p(len(own)) / 5, 1.5), b.linked / n, marks / len(own), sum(map(str.isdigit, b.text[:200])) / min(n, 200), before / total, i / len(page), n / total)
+        measures[i] = (min(np.log1p(n) / 6, 1.5), min(np.log1p(len(own)) / 5, 1.5), b.linked / n, marks / len(own), sum(map(b.text.count, "0123456789")) / n, before / total, i / len(page), n / total)
         before += n
     return Encoded(*(np.array(x, np.int64) for x in (paths, path_of, words, word_of)), measures)
 

@@ -2,8 +2,11 @@
 
 Pages are made from random layouts whose parts are known to be article or not: menus,
 site headers, notices, adverts, sidebars, share bars, forms, comments and footers in many
-namings around an article of headings, paragraphs, lists, quotes, tables and captions.
-Words are random syllables, so that the labeller learns structure rather than topics.
+namings, or none, around an article of headings, paragraphs, lists, quotes, tables and
+captions. Articles stand in article, main, section, div or table-cell elements, paragraphs
+in p, div or td, and everything may be nested deep. Words are random syllables and common
+short words, so that the labeller learns structure rather than topics; what surrounds
+articles often says so in set phrases.
 """
 
 from __future__ import annotations
@@ -27,6 +30,17 @@ _NOTE = "cookie cookies consent notice alert gdpr popup modal message newsletter
 _COMMENT = "comment comments comment-list discussion replies responses respond disqus reader-comments commentary".split()
 _SHARE = "share social sharing byline meta author date post-meta buttons follow".split()
 _MAIN = "content article post entry story main body text post-content entry-content article-body main-content blog-post page".split()
+#: Phrases that surround articles, by the part they stand in.
+_PHRASES = {
+    "nav": "Home|About|About us|Contact|Contact us|Log in|Sign in|Register|Search|Blog|News|Products|Services|Shop|Cart|Help|FAQ|Support|Archive|Start|Kontakt|Anmelden|Suche|Inicio|Contacto|Buscar|Accueil|Rechercher|Next|Previous|Menu|Sitemap|Careers|Forum|Downloads",
+    "foot": "All rights reserved|Privacy policy|Terms of service|Terms and conditions|Cookie settings|Powered by|Imprint|Impressum|Datenschutz|Alle Rechte vorbehalten|Aviso legal|Todos los derechos reservados|Mentions légales|Tous droits réservés|Back to top|Copyright 2019|Copyright 2024|© 2021|Inc.|Ltd.",
+    "side": "Related articles|Related posts|Most read|Popular|Trending|Recommended for you|You may also like|More stories|Latest news|Recent posts|Categories|Tags|Archives|About the author|Ähnliche Artikel|Lo más leído|À lire aussi|Read more|See also on this site",
+    "ad": "Advertisement|Sponsored|Anzeige|Publicidad|Publicité|Buy now|Save 50%|Limited offer|Free trial|Shop now|Learn more|Click here|Special offer|Sale ends soon",
+    "note": "We use cookies|This site uses cookies|Accept|Accept all|Decline|Manage preferences|Sign up for our newsletter|Subscribe|Subscribe now|Enter your email|Your email address|Wir verwenden Cookies|Usamos cookies|Nous utilisons des cookies|Get updates in your inbox|Enable JavaScript|Turn off your ad blocker",
+    "comment": "Comments|Leave a comment|Leave a reply|Reply|Log in to comment|says|wrote|1 comment|12 comments|Kommentare|Antworten|Comentarios|Responder|Commentaires|Répondre|Report|Like|Great post|Thanks for sharing",
+    "share": "Share|Share this|Tweet|Share on Facebook|Follow us|Print|Email|Posted by|Published on|By|Updated|min read|Teilen|Compartir|Partager|Views|Likes",
+}
+_COMMON = "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up what der die und das ist nicht mit den von zu auf für ein eine el la los que en un una por con para le les des est une dans pour pas sur".split()
 _NEUTRAL = "wrapper container row col inner box outer section block grid layout left right center".split()
 
 
@@ -35,7 +49,7 @@ class Maker:
 
     def __init__(self, seed: int):
         self.r = random.Random(seed)
-        self.pool = [self.word() for _ in range(400)]
+        self.pool = [self.word() for _ in range(400)] + _COMMON * self.r.choice([0, 1, 3, 6])
 
     def word(self) -> str:
         return "".join(self.r.choices(_SYLLABLES, k=self.r.randint(1, 4)))
@@ -54,6 +68,12 @@ class Maker:
             out = [w + self.r.choice(["***", "###", "$$$", "%%%", "!!", " |"]) for w in out]
         return " ".join(out)
 
+    def phrase(self, part: str, text: str) -> str:
+        """Often a set phrase of a part, alone or before the text."""
+        k = self.r.random()
+        said = self.r.choice(_PHRASES[part].split("|"))
+        return said if k < 0.25 else f"{said} {text}" if k < 0.4 else f"{text} {said}" if k < 0.5 else text
+
     def sentences(self, low: int, high: int) -> str:
         return self.words(low, high) + self.r.choice([".", ".", ".", "", "!", "?"])
 
@@ -63,16 +83,32 @@ class Maker:
         k = r.random()
         if k < 0.12:
             return ""
+        if k < 0.27:
+            return f' {r.choice(["class", "id"])}="{self.code()}"'
         name = r.choice(names) + (r.choice(["", "", "", "-1", "_box", "-wrap", " " + r.choice(_NEUTRAL)]))
         return f' {"id" if k < 0.3 else "class"}="{name}"'
 
+    def code(self) -> str:
+        """A name that says nothing."""
+        return "".join(self.r.choices("abcdefghijklmnopqrstuvwxyz", k=self.r.randint(1, 3))) + self.r.choice(["", "", str(self.r.randint(1, 99)), "-" + self.word()])
+
+    def nested(self, inner: str, most: int) -> str:
+        """inner in some elements that say nothing."""
+        r = self.r
+        for _ in range(r.choice([0, 0, 0, 1, 1, 2, 3, most])):
+            inner = f'<div{r.choice(["", self.pick(_NEUTRAL)])}>{inner}</div>'
+        return inner
+
     def mark(self, kind: str, text: str) -> str:
         return kind + text
 
     def links(self, kind: str, n: int) -> str:
         r = self.r
-        texts = [self.words(1, 3) if r.random() < 0.8 else self.words(3, 9) for _ in range(n)]
+        texts = [self.phrase("nav" if kind == OTHER else "side", self.words(1, 3) if r.random() < 0.8 else self.words(3, 9)) for _ in range(n)]
         style = r.random()
+        if style < 0.12:
+            cells = "".join(f'<td><a href="/{i}">{self.mark(kind, t)}</a></td>' for i, t in enumerate(texts))
+            return f"<table><tr>{cells}</tr></table>"
         if style < 0.6:
             return "<ul>" + "".join(f'<li><a href="/{i}">{self.mark(kind, t)}</a></li>' for i, t in enumerate(texts)) + "</ul>"
         if style < 0.8:
@@ -80,16 +116,14 @@ class Maker:
         return self.mark(kind, " | ".join(f'<a href="#">{t}</a>' for t in texts))
 
     def nav(self) -> str:
-        tag = self.r.choice(["nav", "nav", "nav", "div", "ul", "section"])
+        tag = self.r.choice(["nav", "nav", "nav", "div", "div", "section"])
         attrs = self.pick(_NAV) if tag != "nav" or self.r.random() < 0.5 else ""
-        if tag != "nav" and not attrs:
-            attrs = ' class="menu"'
         return f"<{tag}{attrs}>{self.links(OTHER, self.r.randint(2, 12))}</{tag}>"
 
     def header(self) -> str:
         r = self.r
         tag = r.choice(["header", "header", "div"])
-        attrs = self.pick(_HEAD) if tag == "header" else f' class="{r.choice(_HEAD)}"'
+        attrs = self.pick(_HEAD)
         inner = f"<{r.choice(['h1', 'div', 'p', 'h2'])}>{self.mark(OTHER, self.words(1, 4))}"
         if r.random() < 0.5:
             inner += f"<p>{self.mark(OTHER, self.sentences(3, 12))}</p>"
@@ -99,33 +133,37 @@ class Maker:
 
     def footer(self) -> str:
         r = self.r
-        tag = r.choice(["footer", "footer", "footer", "div"])
-        attrs = self.pick(_FOOT) if tag == "footer" else f' class="{r.choice(_FOOT)}"'
+        tag = r.choice(["footer", "footer", "footer", "div", "div", "p"])
+        attrs = self.pick(_FOOT)
         inner = ""
         if r.random() < 0.4:
             inner += self.links(OTHER, r.randint(1, 8))
-        if r.random() < 0.9:
+        if r.random() < 0.4:
+            inner += f"<div>{self.mark(OTHER, self.phrase('foot', self.sentences(1, 8)))}</div>"
+        if r.random() < 0.2:
+            inner += self.mark(OTHER, f"{r.choice(['Copyright', '©', '&copy;', '(c)'])} {r.randint(1998, 2026)} {self.words(1, 3)} {r.choice(['Inc.', 'Ltd.', 'GmbH', ''])} {r.choice(_PHRASES['foot'].split('|'))}.")
+        elif r.random() < 0.9:
             inner += self.mark(OTHER, f"{r.choice(['&copy; ', 'Copyright ', '&copy; 2024 ', ''])}{self.word()}.example.{r.choice(['com', 'net', 'org'])} {r.choice(['&middot;', '|', '-', '.'])} {self.sentences(2, 16)}")
         if r.random() < 0.3:
             inner += f"<p>{self.mark(OTHER, self.sentences(3, 20))}</p>"
         return f"<{tag}{attrs}>{inner}</{tag}>"
 
-    def aside(self, names: list[str], tags: list[str], low: int = 3, high: int = 30) -> str:
+    def aside(self, names: list[str], tags: list[str], low: int = 3, high: int = 30, part: str = "side") -> str:
         r = self.r
         tag = r.choice(tags)
         attrs = f' {r.choice(["class", "class", "id"])}="{r.choice(names)}"' if tag != "aside" or r.random() < 0.6 else ""
         k = r.random()
         if k < 0.45:
-            inner = self.mark(OTHER, self.sentences(low, high))
+            inner = self.mark(OTHER, self.phrase(part, self.sentences(low, high)))
         elif k < 0.8:
-            inner = f"<h3>{self.mark(OTHER, self.words(1, 4))}</h3>" * (r.random() < 0.6) + "".join(f"<p>{self.mark(OTHER, self.sentences(low, high))}</p>" for _ in range(r.randint(1, 3)))
+            inner = f"<h3>{self.mark(OTHER, self.phrase(part, self.words(1, 4)))}</h3>" * (r.random() < 0.6) + "".join(f"<p>{self.mark(OTHER, self.phrase(part, self.sentences(low, high)))}</p>" for _ in range(r.randint(1, 3)))
         else:
-            inner = f"<h4>{self.mark(OTHER, self.words(1, 3))}</h4>" + self.links(OTHER, r.randint(2, 8))
+            inner = f"<h4>{self.mark(OTHER, self.phrase(part, self.words(1, 3)))}</h4>" + self.links(OTHER, r.randint(2, 8))
         return f"<{tag}{attrs}>{inner}</{tag}>"
 
     def form(self) -> str:
         r = self.r
-        inner = "".join(f"<{t}>{self.mark(OTHER, self.words(1, 8))}</{t}>" for t in r.choices(["p", "div", "label", "legend", "h3"], k=r.randint(1, 4)))
+        inner = "".join(f"<{t}>{self.mark(OTHER, self.phrase("note", self.words(1, 8)))}</{t}>" for t in r.choices(["p", "div", "label", "legend", "h3"], k=r.randint(1, 4)))
         return f'<form action="/x"{self.pick(_NOTE)}>{inner}<input type="text" name="q"><button>{self.mark(OTHER, self.words(1, 2))}</button></form>'
 
     def comments(self) -> str:
@@ -133,10 +171,12 @@ class Maker:
         tag = r.choice(["section", "div", "aside", "ol", "ul"])
         name = r.choice(_COMMENT)
         one = r.choice(["div", "li", "article", "p"]) if tag not in ("ol", "ul") else "li"
-        out = f"<h3>{self.mark(OTHER, self.words(1, 3))}</h3>" if r.random() < 0.6 else ""
+        out = f"<h3>{self.mark(OTHER, self.phrase('comment', self.words(1, 3)))}</h3>" if r.random() < 0.7 else ""
         for _ in range(r.randint(1, 7)):
             text = self.sentences(2, 50)
             own = f' class="{r.choice(_COMMENT)}"' if r.random() < 0.7 else ""
+            if r.random() < 0.2:
+                text = self.phrase("comment", text)
             if one == "p" or r.random() < 0.4:
                 out += f"<{one}{own}>{self.mark(OTHER, text)}</{one}>"
             else:
@@ -147,11 +187,12 @@ class Maker:
         r = self.r
         title = self.words(2, 12)
         out = ""
+        para = r.choice(["p"] * 7 + ["div", "div", "section"])  # what paragraphs stand in
         if r.random() < 0.9:
             h = f"<h1>{self.mark(ARTICLE, title)}</h1>"
             out += f"<header>{h}</header>" if r.random() < 0.12 else h
         if r.random() < 0.15:
-            out += f'<{r.choice(["p", "div"])} class="{r.choice(_SHARE)}">{self.mark(OTHER, self.words(2, 7))}</{r.choice(["p", "div"])}>'
+            out += f'<{r.choice(["p", "div"])} class="{r.choice(_SHARE)}">{self.mark(OTHER, self.phrase("share", self.words(2, 7)))}</{r.choice(["p", "div"])}>'
         for _ in range(r.choice([1, 1, 2, 3, 4, 6, 9, 14, 25])):
             k = r.random()
             if k < 0.72:
@@ -161,7 +202,9 @@ class Maker:
                 else:
                     if r.random() < 0.2:
                         text = f'{text} <a href="/l">{self.words(1, 3)}</a> <em>{self.words(1, 2)}</em> {self.words(1, 5)}'
-                    out += f"<p>{self.mark(ARTICLE, text)}" + "</p>" * (r.random() < 0.92)
+                    end = "</p>" * (r.random() < 0.92) if para == "p" else f"</{para}>"
+                    own = self.pick(_NEUTRAL) if para != "p" and r.random() < 0.5 else ""
+                    out += f"<{para}{own}>{self.mark(ARTICLE, text)}{end}"
             elif k < 0.82:
                 h = r.choice(["h2", "h3", "h4"])
                 out += f"<{h}>{self.mark(ARTICLE, self.words(1, 8))}</{h}>"
@@ -177,23 +220,24 @@ class Maker:
             elif k < 0.96:
                 out += f"<pre>{self.mark(ARTICLE, self.words(3, 20))}</pre>"
             elif k < 0.98:
-                out += self.aside(_AD, ["div", "div", "aside", "section"])
+                out += self.aside(_AD, ["div", "div", "aside", "section"], part="ad")
             else:
                 out += self.aside(_SIDE + _NOTE, ["div", "aside"], 3, 15)
         if r.random() < 0.1:
             out += f'<div class="{r.choice(_SHARE)}">{self.links(OTHER, r.randint(2, 5))}</div>'
         if r.random() < 0.08:
             out += self.comments()
-        tag = r.choice(["article", "article", "article", "main", "div", "div", "section"])
-        attrs = self.pick(_MAIN) if tag in ("article", "main") and r.random() < 0.5 else ""
-        if tag in ("div", "section"):
-            attrs = f' {r.choice(["class", "id"])}="{r.choice(_MAIN + (["" ] if r.random() < 0.3 else []))}"'
+        tag = r.choice(["article", "article", "article", "article", "main", "div", "div", "div", "section"])
+        attrs = self.pick(_MAIN) if tag in ("div", "section") or r.random() < 0.5 else ""
+        out = self.nested(out, 6)
+        if r.random() < 0.07:  # an article in no element of its own
+            return out
         return f"<{tag}{attrs}>{out}</{tag}>" if r.random() < 0.95 else f"<{tag}{attrs}>{out}"
 
     def page(self) -> str:
         r = self.r
         before = [self.header] * (r.random() < 0.5) + [self.nav] * (r.random() < 0.85)
-        extra = [lambda: self.aside(_AD, ["div", "div", "aside", "section", "p"])] * r.choice([0, 1, 1, 2]) + [lambda: self.aside(_NOTE, ["div", "section", "p", "aside"], 3, 40)] * (r.random() < 0.35)
+        extra = [lambda: self.aside(_AD, ["div", "div", "aside", "section", "p"], part="ad")] * r.choice([0, 1, 1, 2]) + [lambda: self.aside(_NOTE, ["div", "section", "p", "aside"], 3, 40, "note")] * (r.random() < 0.35)
         side = [lambda: self.aside(_SIDE, ["aside", "aside", "div", "section"])] * r.choice([0, 0, 1, 2]) + [self.form] * (r.random() < 0.25)
         r.shuffle(extra)
         top = [f() for f in before + extra]
@@ -202,11 +246,20 @@ class Maker:
         late = [f() for f in side] + [self.comments()] * (r.random() < 0.35)
         r.shuffle(late)
         early = [late.pop()] if late and r.random() < 0.25 else []
-        core = "".join(early) + (self.body() if r.random() < 0.97 else "") + "".join(late)
-        for _ in range(r.choice([0, 0, 1, 1, 2])):
-            core = f'<div{self.pick(_NEUTRAL)}>{core}</div>'
+        body = self.body() if r.random() < 0.97 else ""
         foot = self.footer() if r.random() < 0.9 else ""
         head = f"<head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
+        if r.random() < 0.17:  # a layout by tables
+            row = lambda *cells: "<tr>" + "".join(f"<td{self.pick(_NEUTRAL)}>{x}</td>" for x in cells if x) + "</tr>"
+            middle = row("".join(early), body, "".join(late)) if r.random() < 0.7 else row("".join(top), body) + row("".join(late))
+            rows = [row(x) for x in top] * (r.random() < 0.8) + [middle] + [row(foot)]
+            return f"<html>{head}<body>{self.nested('<table>' + ''.join(rows) + '</table>', 3)}</body></html>"
+        core = "".join(self.nested(x, 5) for x in early) + self.nested(body, 8) + "".join(self.nested(x, 5) for x in late)
+        for _ in range(r.choice([0, 0, 1, 1, 2, 5])):
+            core = f'<div{self.pick(_NEUTRAL)}>{core}</div>'
+        top = [self.nested(x, 5) for x in top]
+        foot = self.nested(foot, 5)
+        head = f"<head><title>{self.words(2, 8)}</title><style>p{{margin:0}}</style><script>var t='</p>';</script></head>"
         return f"<!DOCTYPE html><html>{head}<body>{''.join(top)}<!-- c -->{core}{foot}</body></html>"
 
 
@@ -290,7 +343,7 @@ class Trainer:
         return float(loss)
 
 
-def train(pages: int = 4000, epochs: int = 3, batch: int = 32, seed: int = 1) -> dict[str, np.ndarray]:
+def train(pages: int = 9000, epochs: int = 4, batch: int = 32, seed: int = 1) -> dict[str, np.ndarray]:
     trainer = Trainer(seed)
     data = [x for x in map(example, range(pages)) if len(x[1])]
     r = random.Random(seed)
