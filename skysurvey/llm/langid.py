@@ -26,7 +26,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from skysurvey.llm.common import map_columns, prepare
+from skysurvey.llm.common import map_columns, positional, prepare
 
 UNDETERMINED = "und"
 #: Buckets of the hashed n-grams, and the longest n-gram.
@@ -178,30 +178,28 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "
 
 
 def identify(docs: DataFrame, model: NaiveBayes, text: str = "text") -> DataFrame:
-    """docs with its columns and _lang_pred, _score."""
+    """docs with its columns as c0, c1, ..., whatever their names, and lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.priors, model.table))
-    at = docs.columns.index(text)
-    # Positional names inside, so that columns that differ by case only cannot clash.
-    names = [f"c{i}" for i in range(len(docs.columns))]
-    schema = ", ".join([*(f"{n} {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields)), "_lang_pred string", "_score double"])
+    flat, (c_text,) = positional(docs, text)
+    at, names = flat.columns.index(c_text), [*flat.columns, "lang_pred", "score"]
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in flat.schema.fields), "lang_pred string", "score double"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         languages, scores = NaiveBayes(*shared.value).predict(batch.column(at).to_pylist())
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], [*names, "_lang_pred", "_score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(languages, pa.string()), pa.array(scores, pa.float64())], names)
 
-    return map_columns(docs.toDF(*names), schema, run).toDF(*docs.columns, "_lang_pred", "_score")
+    return map_columns(flat, schema, run)
 
 
 def language_id(docs: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Per row: key, held_out, lang_pred and score."""
     model = fit(docs, key, text, label, fit_rows)
     found = identify(docs.select(key, text), model, text)
-    return found.select(key, held_out(F.col(key)).alias("held_out"), F.col("_lang_pred").alias("lang_pred"), F.col("_score").alias("score"))
+    return found.select(F.col("c0").alias(key), held_out(F.col("c0")).alias("held_out"), "lang_pred", "score")
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, key: str = "doc_id", text: str = "text", label: str = "lang") -> DataFrame:
     """The rows of docs, all columns, whose language is determined with a score of at least ``least``."""
-    model = fit(docs, key, text, label)
-    found = identify(docs, model, text)
-    kept = found.filter((F.col("_lang_pred") != UNDETERMINED) & (F.col("_score") >= least))
-    return kept.select(*docs.columns)
+    found = identify(docs, fit(docs, key, text, label), text)
+    kept = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return kept.drop("lang_pred", "score").toDF(*docs.columns)
