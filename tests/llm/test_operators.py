@@ -11,16 +11,16 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skysurvey.llm import html_extract as H, html_train as HT, license_scan as L, media as M
+from skysurvey.llm import html_extract as H, html_train as HT, license_scan as L, media as M, ngram_join as ngram_module, suffix_dedup as suffix_module
 from skysurvey.llm.bpe import BYTE_LEVEL_PATTERN, SAFE_LAST, WORD_PATTERN, Merger, default_path
 from skysurvey.llm.bpe_codec import TrieEncoder, encode_decode
 from skysurvey.llm.chunks import ChunkEncoder, LibraryLearner
 from skysurvey.llm.components import connected_components
 from skysurvey.llm.fingerprint import anchors, fingerprints
-from skysurvey.llm.langid import BUCKETS, bucket_counts, hashed_grams, keep_identified, language_id
+from skysurvey.llm.langid import BUCKETS, LONGEST, bucket_counts, fit as fit_language, hashed_grams, keep_identified, language_id
 from skysurvey.llm.ngram_join import keep_one_of_each, ngram_join
 from skysurvey.llm.packing import Schedule, pack_documents, spread, tree_paths
-from skysurvey.llm.suffix_dedup import suffix_dedup
+from skysurvey.llm.suffix_dedup import suffix_dedup, without_repeats
 from skysurvey.llm.token_count import token_counts
 from tests.compare import SF
 
@@ -168,9 +168,9 @@ def test_broken_pages(spark):
 
 @pytest.mark.parametrize(("markup", "want"), [
     ('<svg-icon name="a"></svg-icon>', ["one", "two"]), ("<select-menu></select-menu>", ["one", "two"]), ('<svg width="1"/>', ["one", "two"]), ("<math/>", ["one", "two"]),
-    ("<svg><path d='M0'>", ["one", "two"]), ("<svg><text>no</text></svg>", ["one", "two"]), ("<select><option>no</select>", ["one", "two"]), ("<template><p>no</template>", ["one", "two"]),
+    ("<svg><path d='M0'>", ["one", "two"]), ("<svg><text>a</text><text>label</text></svg>", ["one", "a", "label", "two"]), ("<select><option>no</select>", ["one", "two"]), ("<template><p>no</template>", ["one", "two"]),
     ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> and <object data='a'>a chart</object></p>", ["one", "so x=2 and a chart", "two"]),
-    ("<p>an <svg/>icon <svg><title>no</title></svg>here</p>", ["one", "an icon here", "two"]), ("<script>no<p>no</p>", ["one"]), ("<style-guide>yes</style-guide>", ["one", "yes", "two"]),
+    ("<p>an <svg/>icon <svg><title>no</title><g><path/></g></svg>here</p>", ["one", "an icon here", "two"]), ("<script>no<p>no</p>", ["one"]), ("<style-guide>yes</style-guide>", ["one", "yes", "two"]),
 ])
 def test_markup_does_not_end_the_page(markup, want):
     assert [b.text for b in H.blocks(f"<p>one</p>{markup}<p>two</p>")] == want
@@ -199,6 +199,31 @@ def test_license_alignment(spark):
     assert 0.95 < rows[0].coverage < 1 and rows[0].span_start == 60 and rows[1].coverage == 1
 
 
+@pytest.mark.parametrize(("text", "want"), [("Released under the MIT License. " * 3, 3), ("Licensed under CC BY-NC 4.0." * 2, 2), ("Licensed under CC BY-NC 4.0. Released under the MIT License. " * 4, 8)])
+def test_adjacent_notices(spark, text, want):
+    rows = L.license_scan(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("span_start").collect()
+    assert len(rows) == want and all(r.coverage == 1 for r in rows) and all(a.span_end <= b.span_start for a, b in zip(rows, rows[1:]))
+
+
+def test_scan_equals_a_search_of_every_place():
+    rng = random.Random(6)
+    templates = {"a": "one two three four five six", "b": "seven eight nine ten eleven twelve one two", "c": " ".join(f"t{i}" for i in range(40))}
+    scanner = L.Scanner(templates, 0.8)
+    for _ in range(300):
+        words, want = [], []
+        for _ in range(rng.randint(0, 8)):
+            if rng.random() < 0.6:
+                name = rng.choice("abc")
+                want.append((name, len(words), len(words) + len(templates[name].split())))
+                words += templates[name].split()
+            else:
+                words += [f"x{rng.randint(0, 50)}" for _ in range(rng.randint(1, 5))]
+        plain = [(n, i, i + len(t.split())) for n, t in templates.items() for i in range(len(words)) if words[i : i + len(t.split())] == t.split()]
+        found = scanner.scan_all([" ".join(words).encode()])[0]
+        starts = {len(" ".join(words[:i])) + (i > 0): i for i in range(len(words) + 1)}
+        assert sorted((n, starts[a]) for n, c, a, b, m in found if c == 1) == sorted((n, a) for n, a, _ in plain) == sorted((n, a) for n, a, _ in want)
+
+
 # ---- 4: Jaccard join -------------------------------------------------------
 
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -215,6 +240,7 @@ def shingles(text):
 def jaccard_components(rows):
     sets = [(d, shingles(t)) for d, t in rows]
     parent = {d: d for d, _ in sets}
+    links = collections.Counter()
 
     def root(x):
         while parent[x] != x:
@@ -225,11 +251,12 @@ def jaccard_components(rows):
     for i, (d, s) in enumerate(sets):
         for j, k in collections.Counter(j for g in s for j in owners[g]).items():
             if 100 * k >= 75 * (len(s) + len(sets[j][1]) - k):
+                links.update((d, sets[j][0]))
                 a, b = root(d), root(sets[j][0])
                 parent[max(a, b)] = min(a, b)
         for g in s:
             owners[g].append(i)
-    return sorted((d, len(s), root(d)) for d, s in sets)
+    return sorted((d, len(s), root(d), links[d]) for d, s in sets)
 
 
 def near_copies(seed, groups=30):
@@ -248,6 +275,23 @@ def near_copies(seed, groups=30):
     return rows
 
 
+@pytest.mark.parametrize("block", [512, 3])
+def test_numbers_of_links_over_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(ngram_module, "BLOCK_ROWS", block)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[: rng.randint(40, 60)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, ngram_join(df).collect())) == jaccard_components(rows)
+
+
+def test_large_rows_with_all_columns(spark):
+    rows = near_copies(4, 12)
+    df = spark.createDataFrame(rows, "doc long, text string").select("doc", F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    one, two = (sorted(map(tuple, ngram_module.similar_classes(df, half=half).collect())) for half in (True, False))
+    assert one == two == jaccard_components(rows)
+
+
 @pytest.mark.parametrize("hot", [1000, 2])
 def test_jaccard_join(spark, hot):
     rows = near_copies(3)
@@ -259,7 +303,7 @@ def test_jaccard_join_on_documents(documents):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     want = jaccard_components(rows)
     assert sorted(map(tuple, ngram_join(documents).collect())) == want
-    assert sorted(r.doc_id for r in keep_one_of_each(documents).collect()) == sorted({c for _, _, c in want})
+    assert sorted(r.doc_id for r in keep_one_of_each(documents).collect()) == sorted({c for _, _, c, _ in want})
 
 
 def test_components(spark):
@@ -308,6 +352,46 @@ def test_texts_without_spaces_have_anchors(spark, alphabet):
     assert anchors(df).groupBy("doc_id").count().filter("count > 100").count() == 6
 
 
+def plain_fingerprint(spark, text):
+    """Anchors by plain loops over the words' hashes, which come from Spark."""
+    words = [w for w in re.split(r"[ \t\n\x0b\f\r]+", text.lower()) if w]
+    frame = spark.createDataFrame([(i, w) for i, w in enumerate(words)], "i int, w string").select("i", F.xxhash64("w").alias("h"))
+    hashes = [r.h for r in frame.orderBy("i").collect()]
+    pairs = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(zip(hashes, hashes[1:]))], "i int, a long, b long").select("i", F.xxhash64("a", "b").alias("h"))
+    inner = [r.h for r in pairs.orderBy("i").collect()]
+    edges = spark.createDataFrame([(i, inner[i], inner[i + 2]) for i in range(len(inner) - 2) if min(inner[i : i + 3]) != inner[i + 1] or inner[i + 1] in (inner[i], inner[i + 2])], "i int, a long, c long")
+    found = {}
+    for r in edges.select("i", F.xxhash64("a", "c").alias("h")).orderBy("i").collect():
+        found.setdefault(r.h, r.i)
+    return dict(sorted(found.items())[:64])
+
+
+def plain_likeness(one, two):
+    union = sorted(set(one) | set(two))[:64]
+    common = sorted((one[h], two[h]) for h in union if h in one and h in two)
+    steps = [b[1] >= a[1] for a, b in zip(common, common[1:])]
+    return len(common) / len(union) * (sum(steps) / len(steps) if steps else 1.0)
+
+
+def test_fingerprints_equal_plain_ones(spark):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(120)]
+    texts = {i: " ".join(rng.choices(words, k=rng.randint(8, 300))) for i in range(8)}
+    texts[8] = " ".join(reversed([texts[7][i : i + 40] for i in range(0, len(texts[7]), 40)]))
+    plain = {k: plain_fingerprint(spark, t) for k, t in texts.items()}
+    rows = {r.doc_id: r for r in fingerprints(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    for k, r in rows.items():
+        shown = "".join(f"{h % 2**64:016x}{p:08x}" for h, p in plain[k].items())
+        assert r.fingerprint == shown and abs(r.near_next - plain_likeness(plain[k], plain[(k - 1) % 9])) < 1e-12
+    assert rows[8].near_next < 0.75  # the same passages in another order
+
+
+def test_fingerprints_without_a_sketch_hold_all_anchors(spark):
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(400)))], "doc_id long, text string")
+    row, places = fingerprints(df, sketch=None).first(), anchors(df)
+    assert len(row.fingerprint) == 24 * places.select("anchor").distinct().count() > 24 * 64 and row.near_next == 1.0
+
+
 def test_fingerprint_edge_cases(spark, odd):
     assert fingerprints(odd).count() == len(ODD)
     one = fingerprints(spark.createDataFrame([(5, "a b c d e f")], "doc_id int, text string")).first()
@@ -481,11 +565,14 @@ def repetitive(seed):
     return [*rows, (500, None), (501, "x y " * 18000), (502, "ab" * 40000 + bases[0] * 30)]
 
 
-@pytest.mark.parametrize("hot", [20_000, 2])
-def test_repeated_strings(spark, hot):
+@pytest.mark.parametrize("size", [None, 300])
+def test_repeated_strings(spark, monkeypatch, size):
+    if size:  # groups that run over several tasks of a sort
+        monkeypatch.setattr(suffix_module, "SORT_BYTES", 20 * size)
+        monkeypatch.setattr(suffix_module, "SORT_WINDOWS", size)
     rows = repetitive(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, suffix_dedup(df, hot=hot).collect())) == removed(rows)
+    assert sorted(map(tuple, suffix_dedup(df).collect())) == removed(rows)
 
 
 def test_repeated_strings_of_documents(documents):
@@ -561,3 +648,60 @@ def test_language_edge_cases(spark, documents):
     assert not kept & {9001, 9002, 9003} and kept >= {r.doc_id for r in documents.collect()}
     unlabelled = documents.withColumn("lang", F.lit(None).cast("string"))
     assert {r.lang_pred for r in language_id(unlabelled).collect()} == {"und"}
+
+
+def test_scores_equal_a_plain_scorer(spark):
+    """Naive Bayes over hashed n-grams, added up one by one."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choices(["der", "hund", "katze", "und"] if i % 2 else ["the", "dog", "cat", "and"], k=30)), "de" if i % 2 else "en") for i in range(40)]
+    rows += [(100, "the hund and dog", None), (101, "der cat", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = fit_language(df)
+    for r in language_id(df).collect():
+        text = dict((d, t) for d, t, _ in rows)[r.doc_id].lower()
+        total = np.array(model.priors, float)
+        for grams in hashed_grams(text):
+            for g in grams.tolist():
+                total += model.table[g]
+        margin = (total - total.max()) / LONGEST
+        assert r.lang_pred == model.languages[int(total.argmax())] and abs(r.score - 1 / np.exp(margin).sum()) < 1e-6
+
+
+# ---- whatever the columns are called ---------------------------------------
+
+
+CLASHES = ["_doc", "_hash", "_null", "_key", "_score", "_lang_pred", "lang_pred", "c0", "c1", "doc", "text_", "n_bytes", "kept", "Lang"]
+
+
+def test_columns_of_any_name_survive(spark):
+    rng = random.Random(2)
+    words = ["the", "and", "that", "with", "from", "there", "house", "water", "under", "never"]
+    rows = [(i, " ".join(rng.choices(words, k=60)), "en", "s", 0, *(f"{c}{i}" for c in CLASHES[:-1])) for i in range(6)] + [(6, None, "en", "s", 0, *(f"{c}6" for c in CLASHES[:-1]))]
+    names = ["doc_id", "text", "lang", "source", "n_chars", *CLASHES[:-1]]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    for both in (df, df.unionByName(df.filter("doc_id = 3"))):
+        for stage in (keep_identified, keep_one_of_each, without_repeats):
+            out = stage(both)
+            assert out.columns == names
+            for r in out.collect():
+                assert all(r[c] == f"{c}{r.doc_id}" for c in CLASHES[:-1])
+        for op in OPERATORS.values():
+            op(both).collect()
+
+
+LONG = 20_000_000
+
+
+@pytest.mark.parametrize("name", [n for n in OPERATORS if n != "license_scan"])
+def test_very_long_texts(spark, name):
+    """One text of 20 MB among short ones is read whole."""
+    rng = random.Random(11)
+    piece = " ".join("".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 8))) for _ in range(20_000))
+    text = (piece + " ") * (LONG // len(piece))
+    df = spark.createDataFrame([(1, text, "en", "a"), (2, piece, "en", "a"), (3, "short one", "en", "a")], "doc_id long, text string, lang string, source string")
+    rows = {r.doc_id: r for r in OPERATORS[name](df).collect()}
+    assert set(rows) == {1, 2, 3}
+    if name == "suffix_dedup":
+        assert rows[1].n_bytes == len(text) and rows[1].n_bytes - rows[1].n_removed < 2 * len(piece) + 200 and rows[2].n_removed == rows[2].n_bytes
+    if name == "ngram_join":
+        assert (rows[1].component_id, rows[2].component_id, rows[1].n_links, rows[3].n_links) == (1, 1, 1, 0)
