@@ -6,7 +6,7 @@ documents.
 
 * language_id drops documents whose language is undetermined or uncertain.
 * ngram_join keeps, of each group of linked documents, the one with the smallest id.
-* suffix_dedup removes byte strings of 100 bytes that also start earlier, updates
+* suffix_array_dedup removes byte strings of 100 bytes that also start earlier, updates
   n_chars, and drops documents of which nothing is left.
 * packing returns the pieces of documents in full sequences.
 
@@ -16,13 +16,13 @@ stage; an empty table stays empty through all stages.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from skysurvey.llm.common import table, written
+from skysurvey.llm.common import discard, table, written
 from skysurvey.llm.langid import keep_identified
 from skysurvey.llm.ngram_join import keep_one_of_each
 from skysurvey.llm.packing import pack_documents
-from skysurvey.llm.suffix_dedup import suffix_dedup
+from skysurvey.llm.suffix_dedup import without_repeats
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +34,7 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    left = suffix_dedup(docs, full=True).filter("n_bytes > n_removed")
-    found = {"text": F.col("kept"), "n_chars": F.length("kept").cast("bigint")}
-    return left.select(*[found.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return without_repeats(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,6 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents table."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if k:
+            discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
