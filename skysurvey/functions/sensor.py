@@ -109,6 +109,7 @@ def solar_position(epoch_s: Column, lon: Column, lat: Column) -> Column:
     return F.struct(altitude.alias("altitude"), F.pmod(azimuth, F.lit(2 * math.pi)).alias("azimuth"))
 
 
+# Parameters and coefficients of the thermal model.
 #: Defaults of the thermal model.
 THERMAL = {"emissivity": 1.0, "distance": 1.0, "reflected": 20.0, "air": 20.0, "window": 20.0, "transmission": 1.0, "humidity": 50.0, "r1": 21106.77, "b": 1501.0, "f": 1.0, "o": -7340.0, "r2": 0.012545258}
 #: The fixed set of one vendor's payload.

@@ -20,6 +20,7 @@ from skysurvey.session import ship
 
 # ---- photo sets --------------------------------------------------------------
 
+# Column names and defaults of the photos table, and options of raster files.
 #: Columns of the photos table; nullable but for the defaults of band, orientation, projection and focal ratio.
 PHOTO_SCHEMA = (
     "filename string, mask string, width int, height int, camera_make string, camera_model string, orientation int, latitude double, longitude double, altitude double, band_name string, band_index string, "
@@ -123,7 +124,7 @@ def raster_tags(photos: DataFrame, software: str) -> DataFrame:
     return photos.agg(F.date_format(F.timestamp_millis(F.avg("utc_time").cast("long")), "yyyy:MM:dd HH:mm:ss").alias("datetime"), F.lit(software).alias("software"))
 
 
-#: Options of raster files.
+#: Options of raster files (fixed values).
 RASTER_OPTIONS = {"orthophoto": {"TILED": "YES", "COMPRESS": "DEFLATE", "PREDICTOR": "2", "BIGTIFF": "IF_SAFER", "BLOCKXSIZE": "512", "BLOCKYSIZE": "512"}, "dem": {"TILED": "YES", "COMPRESS": "DEFLATE", "PREDICTOR": "3", "BIGTIFF": "IF_SAFER"}}
 
 

@@ -106,9 +106,13 @@ def dem_box_mean(spark, sf_dir):
     return R.box_mean(_dsm(spark, sf_dir).select("row", "col", "value"), 3).withColumn("value", F.round("value", 6))
 
 
-@query()
+@query(f"""
+    WITH d AS (SELECT row, col, value AS p, CAST(n AS DOUBLE) AS i FROM ({_DSM}) AS s), m AS (SELECT d.row, d.col, avg(e.p) AS p, avg(e.i) AS i, avg(e.i * e.p) AS ip, avg(e.i * e.i) AS ii FROM d JOIN d e ON e.row BETWEEN d.row - 2 AND d.row + 2 AND e.col BETWEEN d.col - 2 AND d.col + 2 GROUP BY d.row, d.col),
+    l AS (SELECT row, col, (ip - i * p) / (ii - i * i + 0.1) AS a, p - (ip - i * p) / (ii - i * i + 0.1) * i AS b FROM m), k AS (SELECT l.row, l.col, avg(e.a) AS a, avg(e.b) AS b FROM l JOIN l e ON e.row BETWEEN l.row - 2 AND l.row + 2 AND e.col BETWEEN l.col - 2 AND l.col + 2 GROUP BY l.row, l.col)
+    SELECT row, col, round(a * i + b, 6) AS value FROM k JOIN d USING (row, col)
+""")
 def dem_guided_filter(spark, sf_dir):
-    """W6; tested against numpy."""
+    """W6."""
     d = _dsm(spark, sf_dir)
     return R.guided_filter(d.select("row", "col", "value"), d.select("row", "col", c("n").cast("double").alias("value")), 2, 0.1).withColumn("value", F.round("value", 6))
 
@@ -299,7 +303,7 @@ def ground_planes(spark, sf_dir):
     SELECT class, count(*) AS n FROM (SELECT class FROM r UNION ALL SELECT class FROM points WHERE class <> 2) AS t GROUP BY class
 """)
 def rectified_ground(spark, sf_dir):
-    """Ground points far above their plane become unclassified."""
+    """Ground points far above their plane become unclassified."""
     p = domain(spark, sf_dir, "points").withColumn("part", F.floor(c("x") / 25))
     return O.reclassify(p, "part", 5.0).groupBy("class").agg(F.count("*").alias("n"))
 
@@ -312,13 +316,13 @@ def rectified_ground(spark, sf_dir):
     SELECT node, count(*) AS n FROM points p JOIN q ON (p.x > x0 OR x0 = 0) AND (p.x <= x1 OR x1 = 200) AND (p.y > y0 OR y0 = 0) AND (p.y <= y1 OR y1 = 100) WHERE NOT EXISTS (SELECT 1 FROM q r WHERE length(r.node) = length(q.node) + 1 AND starts_with(r.node, q.node)) GROUP BY node
 """)
 def quad_partitions(spark, sf_dir):
-    """R2, R4."""
+    """R1, R2, R4."""
     return O.quad_split(domain(spark, sf_dir, "points"), (0, 0, 200, 100), 100, 50.0).groupBy("node").agg(F.count("*").alias("n"))
 
 
 @query()
 def median_partitions(spark, sf_dir):
-    """R3; tested against a recursive version."""
+    """R1, R3; tested against a recursive version."""
     return O.quad_split(domain(spark, sf_dir, "points"), (0, 0, 200, 100), 500, 50.0, median=True).groupBy("node").agg(F.count("*").alias("n"))
 
 
@@ -337,6 +341,20 @@ def grid_clusters(spark, sf_dir):
     return O.cell_clusters(free, 4.0).select("x", "y", "component")
 
 
+@query()
+def consensus_planes(spark, sf_dir):
+    """Planes by partition that most ground points lie near; tested against numpy."""
+    p = domain(spark, sf_dir, "points").filter("class = 2").withColumn("part", F.floor(c("x") / 25))
+    return O.consensus_planes(p, "part", ["ord", "line", "x", "y", "z"]).select("part", "n", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round("c", 5).alias("c"))
+
+
+@query()
+def surrounding_parts(spark, sf_dir):
+    """Points around uncovered places; tested against a plain version."""
+    p = O.partition_plan(domain(spark, sf_dir, "gaps").select("ord", "line", "x", "y", "z"), "surrounding", (0, 0, 200, 100), 500, 750.0, 5.0)
+    return p.groupBy("part").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("x"))
+
+
 @query()
 def extended_ground(spark, sf_dir):
     """Ground synthesised on uncovered grid places, with plane height and mean colour."""
@@ -349,7 +367,19 @@ def extended_ground(spark, sf_dir):
     return S.union_clouds(p.select("x", "y", "z", "class", "red", "green", "blue", "views"), new, {"views": 0})
 
 
-@query()
+@query("""
+    WITH s AS (SELECT CAST(floor(y / 8) AS BIGINT) AS row, CAST(floor(x / 8) AS BIGINT) AS col, min(z) AS value FROM points GROUP BY 1, 2), f0 AS (SELECT * FROM s),
+    e1 AS (SELECT s.row, s.col, min(n.value) AS value FROM s JOIN f0 n ON n.row BETWEEN s.row - 1 AND s.row + 1 AND n.col BETWEEN s.col - 1 AND s.col + 1 GROUP BY s.row, s.col),
+    o1 AS (SELECT s.row, s.col, max(n.value) AS o FROM s JOIN e1 n ON n.row BETWEEN s.row - 1 AND s.row + 1 AND n.col BETWEEN s.col - 1 AND s.col + 1 GROUP BY s.row, s.col),
+    f1 AS (SELECT row, col, CASE WHEN value - o > 0.15 * 1 * 8 THEN o ELSE value END AS value FROM f0 JOIN o1 USING (row, col)),
+    e2 AS (SELECT s.row, s.col, min(n.value) AS value FROM s JOIN f1 n ON n.row BETWEEN s.row - 2 AND s.row + 2 AND n.col BETWEEN s.col - 2 AND s.col + 2 GROUP BY s.row, s.col),
+    o2 AS (SELECT s.row, s.col, max(n.value) AS o FROM s JOIN e2 n ON n.row BETWEEN s.row - 2 AND s.row + 2 AND n.col BETWEEN s.col - 2 AND s.col + 2 GROUP BY s.row, s.col),
+    f2 AS (SELECT row, col, CASE WHEN value - o > 0.15 * 2 * 8 THEN o ELSE value END AS value FROM f1 JOIN o2 USING (row, col)),
+    e3 AS (SELECT s.row, s.col, min(n.value) AS value FROM s JOIN f2 n ON n.row BETWEEN s.row - 3 AND s.row + 3 AND n.col BETWEEN s.col - 3 AND s.col + 3 GROUP BY s.row, s.col),
+    o3 AS (SELECT s.row, s.col, max(n.value) AS o FROM s JOIN e3 n ON n.row BETWEEN s.row - 3 AND s.row + 3 AND n.col BETWEEN s.col - 3 AND s.col + 3 GROUP BY s.row, s.col),
+    f3 AS (SELECT row, col, CASE WHEN value - o > 0.15 * 3 * 8 THEN o ELSE value END AS value FROM f2 JOIN o3 USING (row, col))
+    SELECT class, z - value <= 0.5 + 1.25 * 0.15 * 8 AS ground, count(*) AS n FROM points JOIN f3 ON row = floor(y / 8) AND col = floor(x / 8) GROUP BY 1, 2
+""")
 def ground_classes(spark, sf_dir):
     """Morphological ground classification."""
     return O.ground_points(domain(spark, sf_dir, "points"), 8.0, 3, 0.15, 0.5, 1.25).groupBy("class", "ground").agg(F.count("*").alias("n"))

@@ -163,9 +163,21 @@ def ecef_positions(spark, sf_dir):
     return domain(spark, sf_dir, "photos").withColumn("e", at).select("ord", *(F.round(f"e.{k}", 3).alias(k) for k in "xyz"))
 
 
+@query("""
+    WITH p AS (SELECT ord, radians(yaw) / 7 AS rx, radians(pitch) AS ry, radians(roll) AS rz, longitude AS tx, latitude AS ty, coalesce(altitude, 0) AS tz FROM photos), a AS (SELECT *, sqrt(rx * rx + ry * ry + rz * rz) AS w FROM p),
+    n AS (SELECT *, CASE WHEN w > 0 THEN rx / w ELSE rx END AS x, CASE WHEN w > 0 THEN ry / w ELSE ry END AS y, CASE WHEN w > 0 THEN rz / w ELSE rz END AS z, cos(w) AS c, sin(w) AS s, 1 - cos(w) AS t FROM a)
+    SELECT ord, round(0 - ((c + x * x * t) * tx + (y * x * t + z * s) * ty + (z * x * t - y * s) * tz), 6) AS x, round(0 - ((x * y * t - z * s) * tx + (c + y * y * t) * ty + (z * y * t + x * s) * tz), 6) AS y,
+           round(0 - ((x * z * t + y * s) * tx + (y * z * t - x * s) * ty + (c + z * z * t) * tz), 6) AS z FROM n
+""")
+def pose_origins(spark, sf_dir):
+    """The camera's origin under a rotation vector."""
+    origin = G.pose_origin(F.radians("yaw") / 7, F.radians("pitch"), F.radians("roll"), c("longitude"), c("latitude"), F.coalesce("altitude", F.lit(0.0)))
+    return domain(spark, sf_dir, "photos").withColumn("p", origin).select("ord", *(F.round(f"p.{k}", 6).alias(k) for k in "xyz"))
+
+
 @query()
 def photo_angles(spark, sf_dir):
-    """Omega, phi, kappa and the camera's origin under a rotation vector; tested against numpy."""
+    """Omega, phi, kappa, with the camera's origin; tested against numpy."""
     p = domain(spark, sf_dir, "photos")
     opk = G.omega_phi_kappa(c("longitude"), c("latitude"), F.coalesce("altitude", F.lit(0.0)), c("yaw"), c("pitch"), c("roll"))
     origin = G.pose_origin(F.radians("yaw") / 7, F.radians("pitch"), F.radians("roll"), c("longitude"), c("latitude"), F.coalesce("altitude", F.lit(0.0)))
@@ -269,9 +281,22 @@ def colour_and_refraction(spark, sf_dir):
     return p.select("id", F.round(F.asin(F.sin(angle) / 1.000277), 9).alias("refracted"), lead.alias("lead"), hsv["v"].alias("v"), hsv["s"].alias("s"))
 
 
-@query()
+@query("""
+    WITH p AS (SELECT ord, radians(yaw) AS yaw, radians(pitch) AS pitch, radians(roll) AS roll, longitude AS lon, latitude AS lat, epoch_ms(taken) // 1000 / 86400.0::DOUBLE + 2440587.5::DOUBLE - 2451545.0::DOUBLE AS d FROM photos),
+    q AS (SELECT *, radians(((357.529::DOUBLE + 0.98560028::DOUBLE * d) % 360 + 360) % 360) AS g, ((280.459::DOUBLE + 0.98564736::DOUBLE * d) % 360 + 360) % 360 AS q FROM p),
+    r AS (SELECT *, radians(q + 1.915::DOUBLE * sin(g) + 0.020::DOUBLE * sin(2 * g)) AS l, radians(23.439::DOUBLE - 0.00000036::DOUBLE * d) AS tilt, radians(((280.46061837::DOUBLE + 360.98564736629::DOUBLE * d + lon) % 360 + 360) % 360) AS sid FROM q),
+    s AS (SELECT *, asin(sin(tilt) * sin(l)) AS dec, sid - atan2(cos(tilt) * sin(l), cos(l)) AS h, radians(lat) AS phi FROM r),
+    u AS (SELECT *, asin(sin(phi) * sin(dec) + cos(phi) * cos(dec) * cos(h)) AS alt, (atan2(-sin(h), tan(dec) * cos(phi) - sin(phi) * cos(h)) + 2 * pi()) % (2 * pi()) AS az FROM s),
+    n AS (SELECT *, acos(greatest(-1.0::DOUBLE, least(1.0::DOUBLE, -(cos(yaw) * sin(pitch) * cos(roll) + sin(yaw) * sin(roll)) * cos(az) * cos(alt) - (sin(yaw) * sin(pitch) * cos(roll) - cos(yaw) * sin(roll)) * sin(az) * cos(alt) + cos(pitch) * cos(roll) * sin(alt)))) AS angle FROM u),
+    a AS (SELECT *, asin(sin(angle) / 1.000277::DOUBLE) AS a1, asin(sin(asin(sin(angle) / 1.000277::DOUBLE)) / 1.6::DOUBLE) AS a2 FROM n),
+    w AS (SELECT *, sqrt(1 - pow(1.000277::DOUBLE / 1.6 * sin(a1), 2)) AS r1, sqrt(1 - pow(1.6::DOUBLE / 1.38 * sin(a2), 2)) AS r2 FROM a),
+    f AS (SELECT *, 1 - (pow((1.000277::DOUBLE * cos(a1) - 1.6 * r1) / (1.000277::DOUBLE * cos(a1) + 1.6 * r1), 2) + pow((1.000277::DOUBLE * r1 - 1.6 * cos(a1)) / (1.000277::DOUBLE * r1 + 1.6 * cos(a1)), 2)) / 2 AS t1,
+          1 - (pow((1.6::DOUBLE * cos(a2) - 1.38 * r2) / (1.6::DOUBLE * cos(a2) + 1.38 * r2), 2) + pow((1.6::DOUBLE * r2 - 1.38 * cos(a2)) / (1.6::DOUBLE * r2 + 1.38 * cos(a2)), 2)) / 2 AS t2 FROM w),
+    e AS (SELECT *, 0.8::DOUBLE / (t1 * t2) / (1 / 6.0::DOUBLE + cos(angle)) AS direct FROM f)
+    SELECT ord, round(degrees(alt), 6) AS altitude, round(degrees(az), 6) AS azimuth, round(angle, 6) AS angle, round(direct * sin(alt) + direct / 6, 6) AS irradiance FROM e
+""")
 def sun_and_shade(spark, sf_dir):
-    """The sun's place, the light sensor's angle and the irradiance; tested against numpy."""
+    """The sun's place, the light sensor's angle and the irradiance."""
     p = domain(spark, sf_dir, "photos")
     sun = X.solar_position(F.unix_seconds(c("taken").cast("timestamp")).cast("double"), c("longitude"), c("latitude"))
     p = p.withColumn("sun", sun).withColumn("normal", X.sensor_normal(F.radians("yaw"), F.radians("pitch"), F.radians("roll")))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skysurvey.functions import geodesy as G, photo as P, sensor as X
-from skysurvey.operators import points as O, raster as R
+from skysurvey.operators import points as O, raster as R, sets as S
 from skysurvey.plans import lineage
 from skysurvey.plans.adapters import domain
 from skysurvey.plans.raster_queries import QUERIES as RASTER
@@ -220,3 +220,102 @@ def test_lineage(spark, tmp_path):
 
     assert run.execute({"numbers": spark.range(4)})["total"].first().s == 12
     assert run.execute({"numbers": spark.range(9)}, first="total")["total"].first().s == 12
+
+
+def test_vignette_has_its_constant_term(spark):
+    rows = spark.range(20).select((F.col("id") % 5).cast("double").alias("x"), (F.col("id") * 1.5).alias("y"))
+    got = rows.select("x", "y", X.vignette(F.col("x"), F.col("y"), F.array(lit(2.0), lit(1.0)), F.array(lit(0.002), lit(0.1)), lit("DJI")).alias("v"), X.vignette(F.col("x"), F.col("y"), F.array(lit(2.0), lit(1.0)), F.array(lit(0.002), lit(0.1)), lit("MicaSense")).alias("w"))
+    for r in got.collect():
+        want = np.polyval([0.002, 0.1, 1.0], np.hypot(r.x - 2, r.y - 1))
+        assert abs(r.v - want) < 1e-12 and abs(r.w - 1 / want) < 1e-12
+    assert one(spark, v=X.vignette(lit(7.0), lit(1.0), F.array(lit(2.0), lit(1.0)), F.array(lit(0.1)), lit("dji"))).v == 1.5
+
+
+def test_nearest_of_few_points(spark):
+    queries = spark.createDataFrame([(1, 0.0, 0.0), (2, 5000.0, -3000.0), (3, None, 1.0)], "id int, x double, y double")
+    points = spark.createDataFrame([(10, 1.0, 1.0)], "p int, x double, y double")
+    assert sorted((r.id, r.p, r["rank"]) for r in S.nearest(queries, points, "id", 2, 4.0).collect()) == [(1, 10, 1), (2, 10, 1)]
+    assert S.nearest(queries, points.limit(0), "id", 2, 4.0).count() == 0
+    rng = np.random.default_rng(7)
+    xy = np.concatenate([rng.random((60, 2)) * 10, rng.random((5, 2)) * 4000])
+    points = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "p int, x double, y double")
+    got = {(r.id, r.p) for r in S.nearest(queries, points, "id", 7, 0.5).collect()}
+    want = {(k, int(p)) for k, q in ((1, (0, 0)), (2, (5000, -3000))) for p in np.argsort(np.hypot(*(xy - q).T))[:7]}
+    assert got == want
+
+
+def test_quads_of_many_levels(spark):
+    rng = np.random.default_rng(9)
+    xy = np.concatenate([rng.random((4000, 2)) * 0.01, rng.random((500, 2)) * 1000])
+
+    def split(p, box, level=0):
+        x0, y0, x1, y1 = box
+        mx, my = (x0 + x1) / 2, (y0 + y1) / 2
+        parts = [p[((p[:, 0] > mx) == (i % 2 == 1)) & ((p[:, 1] > my) == (i > 1))] for i in range(4)]
+        if (x1 - x0) * (y1 - y0) / 4 < 1e-6 or min(map(len, parts)) < 1:
+            return [len(p)]
+        boxes = [(x0, y0, mx, my), (mx, y0, x1, my), (x0, my, mx, y1), (mx, my, x1, y1)]
+        return [n for q, b in zip(parts, boxes) for n in split(q, b, level + 1)]
+
+    points = spark.createDataFrame([(float(x), float(y)) for x, y in xy], "x double, y double")
+    got = O.quad_split(points, (0, 0, 1000, 1000), 1, 1e-6).groupBy("node").count().collect()
+    assert sorted(r["count"] for r in got) == sorted(split(xy, (0.0, 0.0, 1000.0, 1000.0))) and sum(r["count"] for r in got) == 4500
+
+
+def test_edge_distance(spark):
+    rng = np.random.default_rng(2)
+    there = rng.random((14, 40)) < 0.93
+    there[3:11, 5:30] = True
+    missing = np.array([(i, j) for i in range(-1, 15) for j in range(-1, 41) if not (0 <= i < 14 and 0 <= j < 40 and there[i, j])])
+    cells = spark.createDataFrame([(int(i), int(j)) for i, j in np.argwhere(there)], "row long, col long")
+    for r in R.edge_distance(cells).collect():
+        assert abs(r.dist - np.sqrt(((missing - (r.row, r.col)) ** 2).sum(axis=1).min())) < 1e-9
+
+
+def test_consensus_planes(spark):
+    rng = np.random.default_rng(1)
+    xy = rng.random((400, 2)) * 50
+    z = 0.2 * xy[:, 0] - 0.1 * xy[:, 1] + 3 + rng.normal(size=400) * 0.01
+    z[:90] += 40  # roofs and trees, which a plane by least squares follows
+    rows = [(i, 1, float(x), float(y), float(v)) for i, ((x, y), v) in enumerate(zip(xy, z))] + [(1000, 2, 1.0, 1.0, 5.0), (1001, 3, 1.0, 1.0, 5.0), (1002, 3, 1.0, 1.0, 7.0), (1003, 3, 1.0, 1.0, 6.0)]
+    points = spark.createDataFrame(rows, "i long, part int, x double, y double, z double")
+    found = {r.part: r for r in O.consensus_planes(points, "part", ["i"]).collect()}
+    assert abs(found[1].a - 0.2) < 0.01 and abs(found[1].b + 0.1) < 0.01 and abs(found[1].c - 3) < 0.2 and found[1].n <= 310
+    assert (found[2].a, found[2].c) == (0.0, 5.0) and (found[3].a, found[3].n) == (0.0, 3)
+    plain = {r.part: r for r in O.plane_fit(points, "part").collect()}
+    assert plain[1].c > 5
+    high = O.reclassify(points.filter("part = 1").withColumn("class", lit(2)), "part", 20.0, order=["i"]).filter("class = 1")
+    assert {r.i for r in high.collect()} == set(range(90))
+
+
+def test_surrounding_partitions(spark):
+    pts = [(i, float(i % 41) * 5, float(i // 41) * 5) for i in range(41 * 21)]
+    hole, edge = (lambda x, y: 80 <= x <= 100 and 40 <= y <= 60), (lambda x, y: x >= 185 and y <= 20)
+    rows = [p for p in pts if not hole(*p[1:]) and not edge(*p[1:])]
+    points = spark.createDataFrame(rows, "i long, x double, y double")
+    found = O.partition_plan(points, "surrounding", (0, 0, 200, 100), 30, 750.0, 5.0)
+    parts = {}
+    for r in found.collect():
+        parts.setdefault(r.part, set()).add(r.i)
+    assert set().union(*parts.values()) == {p[0] for p in rows} and len(parts) == 3
+    free = {q for q in [(x * 5.0, y * 5.0) for x in range(41) for y in range(21)] if min(abs(q[0] - x) + abs(q[1] - y) for _, x, y in rows) > 5 - 1e-5}
+    inner = {q for q in free if hole(*q)}
+    near = {i for i, x, y in rows if min(abs(q[0] - x) + abs(q[1] - y) for q in inner) <= 15}
+    assert near in parts.values()
+    outer = sorted(q for q in free if edge(*q))
+    x0, y0, x1, y1 = outer[0][0] - 5, min(q[1] for q in outer) - 5, outer[-1][0] + 5, max(q[1] for q in outer) + 5
+    while (x1 - x0) * (y1 - y0) < 750 or sum(x0 <= x <= x1 and y0 <= y <= y1 for _, x, y in rows) < 30:
+        x0, y1 = x0 - 5, y1 + 5
+    assert {i for i, x, y in rows if x0 <= x <= x1 and y0 <= y <= y1} in parts.values()
+    assert O.grown_box((0, 0, 1, 1), (9, 9), 1, lambda b: False, (0, 0, 5, 5)) == (0, 0, 5, 5)
+    with pytest.raises(ValueError):
+        O.partition_plan(points, "other", (0, 0, 1, 1), 1, 1.0)
+
+
+@pytest.mark.parametrize("bands,left", [(["RGB", "Red", "Green", "Blue"], {"Red", "Green", "Blue"}), (["RGB", "Red", "Green", "NIR"], {"RGB", "NIR"}), (["RedGreenBlue", "Red", "NIR"], {"RedGreenBlue", "NIR"}), (["Red", "NIR"], {"Red", "NIR"}), (["RGB"], {"RGB"})])
+def test_redundant_bands(spark, bands, left):
+    photos = spark.createDataFrame([(i, b, "DJI", "FC330") for i, b in enumerate(bands)], "ord int, band_name string, make string, model string")
+    assert {r.band_name for r in S.drop_redundant_bands(photos, make="make", model="model", order="ord").collect()} == left
+    if bands[:1] == ["RGB"] and "Green" in bands:
+        m3m = photos.withColumn("model", lit("M3M"))
+        assert {r.band_name for r in S.drop_redundant_bands(m3m, make="make", model="model", order="ord").collect()} == set(bands) - {"RGB"}

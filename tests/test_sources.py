@@ -130,3 +130,20 @@ def test_black_frames(spark):
     ends = light.groupBy("frame").agg(F.min("value").alias("a"), F.max("value").alias("b")).agg(F.min("a").alias("low"), F.max(F.col("b") - F.col("a")).alias("span"))
     got = {r.frame: r.black for r in V.black_ratio(light, "frame", ends.select(V.absolute_black(F.col("low"), F.col("span")).alias("black_below"))).collect()}
     assert got[0] == 1.0 and got[1] < 0.6
+
+
+SUBTITLES = [
+    ("""<font size="36">SrtCnt : 1, DiffTime : 16ms\n2023-01-06 18:56:48,380,821\n[iso : 3200] [shutter : 1/60.0] [fnum : 280] [ev : 0] [focal_len : 240] [latitude: 47.5] [longitude: -8.25] [altitude: 412.5] </font>\n</font> """, (3200, 60.0, 2.8, 240, 47.5, -8.25, 412.5)),
+    ("F/2.8, SS 206.14, ISO 150, EV 0, GPS (-82.6669, 27.7716, 10), D 2.80m, H 0.00m, H.S 0.00m/s, V.S 0.00m/s ", (150, 206.14, 2.8, None, 27.7716, -82.6669, 10.0)),
+    ("F/6.3, SS 60, ISO 100, EV 0, RTK (120.083799, 30.213635, 28), HOME (120.084146, 30.214243, 103.55m), D 75.36m, H 76.19m, H.S 0.30m/s, F.PRY (-5.3, 2.1, 28.3), G.PRY (-40.0, 0.0, 28.2)", (100, 60.0, 6.3, None, 30.213635, 120.083799, 28.0)),
+    ("[iso : 150] [shutter : 1/5000.0] [fnum : 170] [ev : 0] [focal_len : 240] [dzoom_ratio: 10000, delta:0],[latitude: -22.724555] [longitude: -47.602414] [rel_alt: 0.300 abs_alt: 549.679] </font>", (150, 5000.0, 1.7, 240, -22.724555, -47.602414, 549.679)),
+    ("[iso : 100] [shutter : 1/400.0] [fnum : 280] [focal_len : 240] [latitude : 1.5] [longtitude : 2.5] [altitude: 3.5] </font>", (100, 400.0, 2.8, 240, 1.5, 2.5, 3.5)),
+    ("No:1, F/2.8, SS 155.55, ISO 100, EV 0, A.T (126,109), Gain (1.000000,4096), B.L (-1020, -1020, -1020, -1020), Isp Info (PIPE 1,ADJ 0,De 0) GPS (-2.5927, 52.0035, 15), D 0.61m, H 1.00m", (100, 155.55, 2.8, None, 52.0035, -2.5927, 15.0)),
+]
+
+
+def test_subtitle_dialects(spark):
+    files = spark.createDataFrame([(str(i), f"1\n00:00:00,000 --> 00:00:01,000\n{text}") for i, (text, _) in enumerate(SUBTITLES)], "path string, text string")
+    rows = {int(r.path): r for r in T.parse_srt(files).collect()}
+    for i, (_, want) in enumerate(SUBTITLES):
+        assert tuple(rows[i][k] for k in ("iso", "shutter", "fnum", "focal_len", "latitude", "longitude", "altitude")) == want
