@@ -6,16 +6,17 @@ import functools
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skysurvey.functions import geodesy as G, photo as P, sensor as X
-from skysurvey.operators import points as O, scenes as C, sets as S
+from skysurvey.operators import points as O, raster as R, scenes as C, sets as S
 from skysurvey.plans import lineage as L
 from skysurvey.plans.adapters import domain, oracle
 from skysurvey.plans.io_queries import texts_by
-from skysurvey.session import shared_folder
-from skysurvey.sources import binary as B, sinks as K, text as T
+from skysurvey.session import shared_folder, ship
+from skysurvey.sources import binary as B, containers as N, sinks as K, text as T
 from skysurvey.streaming import frames as V
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -385,8 +386,6 @@ def clipped_windows(spark, sf_dir):
 """)
 def reprojected_raster(spark, sf_dir):
     """A raster in another grid of its system."""
-    from skysurvey.operators import raster as R
-
     d = R.grid_max(domain(spark, sf_dir, "points"), 4.0).select("row", "col", "value")
     utm = G.Srs("mercator")
     return C.reprojected(d, 4.0, utm, utm, 8.0).withColumn("value", F.round("value", 6))
@@ -542,3 +541,110 @@ def mosaic_frame(spark, sf_dir):
     zero = lit(0).cast("long")
     shares = C.alpha_share(r, "source").select("source", "cells", "opaque", "share", zero.alias("width"), zero.alias("height"))
     return shares.unionByName(C.mosaic_extent(box).select(lit("all").alias("source"), zero.alias("cells"), zero.alias("opaque"), lit(0.0).alias("share"), c("width").cast("long").alias("width"), c("height").cast("long").alias("height")))
+
+
+# ---- containers --------------------------------------------------------------
+
+_DSM = "SELECT CAST(floor(y / 4) AS BIGINT) AS row, CAST(floor(x / 4) AS BIGINT) AS col, max(z) AS value FROM points GROUP BY 1, 2"
+
+
+def _dsm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.grid_max(domain(spark, sf_dir, "points"), 4.0).select("row", "col", "value")
+
+
+@query(f"SELECT row, col, CAST(CAST(value AS FLOAT) AS DOUBLE) AS value, 32616 AS epsg FROM ({_DSM}) AS d")
+def geotiff_files(spark, sf_dir):
+    """An elevation model in GeoTIFF tiles, read back with its system."""
+    files = N.geotiff_tiles(_dsm(spark, sf_dir), 4.0, 32616, 16)
+    return N.geotiff_cells(files).select("row", "col", "value", "epsg")
+
+
+@query(f"""
+    WITH d AS ({_DSM}), m AS (SELECT min(value) AS low, max(value) AS high FROM d)
+    SELECT row, col, CAST(round_even((value - low) / (high - low) * 255, 0) AS INT) AS value FROM d, m
+""")
+def png_files(spark, sf_dir):
+    """An elevation model as byte-scaled PNG tiles, decoded again."""
+    d = _dsm(spark, sf_dir)
+    ends = d.agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    bytes_ = d.crossJoin(F.broadcast(ends)).select(lit(3).alias("z"), "row", "col", X.to_8bit(c("value"), c("low"), c("high")).alias("value"))
+    ship(spark)
+
+    def decode(batches):
+        for frame in batches:
+            for x, y, content in zip(frame["x"], frame["y"], frame["content"]):
+                pixels = N.png_pixels(content)
+                i, j = np.nonzero(pixels[:, :, 1])
+                yield pd.DataFrame({"row": y * 16 + 15 - i, "col": x * 16 + j, "value": pixels[i, j, 0].astype(np.int32)})
+
+    return N.png_tiles(bytes_, 16).select("x", "y", "content").mapInPandas(decode, "row long, col long, value int")
+
+
+@query("SELECT 'ply' AS kind, x, y, z, red, views FROM (SELECT CAST(CAST(x AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z AS FLOAT) AS DOUBLE) AS z, red, CAST(views AS INT) AS views FROM points WHERE class = 2) AS p UNION ALL SELECT 'las', round(x, 3), round(y, 3), round(z, 3), red, NULL FROM points WHERE class <> 2")
+def cloud_files(spark, sf_dir):
+    """Points in PLY and LAS files, read by their type; the LAS files state their system."""
+    ship(spark)
+    cut = S.chunks(domain(spark, sf_dir, "points"), 20_000, ["class", "ord", "line", "x", "y", "z"])
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        if frame["class"].iloc[0] != 2:
+            content = B.las_bytes(frame[["x", "y", "z", "red"]], epsg=32616)
+            if B.las_header(content)["epsg"] != 32616:
+                raise ValueError("the reference system is lost")
+            return pd.DataFrame({"path": ["a.LAS"], "content": [content]})
+        rows = np.zeros(len(frame), [("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("red", "u1"), ("views", "u1")])
+        for k in rows.dtype.names:
+            rows[k] = frame[k]
+        head = f"ply\nformat binary_little_endian 1.0\nelement vertex {len(rows)}\n" + "".join(f"property {'float' if k in 'xyz' else 'uchar'} {k}\n" for k in rows.dtype.names) + "end_header\n"
+        return pd.DataFrame({"path": ["a.ply"], "content": [head.encode() + rows.tobytes()]})
+
+    files = cut.select("class", "chunk", "x", "y", "z", "red", "views").groupBy("class", "chunk").applyInPandas(pack, "path string, content binary")
+    found = N.points_from_binary(files)
+    las = c("views").isNull()
+    near = lambda k: F.when(las, F.round(k, 3)).otherwise(c(k)).alias(k)
+    return found.select(F.when(las, "las").otherwise("ply").alias("kind"), *map(near, "xyz"), "red", "views")
+
+
+@query("SELECT CAST(id // 100 AS STRING) AS path, count(*) AS vertices, CAST(max(row) - min(row) AS DOUBLE) AS wide, (max(row) + min(row)) / 2 AS centre, CAST(3 * sum(CASE WHEN id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS corners FROM pixels GROUP BY 1")
+def binary_meshes(spark, sf_dir):
+    """Meshes as binary glTF about their centre."""
+    p = domain(spark, sf_dir, "pixels").withColumn("path", _string(F.floor(c("id") / 100)))
+    ship(spark)
+
+    def pack(frame: pd.DataFrame) -> pd.DataFrame:
+        at = frame[["row", "col", "id"]].to_numpy(float)
+        faces = np.array([[0, 1, 2]] * int((frame["id"] % 3 == 0).sum())).reshape(-1, 3)
+        scene = N.glb_scene(N.glb_bytes(at, np.full((len(at), 2), 0.25), faces))
+        one, _, three = scene["accessors"]
+        return pd.DataFrame({"path": [frame["path"].iloc[0]], "vertices": [one["count"]], "wide": [one["max"][0] - one["min"][0]], "centre": [scene["extensions"]["CESIUM_RTC"]["center"][0]], "corners": [three["count"]]})
+
+    return p.select("path", "id", "row", "col").groupBy("path").applyInPandas(pack, "path string, vertices long, wide double, centre double, corners long")
+
+
+@query("""
+    WITH a AS (SELECT ord, latitude, abs(latitude) AS v FROM photos), m AS (SELECT ord, latitude, floor(v) AS d, floor((v - floor(v)) * 60) AS m FROM a)
+    SELECT ord, CAST(CAST(d AS BIGINT) AS STRING) || '/1' AS degrees, CAST(CAST(m AS BIGINT) AS STRING) || '/1' AS minutes, CASE WHEN latitude < 0 THEN 'S' ELSE 'N' END AS ref, '2024:01:02 03:04:05' AS time, 'skycam' AS make FROM m
+""")
+def stamped_frames(spark, sf_dir):
+    """Frames with positions and times in their tags, read back."""
+    p = domain(spark, sf_dir, "photos")
+    refs = _text(F.when(c("latitude") < 0, "S").otherwise("N"), F.when(c("longitude") < 0, "W").otherwise("E"))
+    frames = p.select(_string(c("ord")).alias("path"), F.unhex(lit("FFD8FFD9")).alias("content"), K.exif_rationals(c("latitude")).alias("latitude"), K.exif_rationals(c("longitude")).alias("longitude"), refs.alias("refs"), lit("2024:01:02 03:04:05").alias("time"), lit("skycam").alias("make"))
+    found = B.with_image_metadata(N.with_stamps(frames))
+    tag = lambda n: F.try_element_at("tags", lit(n))
+    parts = F.split(tag("2"), ",")
+    return found.select(c("path").cast("long").alias("ord"), parts[0].alias("degrees"), parts[1].alias("minutes"), tag("1").alias("ref"), tag("306").alias("time"), tag("271").alias("make"))
+
+
+@query("SELECT '<gml:featureMember><gcp><filename>' || filename || '</filename><gml:Point><gml:coordinates>' || CAST(x AS STRING) || ',' || CAST(y AS STRING) || ',' || CAST(z AS STRING) || '</gml:coordinates></gml:Point></gcp></gml:featureMember>' AS feature FROM gcp")
+def gml_features(spark, sf_dir):
+    """K4."""
+    return N.gml_member(domain(spark, sf_dir, "gcp"))
+
+
+@query("SELECT CAST(z AS INT) AS zoom, round(156543.03392804097::DOUBLE / pow(2, z), 9) AS resolution FROM range(3, 9) r(z)")
+def tile_descriptions(spark, sf_dir):
+    """The levels that a tile directory's description states."""
+    text = N.tile_document("a", 3857, (0.0, 0.0, 1.0, 1.0), (3, 8), 156543.03392804097)
+    rows = spark.createDataFrame([(text,)], "t string").select(F.explode(F.regexp_extract_all("t", lit(r'<TileSet ([^/]*)/>'), lit(1))).alias("s"))
+    return rows.select(F.regexp_extract("s", r'order="(\d+)"', 1).cast("int").alias("zoom"), F.round(F.regexp_extract("s", r'units-per-pixel="([\d.]+)"', 1).cast("double"), 9).alias("resolution"))

@@ -156,41 +156,70 @@ def with_image_metadata(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(run, "path string, width int, height int, tags map<string, string>, xmp array<string>")
 
 
-#: LAS point format 3 without its header: the record of one point.
-LAS_RECORD = np.dtype([
-    ("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("angle", "i1"), ("user", "u1"),
-    ("source", "<u2"), ("gps_time", "<f8"), ("red", "<u2"), ("green", "<u2"), ("blue", "<u2"),
-])
+# The fields of LAS point records.
+_LAS_OLD = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("classification", "u1"), ("angle", "i1"), ("user", "u1"), ("source", "<u2")]
+_LAS_NEW = [("x", "<i4"), ("y", "<i4"), ("z", "<i4"), ("intensity", "<u2"), ("flags", "u1"), ("more", "u1"), ("classification", "u1"), ("user", "u1"), ("angle", "<i2"), ("source", "<u2"), ("gps_time", "<f8")]
+_LAS_TIME, _LAS_RGB = [("gps_time", "<f8")], [("red", "<u2"), ("green", "<u2"), ("blue", "<u2")]
+#: Records of one point by format.
+LAS_FORMATS = {0: _LAS_OLD, 1: _LAS_OLD + _LAS_TIME, 2: _LAS_OLD + _LAS_RGB, 3: _LAS_OLD + _LAS_TIME + _LAS_RGB, 6: _LAS_NEW, 7: _LAS_NEW + _LAS_RGB, 8: [*_LAS_NEW, *_LAS_RGB, ("nir", "<u2")]}
+#: The format that is written.
+LAS_RECORD = np.dtype(LAS_FORMATS[3])
 LAS_SCHEMA = "x double, y double, z double, intensity int, return_number int, number_of_returns int, classification int, scan_angle double, user_data int, point_source_id int, gps_time double, red int, green int, blue int"
 _LAS_HEAD = struct.Struct("<4sHH16sBB32s32sHHHIIBHI5I12d")
 
 
 def las_header(data: bytes) -> dict:
-    """What a LAS 1.2 header says about the records."""
+    """What a LAS header (1.0 to 1.4) says about the records, and the code of its reference system where data holds it (else 0)."""
     if data[:4] != b"LASF":
         raise ValueError("not a LAS file")
     h = _LAS_HEAD.unpack(data[: _LAS_HEAD.size])
-    return {"offset": h[11], "format": h[13], "record": h[14], "count": h[15], "scale": h[21:24], "shift": h[24:27]}
+    count = struct.unpack("<Q", data[247:255])[0] if h[5] >= 4 and len(data) >= 255 else h[15]
+    found = {"offset": h[11], "format": h[13], "record": h[14], "count": count, "scale": h[21:24], "shift": h[24:27], "epsg": 0}
+    at = h[10]
+    for _ in range(h[12]):
+        if at + 54 > len(data):
+            break
+        _, user, record, size, _ = struct.unpack("<H16sHH32s", data[at : at + 54])
+        keys = struct.unpack(f"<{size // 2}H", data[at + 54 : at + 54 + size // 2 * 2]) if record == 34735 and at + 54 + size <= len(data) else ()
+        codes = {k: v for k, _, _, v in zip(*(keys[i::4] for i in range(4)))}
+        found["epsg"] = codes.get(3072, codes.get(2048, found["epsg"]))
+        at += 54 + size
+    return found
 
 
-def las_points(data: bytes, header: dict) -> pa.RecordBatch:
-    """Records of point format 3 as columns."""
-    if header["format"] != 3:
+def _las_record(header: dict) -> np.dtype:
+    if header["format"] not in LAS_FORMATS:
         raise ValueError(f"point format {header['format']} is not supported")
-    r = np.frombuffer(data, LAS_RECORD, len(data) // LAS_RECORD.itemsize)
+    fields = LAS_FORMATS[header["format"]]
+    plain = np.dtype(fields)
+    return np.dtype({"names": plain.names, "formats": [plain[n] for n in plain.names], "offsets": [plain.fields[n][1] for n in plain.names], "itemsize": header["record"]})
+
+
+def las_points(data: bytes, header: dict) -> pa.RecordBatch:
+    """Records as columns; what a format lacks is 0."""
+    shape = _las_record(header)
+    r = np.frombuffer(data, shape, len(data) // shape.itemsize)
+    new = header["format"] >= 6
+    none = np.zeros(len(r), np.int32)
+    field = lambda k: r[k] if k in shape.names else none
+    bits, kind = (15, 255) if new else (7, 31)
+    shift = 4 if new else 3
+    angle = field("angle") * (0.006 if new else 1.0)
     (sx, sy, sz), (ox, oy, oz) = header["scale"], header["shift"]
     ints = lambda a: pa.array(a.astype(np.int32))
-    columns = [pa.array(r["x"] * sx + ox), pa.array(r["y"] * sy + oy), pa.array(r["z"] * sz + oz), ints(r["intensity"]), ints(r["flags"] & 7), ints(r["flags"] >> 3 & 7), ints(r["classification"] & 31), pa.array(r["angle"].astype(float)), ints(r["user"]), ints(r["source"]), pa.array(r["gps_time"].copy()), ints(r["red"]), ints(r["green"]), ints(r["blue"])]
+    columns = [pa.array(r["x"] * sx + ox), pa.array(r["y"] * sy + oy), pa.array(r["z"] * sz + oz), ints(r["intensity"]), ints(r["flags"] & bits), ints(r["flags"] >> shift & bits), ints(r["classification"] & kind), pa.array(angle.astype(float)), ints(r["user"]), ints(r["source"]), pa.array(field("gps_time").astype(float)), ints(field("red")), ints(field("green")), ints(field("blue"))]
     return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in LAS_SCHEMA.split(", ")])
 
 
-def las_bytes(frame: pd.DataFrame, scale: float = 0.001) -> bytes:
-    """K7, K9: a LAS 1.2 file of point format 3."""
+def las_bytes(frame: pd.DataFrame, scale: float = 0.001, epsg: int = 0) -> bytes:
+    """K7, K9: a LAS 1.2 file of point format 3, with a record of its reference system if given."""
     n = len(frame)
     lows = [float(frame[k].min()) if n else 0.0 for k in "xyz"]
     highs = [float(frame[k].max()) if n else 0.0 for k in "xyz"]
     shift = [float(np.floor(v)) for v in lows]
-    head = _LAS_HEAD.pack(b"LASF", 0, 0, bytes(16), 1, 2, b"skysurvey", b"skysurvey", 1, 2024, _LAS_HEAD.size, _LAS_HEAD.size, 0, 3, LAS_RECORD.itemsize, n, n, 0, 0, 0, 0, scale, scale, scale, *shift, *(v for pair in zip(highs, lows) for v in pair))
+    keys = struct.pack("<8H", 1, 1, 0, 1, 2048 if epsg == 4326 else 3072, 0, 1, epsg) if epsg else b""
+    system = struct.pack("<H16sHH32s", 0, b"LASF_Projection", 34735, len(keys), b"") + keys if epsg else b""
+    head = _LAS_HEAD.pack(b"LASF", 0, 0, bytes(16), 1, 2, b"skysurvey", b"skysurvey", 1, 2024, _LAS_HEAD.size, _LAS_HEAD.size + len(system), 1 if epsg else 0, 3, LAS_RECORD.itemsize, n, n, 0, 0, 0, 0, scale, scale, scale, *shift, *(v for pair in zip(highs, lows) for v in pair))
     r = np.zeros(n, LAS_RECORD)
     for k, o in zip("xyz", shift):
         r[k] = np.rint((frame[k].to_numpy(float) - o) / scale).astype(np.int32)
@@ -198,7 +227,7 @@ def las_bytes(frame: pd.DataFrame, scale: float = 0.001) -> bytes:
     for field, name in (("intensity", "intensity"), ("classification", "classification"), ("angle", "scan_angle"), ("user", "user_data"), ("source", "point_source_id"), ("gps_time", "gps_time"), ("red", "red"), ("green", "green"), ("blue", "blue")):
         r[field] = get(name)
     r["flags"] = np.asarray(get("return_number")).astype(int) | np.asarray(get("number_of_returns")).astype(int) << 3
-    return head + r.tobytes()
+    return head + system + r.tobytes()
 
 
 def las_from_binary(files: DataFrame) -> DataFrame:
@@ -261,7 +290,8 @@ class _LasWriter(DataSourceWriter):
         from pyspark import TaskContext
 
         os.makedirs(self.path, exist_ok=True)
-        frame = pd.DataFrame([r.asDict() for r in iterator], columns=self.names)
+        rows = list(iterator)  # one partition's points
+        frame = pd.DataFrame.from_records(rows, columns=self.names)
         context = TaskContext.get()
         final = os.path.join(self.path, f"part-{context.partitionId():05d}.las")
         # Written aside and renamed, so that a repeated task leaves whole files.
