@@ -4,8 +4,11 @@ Method: an EBML writer puts a payload into a Matroska file (EBML header, Info, o
 8-bit track, clusters of SimpleBlocks whose frames share a block by fixed-size or EBML
 lacing, and cues); the reader parses variable-length element ids and sizes, clusters,
 lacing and cues into a packet table (track, timestamp, byte offset, byte length, key
-frame) and never relies on what the writer knew. Unknown-size segments and clusters,
-BlockGroups and Xiph lacing, which this writer does not produce, are read as well.
+frame) and never relies on what the writer knew: times come from the file's timestamp
+scale, and those of frames that share a block from the track's default duration or, for
+raw samples, from the frames' sizes. Unknown-size segments and clusters, BlockGroups, whose
+blocks are key frames unless they refer to others, and Xiph lacing, which this writer does
+not produce, are read as well.
 
 Defined results: null and empty text is one frame of padding; every payload is a
 positive multiple of ``FRAME`` bytes, padded with byte 255, which UTF-8 never has, so
@@ -38,7 +41,7 @@ EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067,
 EBML_VERSION, EBML_READ_VERSION, MAX_ID, MAX_SIZE, DOC_TYPE, DOC_VERSION, DOC_READ_VERSION = 0x4286, 0x42F7, 0x42F2, 0x42F3, 0x4282, 0x4287, 0x4285
 TIMESTAMP_SCALE, DURATION, MUXING_APP, WRITING_APP = 0x2AD7B1, 0x4489, 0x4D80, 0x5741
 TRACK_ENTRY, TRACK_NUMBER, TRACK_UID, TRACK_TYPE, LACING_FLAG, CODEC_ID, AUDIO, SAMPLING, CHANNELS, BIT_DEPTH = 0xAE, 0xD7, 0x73C5, 0x83, 0x9C, 0x86, 0xE1, 0xB5, 0x9F, 0x6264
-TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK = 0xE7, 0xA3, 0xA0, 0xA1
+DEFAULT_DURATION, TIMESTAMP, SIMPLE_BLOCK, BLOCK_GROUP, BLOCK, REFERENCE = 0x23E383, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
 CUE_POINT, CUE_TIME, CUE_TRACK_POSITIONS, CUE_TRACK, CUE_CLUSTER = 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 _TOP = {EBML, SEGMENT, SEEK_HEAD, INFO, TRACKS, CLUSTER, CUES}
 _INSIDE = {EBML, SEGMENT, INFO, TRACKS, TRACK_ENTRY, AUDIO, CLUSTER, BLOCK_GROUP, CUES, CUE_POINT, CUE_TRACK_POSITIONS}
@@ -99,7 +102,7 @@ def mux(frames: list[bytes]) -> bytes:
     header = _element(EBML, _uint(EBML_VERSION, 1) + _uint(EBML_READ_VERSION, 1) + _uint(MAX_ID, 4) + _uint(MAX_SIZE, 8) + _element(DOC_TYPE, b"matroska") + _uint(DOC_VERSION, 4) + _uint(DOC_READ_VERSION, 2))
     info = _element(INFO, _uint(TIMESTAMP_SCALE, 1_000_000) + _element(DURATION, struct.pack(">d", float(len(frames) * FRAME_MS))) + _element(MUXING_APP, b"skysurvey") + _element(WRITING_APP, b"skysurvey"))
     audio = _element(AUDIO, _element(SAMPLING, struct.pack(">d", 8000.0)) + _uint(CHANNELS, 1) + _uint(BIT_DEPTH, 8))
-    tracks = _element(TRACKS, _element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(LACING_FLAG, 1) + _element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
+    tracks = _element(TRACKS, _element(TRACK_ENTRY, _uint(TRACK_NUMBER, 1) + _uint(TRACK_UID, 1) + _uint(TRACK_TYPE, 2) + _uint(LACING_FLAG, 1) + _uint(DEFAULT_DURATION, FRAME_MS * 1_000_000) + _element(CODEC_ID, b"A_PCM/INT/LIT") + audio))
     body = [info, tracks]
     at = len(info) + len(tracks)
     cues = []
@@ -169,7 +172,7 @@ def _frame_sizes(data: bytes, at: int, end: int, lacing: int) -> tuple[list[int]
 
 
 class Media(NamedTuple):
-    """What a file holds: packets, cues as (time, cluster's place), clusters' places, frame durations by track."""
+    """What a file holds: packets, cues as (time in ms, cluster's place), clusters' places, codecs by track."""
 
     packets: list[Packet]
     cues: list[tuple[int, int]]
@@ -177,14 +180,34 @@ class Media(NamedTuple):
     tracks: dict[int, str]
 
 
+class _Track:
+    """What a track's entry says about its frames' times."""
+
+    def __init__(self) -> None:
+        self.codec, self.duration, self.rate, self.channels, self.bits = "", 0, 8000.0, 1, 0
+
+    def lasts(self, size: int) -> float:
+        """Nanoseconds of a frame of so many bytes, 0 where the file does not tell."""
+        if self.duration:
+            return self.duration
+        sample = self.channels * self.bits / 8
+        return size / sample / self.rate * 1e9 if self.codec.startswith("A_PCM") and sample and self.rate else 0.0
+
+
+def _float(raw: bytes) -> float:
+    return struct.unpack(">d" if len(raw) == 8 else ">f", raw)[0] if len(raw) in (4, 8) else 0.0
+
+
 def demux(data: bytes) -> Media:
     """Parse a file into its packet table."""
     packets: list[Packet] = []
     cues: list[tuple[int, int]] = []
     clusters: list[int] = []
-    tracks: dict[int, str] = {}
-    number, time, cue_time = 0, 0, 0
-    segment = 0
+    tracks: dict[int, _Track] = {}
+    entry = _Track()
+    scale, time, cue_time = 1_000_000, 0, 0
+    segment, group = 0, 0
+    number = lambda: int.from_bytes(data[at:end], "big")
     at = 0
     ends: list[tuple[int, int]] = []  # open master elements: (id, end)
     while at < len(data):
@@ -204,27 +227,45 @@ def demux(data: bytes) -> Media:
             elif element == CLUSTER:
                 clusters.append(start - segment)
                 time = 0
+            elif element == TRACK_ENTRY:
+                entry = _Track()
+            elif element == BLOCK_GROUP:
+                group = len(packets)
             continue
         if element == TIMESTAMP:
-            time = int.from_bytes(data[at:end], "big")
+            time = number()
+        elif element == TIMESTAMP_SCALE:
+            scale = number() or scale
         elif element == TRACK_NUMBER:
-            number = int.from_bytes(data[at:end], "big")
+            tracks[number()] = entry
         elif element == CODEC_ID:
-            tracks[number] = data[at:end].decode("ascii", "replace")
+            entry.codec = data[at:end].decode("ascii", "replace")
+        elif element == DEFAULT_DURATION:
+            entry.duration = number()
+        elif element == SAMPLING:
+            entry.rate = _float(data[at:end])
+        elif element == CHANNELS:
+            entry.channels = number()
+        elif element == BIT_DEPTH:
+            entry.bits = number()
         elif element == CUE_TIME:
-            cue_time = int.from_bytes(data[at:end], "big")
+            cue_time = number() * scale // 1_000_000
         elif element == CUE_CLUSTER:
-            cues.append((cue_time, int.from_bytes(data[at:end], "big")))
+            cues.append((cue_time, number()))
+        elif element == REFERENCE:
+            packets[group:] = [p._replace(key=False) for p in packets[group:]]
         elif element in (SIMPLE_BLOCK, BLOCK):
             track, place, _ = _read_vint(data, at)
             relative = struct.unpack_from(">h", data, place)[0]
             flags = data[place + 2]
             sizes, place = _frame_sizes(data, place + 3, end, flags >> 1 & 3)
-            for i, n in enumerate(sizes):
-                packets.append(Packet(track or 0, time + relative + i * FRAME_MS, place, n, element == SIMPLE_BLOCK and bool(flags & 0x80)))
+            lasts, passed = tracks.get(track or 0, _Track()).lasts, 0.0
+            for n in sizes:
+                packets.append(Packet(track or 0, int(((time + relative) * scale + passed) // 1_000_000), place, n, element == BLOCK or bool(flags & 0x80)))
                 place += n
+                passed += lasts(n)
         at = end
-    return Media(packets, cues, clusters, tracks)
+    return Media(packets, cues, clusters, {k: t.codec for k, t in tracks.items()})
 
 
 def payload(text: bytes) -> bytes:

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -609,7 +610,26 @@ def test_media_lacing_and_unknown_sizes():
     group = M._element(M.BLOCK_GROUP, M._element(M.BLOCK, b"\x82\x00\x05\x00" + b"z" * 9))
     open_ended = M._id(M.SEGMENT) + b"\x01" + b"\xff" * 7 + M._id(M.CLUSTER) + b"\xff" + M._uint(M.TIMESTAMP, 1000) + xiph + group + M._element(M.CLUSTER, M._uint(M.TIMESTAMP, 2000) + block(0, b"q"))
     packets = M.demux(open_ended).packets
-    assert [(p.track, p.timestamp, p.length) for p in packets] == [(1, 1000, 300), (1, 1072, 7), (2, 1005, 9), (1, 2000, 1)]
+    # Without a track's entry a file does not tell how long a frame lasts.
+    assert [(p.track, p.timestamp, p.length, p.key) for p in packets] == [(1, 1000, 300, True), (1, 1000, 7, True), (2, 1005, 9, True), (1, 2000, 1, False)]
+
+
+def test_media_times_come_from_the_file():
+    lace = lambda frames, relative: M._laced(frames, relative)
+    entry = lambda *more: M._element(M.TRACKS, M._element(M.TRACK_ENTRY, M._uint(M.TRACK_NUMBER, 1) + b"".join(more)))
+    audio = M._element(M.AUDIO, M._element(M.SAMPLING, struct.pack(">f", 1000.0)) + M._uint(M.CHANNELS, 2) + M._uint(M.BIT_DEPTH, 16))
+    frames = [b"a" * 400, b"b" * 400, b"c" * 400]
+
+    def times(scale, *track):
+        group = M._element(M.BLOCK_GROUP, M._element(M.BLOCK, b"\x81\x00\x09\x00x") + M._uint(M.REFERENCE, 1))
+        cluster = M._element(M.CLUSTER, M._uint(M.TIMESTAMP, 10) + lace(frames, 2) + group)
+        found = M.demux(M._element(M.SEGMENT, M._element(M.INFO, M._uint(M.TIMESTAMP_SCALE, scale)) + entry(*track) + cluster))
+        assert [p.key for p in found.packets] == [True] * 3 + [False]
+        return [p.timestamp for p in found.packets]
+
+    assert times(1_000_000, M._uint(M.DEFAULT_DURATION, 40_000_000)) == [12, 52, 92, 19]
+    assert times(5_000_000, M._element(M.CODEC_ID, b"A_PCM/INT/LIT"), audio) == [60, 160, 260, 95]
+    assert times(1_000_000, M._element(M.CODEC_ID, b"V_VP9")) == [12, 12, 12, 19]
 
 
 # ---- 10: languages ---------------------------------------------------------
