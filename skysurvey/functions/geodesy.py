@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, functions as F
@@ -85,6 +86,11 @@ def from_utm(x: Column, y: Column, zone: Column, south: Column) -> Column:
     return F.struct((F.degrees(lam) + (zone * 6 - 183)).alias("lon"), F.degrees(phi).alias("lat"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 class Srs(NamedTuple):
     """A parsed reference system; zone and south are for kind 'utm'."""
 
@@ -153,8 +159,7 @@ def from_michigan_feet(x: Column, y: Column) -> Column:
     lam = F.atan2(east, rho0 - north) / n
     phi = math.pi / 2 - 2 * F.atan(t)
     for _ in range(6):
-        s = GRS80_E * F.sin(phi)
-        phi = math.pi / 2 - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(GRS80_E / 2)))
+        phi = bound(GRS80_E * F.sin(phi), lambda s: math.pi / 2 - 2 * F.atan(t * F.pow((1 - s) / (1 + s), F.lit(GRS80_E / 2))))
     return F.struct((F.degrees(lam) + _LCC["lam0"]).alias("lon"), F.degrees(phi).alias("lat"))
 
 
@@ -171,15 +176,16 @@ def to_lonlat(srs: Srs, x: Column, y: Column) -> Column:
 
 def transform(source: Srs, target: Srs, x: Column, y: Column) -> Column:
     """(x, y) in another system."""
-    place = to_lonlat(source, x, y)
-    lon, lat = place["lon"], place["lat"]
-    if target.kind == "lonlat":
-        return F.struct(lon.alias("x"), lat.alias("y"))
-    if target.kind == "utm":
-        return to_utm(lon, lat, F.lit(target.zone), F.lit(target.south))
-    if target.kind == "mercator":
-        return lonlat_to_mercator(lon, lat)
-    raise ValueError(f"no projection to {target.kind}")
+    if target.kind not in ("lonlat", "utm", "mercator"):
+        raise ValueError(f"no projection to {target.kind}")
+
+    def placed(place: Column) -> Column:
+        lon, lat = place["lon"], place["lat"]
+        if target.kind == "lonlat":
+            return F.struct(lon.alias("x"), lat.alias("y"))
+        return to_utm(lon, lat, F.lit(target.zone), F.lit(target.south)) if target.kind == "utm" else lonlat_to_mercator(lon, lat)
+
+    return bound(to_lonlat(source, x, y), placed)
 
 
 def to_ecef(lon: Column, lat: Column, alt: Column) -> Column:

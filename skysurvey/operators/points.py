@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skysurvey.operators.sets import nearest
-from skysurvey.session import checkpointed
+from skysurvey.session import checkpointed, ship
 
 
 def in_ring(x: Column, y: Column, ring: Sequence[tuple[float, float]]) -> Column:
@@ -59,28 +61,43 @@ def outliers(points: DataFrame, key: str, k: int, times: float, cell: float) ->
     return points.join(mean, key).crossJoin(F.broadcast(limit)).withColumn("keep", F.col("mean_distance") < F.col("_limit")).drop("_limit")
 
 
-def convex_hull(points: DataFrame, directions: int = 720) -> list[tuple[float, float]]:
-    """The convex hull, counter-clockwise.
+def convex_hull(points: DataFrame, groups: int = 64) -> list[tuple[float, float]]:
+    """The convex hull, counter-clockwise; empty without points.
 
-    Candidates are, for each of many directions, the farthest points, found by one
-    aggregation; the rest is tested against their hull and points outside are added
-    until none is left, so the hull is exact and only hull points reach the driver.
+    Each task keeps the hull of its points, groups of tasks' hulls are merged, and the
+    hulls of the groups reach the driver: no more points than those hulls have corners.
     """
-    found: set[tuple[float, float]] = set()
-    angles = [2 * math.pi * i / directions for i in range(directions)]
-    row = points.agg(*(F.max(F.struct((F.col("x") * math.cos(a) + F.col("y") * math.sin(a)).alias("d"), "x", "y")).alias(f"p{i}") for i, a in enumerate(angles[:: max(1, directions // 32)]))).first()
-    found.update((p["x"], p["y"]) for p in row if p is not None)
-    hull = monotone_chain(found)
-    while len(hull) >= 3:
-        edges = list(zip(hull, [*hull[1:], hull[0]]))
-        over = [(bx - ax) * (F.col("y") - ay) - (by - ay) * (F.col("x") - ax) for (ax, ay), (bx, by) in edges]
-        worst = points.agg(*(F.min(F.struct(o.alias("d"), "x", "y")).alias(f"p{i}") for i, o in enumerate(over))).first()
-        new = {(p["x"], p["y"]) for p in worst if p["d"] < -1e-9} - found
-        if not new:
-            break
-        found |= new
-        hull = monotone_chain(found)
-    return hull
+    ship(points.sparkSession)
+
+    def own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: list[tuple[float, float]] = []
+        for frame in batches:
+            xy = np.unique(np.concatenate([frame[["x", "y"]].dropna().to_numpy(float), np.array(found).reshape(-1, 2)]), axis=0)
+            found = monotone_chain(set(map(tuple, outer_points(xy).tolist())))
+        yield pd.DataFrame(found, columns=["x", "y"]).astype(float)
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(monotone_chain(set(map(tuple, frame[["x", "y"]].to_numpy().tolist()))), columns=["x", "y"]).astype(float)
+
+    hulls = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).mapInPandas(own, "x double, y double")
+    hulls = hulls.withColumn("_g", F.spark_partition_id() % groups).groupBy("_g").applyInPandas(merged, "x double, y double")
+    return monotone_chain({(r["x"], r["y"]) for r in hulls.collect()})
+
+
+def outer_points(xy: np.ndarray, directions: int = 16) -> np.ndarray:
+    """xy without the points inside the polygon of those farthest in some directions."""
+    if len(xy) < 3 * directions:
+        return xy
+    angle = np.arange(directions) * 2 * np.pi / directions
+    far = xy[np.argmax(xy @ np.stack([np.cos(angle), np.sin(angle)]), axis=0)]
+    ring = np.array(monotone_chain(set(map(tuple, far.tolist()))))
+    if len(ring) < 3:
+        return xy
+    side = np.roll(ring, -1, axis=0) - ring
+    inside = np.ones(len(xy), bool)
+    for (ax, ay), (dx, dy) in zip(ring, side):
+        inside &= dx * (xy[:, 1] - ay) - dy * (xy[:, 0] - ax) > 1e-9
+    return xy[~inside]
 
 
 def monotone_chain(points: set[tuple[float, float]]) -> list[tuple[float, float]]:

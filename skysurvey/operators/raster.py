@@ -167,14 +167,44 @@ def blend(raster: DataFrame, distance: str) -> DataFrame:
 
 
 def fill_low_weight(blended: DataFrame, block: int = 512) -> DataFrame:
-    """Cells of very low weight take the nearest other value of their block."""
-    low = (F.col("weight") > FLOOR_WEIGHT) & (F.col("weight") < 1)
-    keyed = blended.withColumn("_br", F.floor(F.col("row") / block)).withColumn("_bc", F.floor(F.col("col") / block))
-    donors = keyed.filter(~low).select("_br", "_bc", F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias("_v"))
-    near = keyed.filter(low).join(donors, ["_br", "_bc"], "left")
-    d2 = (F.col("row") - F.col("_r")) * (F.col("row") - F.col("_r")) + (F.col("col") - F.col("_c")) * (F.col("col") - F.col("_c"))
-    filled = near.groupBy("row", "col", "weight", "value").agg(F.min_by("_v", F.struct(d2, "_r", "_c")).alias("_v")).select("row", "col", F.coalesce("_v", "value").alias("value"), "weight")
-    return blended.filter(~low).select("row", "col", "value", "weight").unionByName(filled)
+    """Cells of very low weight take the nearest other value of their block (of equally near ones that of the smallest row, then column).
+
+    A block is one group of block * block cells at most; the nearest value is found along
+    rows first and then along columns, not by pairs of cells.
+    """
+    ship(blended.sparkSession)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        weight = frame["weight"].to_numpy()
+        low = (weight > FLOOR_WEIGHT) & (weight < 1)
+        if low.any() and not low.all():
+            r0, c0 = frame["row"].min(), frame["col"].min()
+            r, c = (frame["row"] - r0).to_numpy(), (frame["col"] - c0).to_numpy()
+            grid = np.full((r.max() + 1, c.max() + 1), np.nan)
+            grid[r[~low], c[~low]] = frame["value"].to_numpy()[~low]
+            frame["value"] = frame["value"].where(~low, 0.0)
+            frame.loc[low, "value"] = nearest_values(grid, ~np.isnan(grid), r[low], c[low])
+        return frame[["row", "col", "value", "weight"]]
+
+    keyed = blended.select("row", "col", "value", "weight", F.floor(F.col("row") / block).alias("_br"), F.floor(F.col("col") / block).alias("_bc"))
+    return keyed.groupBy("_br", "_bc").applyInPandas(run, "row long, col long, value double, weight double")
+
+
+def nearest_values(grid: np.ndarray, there: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """The value of the nearest cell that is there, for the given places: the first in order of rows and columns among equals."""
+    height, width = grid.shape
+    at = np.arange(width)
+    left = np.maximum.accumulate(np.where(there, at, -(4 * width + 4 * height)), axis=1)
+    right = np.minimum.accumulate(np.where(there, at, 5 * width + 4 * height)[:, ::-1], axis=1)[:, ::-1]
+    near = np.where(at - left <= right - at, left, right)
+    along = (near - at) ** 2
+    out = np.empty(len(rows))
+    down = (np.arange(height)[:, None] - np.arange(height)) ** 2
+    for c in np.unique(cols):
+        mine = np.nonzero(cols == c)[0]
+        best = (down[rows[mine]] + along[:, c]).argmin(axis=1)
+        out[mine] = grid[best, near[best, c]]
+    return out
 
 
 def first_wins(raster: DataFrame, order: str, alpha: str = "alpha") -> DataFrame:

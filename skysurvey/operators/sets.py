@@ -126,29 +126,54 @@ def interval_join(points: DataFrame, spans: DataFrame, time: str, start: str, en
     return hits.groupBy(*points.columns, "_id").agg(best.alias("_v")).select(*points.columns, *(F.col(f"_v.{c}").alias(c) for c in carry))
 
 
-def distinct_fixes(fixes: DataFrame, by: str, time: str) -> DataFrame:
-    """Fixes that are first, last, or at another place than the one before."""
-    w = Window.partitionBy(by).orderBy(time)
-    moved = (F.lag("x").over(w) != F.col("x")) | (F.lag("y").over(w) != F.col("y"))
-    return fixes.withColumn("_m", F.coalesce(moved, F.lit(True)) | F.lead(time).over(w).isNull()).filter("_m").drop("_m")
+def _time_bucket(time: str, width: float) -> Column:
+    return F.floor(F.unix_micros(F.col(time).cast("timestamp")) / F.lit(1e6) / width)
 
 
-def asof_interpolate(queries: DataFrame, fixes: DataFrame, by: str, time: str, columns: Sequence[str]) -> DataFrame:
+def _beside(buckets: DataFrame, by: str, last: str, first: str) -> DataFrame:
+    """(by, _b) with _before and _after: the last entry of the buckets before and the first of those after, of the same recording."""
+    w = Window.partitionBy(by).orderBy("_b")
+    before = F.last(last, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.first(first, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    return buckets.select(by, "_b", before.alias("_before"), after.alias("_after"))
+
+
+def distinct_fixes(fixes: DataFrame, by: str, time: str, width: float = 3600.0) -> DataFrame:
+    """Fixes that are first, last, or at another place than the one before.
+
+    A recording is cut into buckets of ``width`` seconds, which are ordered each for itself;
+    a bucket's first fix is compared with the last one of the buckets before.
+    """
+    cut = fixes.withColumn("_b", _time_bucket(time, width))
+    place = F.struct(F.col(time).alias("t"), F.col("x").alias("x"), F.col("y").alias("y"))
+    ends = _beside(cut.groupBy(by, "_b").agg(F.max(place).alias("_l"), F.min(place).alias("_f")), by, "_l", "_f")
+    w = Window.partitionBy(by, "_b").orderBy(time, "x", "y")
+    last = F.coalesce(F.lag(place).over(w), F.col("_before"))
+    moved = (last["x"] != F.col("x")) | (last["y"] != F.col("y"))
+    ended = F.lead(time).over(w).isNull() & F.col("_after").isNull()
+    return cut.join(ends, [by, "_b"]).withColumn("_m", F.coalesce(moved, F.lit(True)) | ended).filter("_m").select(*fixes.columns)
+
+
+def asof_interpolate(queries: DataFrame, fixes: DataFrame, by: str, time: str, columns: Sequence[str], width: float = 3600.0) -> DataFrame:
     """Queries with columns interpolated between the fixes before and after them.
 
-    An exact time takes that fix; before the first and after the last fix the values are null.
+    An exact time takes that fix; before the first and after the last fix the values are
+    null. A recording is cut into buckets of ``width`` seconds, which are ordered each for
+    itself; the nearest fixes of other buckets come from the buckets' ends.
     """
     left = queries.select(*queries.columns, F.lit(1).alias("_q"), *(F.lit(None).cast(fixes.schema[c].dataType).alias(f"_{c}") for c in columns), F.lit(None).cast("timestamp").alias("_t"))
     shape = [F.lit(None).cast(queries.schema[c].dataType).alias(c) if c not in (by, time) else F.col(c) for c in queries.columns]
     right = fixes.select(*shape, F.lit(0).alias("_q"), *(F.col(c).alias(f"_{c}") for c in columns), F.col(time).alias("_t"))
-    both = left.unionByName(right)
-    before = Window.partitionBy(by).orderBy(time, "_q").rowsBetween(Window.unboundedPreceding, 0)
-    after = Window.partitionBy(by).orderBy(time, F.desc("_q")).rowsBetween(0, Window.unboundedFollowing)
     value = F.when(F.col("_q") == 0, F.struct(F.col("_t").alias("t"), *(F.col(f"_{c}").alias(c) for c in columns)))
-    both = both.withColumn("_p", F.last(value, ignorenulls=True).over(before)).withColumn("_n", F.first(value, ignorenulls=True).over(after)).filter("_q = 1")
+    both = left.unionByName(right).withColumn("_v", value).withColumn("_b", _time_bucket(time, width))
+    ends = _beside(both.groupBy(by, "_b").agg(F.max("_v").alias("_l"), F.min("_v").alias("_f")), by, "_l", "_f")
+    before = Window.partitionBy(by, "_b").orderBy(time, "_q").rowsBetween(Window.unboundedPreceding, 0)
+    after = Window.partitionBy(by, "_b").orderBy(time, F.desc("_q")).rowsBetween(0, Window.unboundedFollowing)
+    near = both.withColumn("_p", F.last("_v", ignorenulls=True).over(before)).withColumn("_n", F.first("_v", ignorenulls=True).over(after)).filter("_q = 1")
+    near = near.join(ends, [by, "_b"]).withColumn("_p", F.coalesce("_p", "_before")).withColumn("_n", F.coalesce("_n", "_after"))
     at, t0, t1 = (F.unix_micros(c).cast("double") for c in (F.col(time), F.col("_p.t"), F.col("_n.t")))
     share = F.when(t1 > t0, (at - t0) / (t1 - t0)).when(t1 == t0, 0.0)
-    return both.select(*queries.columns, *((F.col(f"_p.{c}") + (F.col(f"_n.{c}") - F.col(f"_p.{c}")) * share).alias(c) for c in columns))
+    return near.select(*queries.columns, *((F.col(f"_p.{c}") + (F.col(f"_n.{c}") - F.col(f"_p.{c}")) * share).alias(c) for c in columns))
 
 
 def nearest(queries: DataFrame, points: DataFrame, key: str, k: int, cell: float) -> DataFrame:

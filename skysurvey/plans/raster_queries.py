@@ -88,9 +88,9 @@ def laplacian_blur(spark, sf_dir):
 
 
 @query(f"""
-    WITH d AS ({_DSM}), g AS (SELECT d.row, d.col, (ne.value + 2*e.value + se.value - nw.value - 2*w.value - sw.value) / 32 AS dx, (sw.value + 2*s.value + se.value - nw.value - 2*n.value - ne.value) / 32 AS dy FROM d
-    JOIN d nw ON nw.row = d.row-1 AND nw.col = d.col-1 JOIN d n ON n.row = d.row-1 AND n.col = d.col JOIN d ne ON ne.row = d.row-1 AND ne.col = d.col+1 JOIN d w ON w.row = d.row AND w.col = d.col-1
-    JOIN d e ON e.row = d.row AND e.col = d.col+1 JOIN d sw ON sw.row = d.row+1 AND sw.col = d.col-1 JOIN d s ON s.row = d.row+1 AND s.col = d.col JOIN d se ON se.row = d.row+1 AND se.col = d.col+1)
+    WITH d AS MATERIALIZED ({_DSM}), k AS (SELECT d.row, d.col, max(CASE WHEN e.row < d.row AND e.col < d.col THEN e.value END) AS nw, max(CASE WHEN e.row < d.row AND e.col = d.col THEN e.value END) AS n, max(CASE WHEN e.row < d.row AND e.col > d.col THEN e.value END) AS ne, max(CASE WHEN e.row = d.row AND e.col < d.col THEN e.value END) AS w, max(CASE WHEN e.row = d.row AND e.col > d.col THEN e.value END) AS e, max(CASE WHEN e.row > d.row AND e.col < d.col THEN e.value END) AS sw, max(CASE WHEN e.row > d.row AND e.col = d.col THEN e.value END) AS s, max(CASE WHEN e.row > d.row AND e.col > d.col THEN e.value END) AS se
+    FROM d JOIN (SELECT row, col, row + i AS r, col + j AS c, value FROM d, range(-1, 2) a(i), range(-1, 2) b(j)) e ON e.r = d.row AND e.c = d.col GROUP BY d.row, d.col HAVING count(*) = 9),
+    g AS (SELECT row, col, (ne + 2 * e + se - nw - 2 * w - sw) / 32 AS dx, (sw + 2 * s + se - nw - 2 * n - ne) / 32 AS dy FROM k)
     SELECT row, col, round(greatest(1.0, 1 + 254 * (cos(radians(45)) * cos(atan(sqrt(dx*dx + dy*dy))) + sin(radians(45)) * sin(atan(sqrt(dx*dx + dy*dy))) * cos(radians(135) - atan2(dy, -dx)))), 6) AS value FROM g
 """)
 def dem_hillshade(spark, sf_dir):

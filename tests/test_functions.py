@@ -319,3 +319,25 @@ def test_redundant_bands(spark, bands, left):
     if bands[:1] == ["RGB"] and "Green" in bands:
         m3m = photos.withColumn("model", lit("M3M"))
         assert {r.band_name for r in S.drop_redundant_bands(m3m, make="make", model="model", order="ord").collect()} == set(bands) - {"RGB"}
+
+
+def test_nearest_values_of_a_block():
+    rng = np.random.default_rng(8)
+    grid = rng.random((17, 23))
+    there = rng.random((17, 23)) < 0.15
+    rows, cols = np.nonzero(~there)
+    at = np.argwhere(there)
+    got = R.nearest_values(np.where(there, grid, np.nan), there, rows, cols)
+    for r, c, v in zip(rows, cols, got):
+        best = min(((r - i) ** 2 + (c - j) ** 2, i, j) for i, j in at)
+        assert v == grid[best[1], best[2]]
+
+
+def test_hull_of_round_and_flat_outlines(spark):
+    angle = np.arange(3000) * 2 * np.pi / 3000
+    ring = [(float(np.cos(a) * 100), float(np.sin(a) * 100)) for a in angle]
+    inner = [(float(x), float(y)) for x, y in np.random.default_rng(1).random((2000, 2)) * 60 - 30]
+    frame = lambda rows: spark.createDataFrame(rows, "x double, y double").repartition(5)
+    assert sorted(O.convex_hull(frame(ring + inner))) == sorted(O.monotone_chain(set(ring + inner)))
+    assert O.convex_hull(frame([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (None, 1.0)])) == [(0.0, 0.0), (2.0, 2.0)] and O.convex_hull(frame([(1.0, 1.0)] * 3)) == [(1.0, 1.0)]
+    assert O.convex_hull(frame([(0.0, 0.0)]).limit(0)) == []
