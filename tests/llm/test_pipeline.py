@@ -56,3 +56,48 @@ def test_one_query_for_each_operator():
     for n in range(1, 11):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+
+
+def brute_stages(rows):
+    """(key, text) rows through the second and third stage, by plain loops."""
+    from tests.llm.test_operators import jaccard_components
+
+    component = {d: c for d, _, c, _ in jaccard_components(rows)}
+    rows = [(d, t) for d, t in rows if component[d] == d]
+    seen, out = set(), {}
+    for d, t in sorted(rows):
+        b = t.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 99):
+            if b[p : p + 100] in seen:
+                gone[p : p + 100] = b"\1" * 100
+            seen.add(b[p : p + 100])
+        left = bytes(x for x, g in zip(b, gone) if not g)
+        if left:
+            out[d] = left.decode("utf-8", "ignore")
+    return out
+
+
+def test_middle_stages_equal_plain_ones(spark):
+    docs, _, _ = planted(spark)
+    docs = docs.filter("text IS NOT NULL")
+    stages = dict(corpus_pipeline.STAGES)
+    out = stages["suffix_array_dedup"](spark, stages["ngram_join"](spark, docs, SF), SF)
+    assert {r.doc_id: r.text for r in out.collect()} == brute_stages([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_stages_of_odd_tables(spark):
+    docs, _, clean = planted(spark)
+    odd = docs.union(docs.filter("doc_id < 3")).union(docs.filter("doc_id = 5").selectExpr("cast(null as long)", "concat(text, ' more words at the end of this one')", "lang", "source", "n_chars"))
+    odd = odd.selectExpr("*", "doc_id AS _doc", "text AS kept", "'x' AS Source2", "1 AS n_bytes")
+    for frame in (odd, odd.limit(0)):
+        kept = frame
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, SF).cache()
+            assert kept.columns == frame.columns and kept.dtypes == frame.dtypes
+        packed = corpus_pipeline.STAGES[-1][1](spark, kept, SF)
+        ids = [r.doc_id for r in kept.collect()]
+        if frame is odd:
+            assert set(range(clean)) <= set(ids) and len(ids) == len(set(ids))
+            assert all(r._doc == r.doc_id and r.Source2 == "x" for r in kept.collect())
+        assert {r.doc_id for r in packed.collect()} == set(ids)
