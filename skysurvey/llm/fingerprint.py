@@ -27,6 +27,8 @@ an empty table gives an empty result; only the key and the text are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from skysurvey.llm.common import partitions
@@ -70,8 +72,11 @@ def with_fingerprint(df: DataFrame, text: str, out: str, sketch: int | None = SK
     """df with the column out: (hash, first place) of the smallest anchor hashes of the text, by hash."""
     df = with_anchors(df, text, "_anchors")
     df = df.withColumn("_chosen", F.sort_array(F.array_distinct(F.array_compact("_anchors"))))
-    least = F.slice("_chosen", 1, sketch) if sketch else F.col("_chosen")
-    placed = F.transform(least, lambda h: F.struct(h.alias("hash"), (F.array_position("_anchors", h) - 1).cast("int").alias("place")))
+    # The anchors up to the last hash chosen, with their places; of equal ones the first stays.
+    last = F.try_element_at(F.slice("_chosen", 1, sketch) if sketch else F.col("_chosen"), F.lit(-1))
+    up_to = lambda t: F.transform("_anchors", lambda h, i: F.when(h <= t, F.struct(h.alias("hash"), i.alias("place"))))
+    first = lambda rows: F.filter(rows, lambda s, i: (i == 0) | (s["hash"] != F.get(rows, i - 1)["hash"]))
+    placed = _bound(F.sort_array(F.array_compact(_bound(last, up_to))), first)
     whole = F.when(F.size("_words") > 0, F.array(F.struct(F.xxhash64(F.col("_words")).alias("hash"), F.lit(0).alias("place")))).otherwise(F.array().cast(_ANCHORS))
     return df.withColumn(out, F.when(F.size("_chosen") > 0, placed).otherwise(whole)).drop("_words", "_anchors", "_chosen")
 
@@ -83,19 +88,32 @@ def anchors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     return placed.filter("anchor is not null").withColumnRenamed("key", key)
 
 
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _likeness(a: str, b: str, sketch: int | None = SKETCH) -> Column:
     """The share of common hashes times the share of them that stand in one order."""
     one, two = F.col(f"{a}.hash"), F.col(f"{b}.hash")
-    union = F.array_union(one, two)
-    union = F.slice(F.sort_array(union), 1, sketch) if sketch else union
-    common = F.array_intersect(F.array_intersect(one, two), union)
-    # Of the common anchors, in the order of the first text: those whose place in the second one is after the last one's.
-    at = lambda side, hashes, h: F.get(F.col(f"{side}.place"), (F.array_position(hashes, h) - 1).cast("int"))
-    places = F.transform(F.array_sort(F.transform(common, lambda h: F.struct(at(a, one, h).alias("p"), at(b, two, h).alias("q")))), lambda s: s["q"])
-    n = F.size(common)
-    steps = F.when(n > 1, F.zip_with(F.slice(places, F.lit(1), n - 1), F.slice(places, F.lit(2), n - 1), lambda p, q: F.when(q >= p, 1).otherwise(0))).otherwise(F.array().cast("array<int>"))
-    ordered = F.when(n > 1, F.aggregate(steps, F.lit(0), lambda s, x: s + x) / F.greatest(n - 1, F.lit(1))).otherwise(F.lit(1.0))
-    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(n / F.greatest(F.size(union), F.lit(1)) * ordered)
+    union = F.sort_array(F.array_union(one, two))
+    union = F.slice(union, 1, sketch) if sketch else union
+
+    def places(common: Column) -> Column:
+        """Of the common anchors, in the order of the first text, the places in the second one."""
+        # Both lists are in the order of hashes, so their common parts belong together entry by entry.
+        own = lambda side: F.filter(side, lambda s: F.array_contains(common, s["hash"]))
+        return F.transform(F.sort_array(F.zip_with(own(a), own(b), lambda s, t: F.struct(s["place"].alias("p"), t["place"].alias("q")))), lambda s: s["q"])
+
+    def likeness(u: Column) -> Column:
+        return _bound(_bound(F.array_intersect(F.array_intersect(one, two), u), places), lambda q: F.size(q) / F.greatest(F.size(u), F.lit(1)) * ordered(q))
+
+    def ordered(q: Column) -> Column:
+        n = F.size(q)
+        later = F.filter(q, lambda x, i: (i > 0) & (x >= F.get(q, i - 1)))
+        return F.when(n > 1, F.size(later) / F.greatest(n - 1, F.lit(1))).otherwise(F.lit(1.0))
+
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(_bound(union, likeness))
 
 
 def _shown(fingerprint: str) -> Column:
