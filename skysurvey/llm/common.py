@@ -40,7 +40,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
     clean = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(clean)
+    before = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")
     try:
         df.write.parquet(path)

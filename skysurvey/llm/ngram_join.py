@@ -254,8 +254,12 @@ def shared_columns(blocks: DataFrame, groups: int) -> DataFrame:
             keep = (np.repeat(count > 1, count) | (rank == _TOP)) & (entries["doc"] != _TOKEN)
             shared = np.zeros(keep.sum(), _SHARED)
             shared["gram"], shared["doc"], shared["small"], shared["rank"] = entries["gram"][keep], entries["doc"][keep], entries["small"][keep], rank[keep]
+            del entries
             if len(shared):
                 out += [(k, 1, b) for k, b in _cut(shared["doc"] % groups, shared)]
+            del shared
+        del found, blobs
+        trim()
         return pa.table({"group": pa.array([o[0] for o in out], pa.int64()), "kind": pa.array([o[1] for o in out], pa.int32()), "data": pa.array([o[2] for o in out], pa.binary())})
 
     return blocks.groupBy("bucket").applyInArrow(bucket, "group bigint, kind int, data binary")
@@ -272,6 +276,7 @@ def bounded_rows(shared: DataFrame) -> DataFrame:
         rows = rows[_starts(rows["doc"])]
         found = [np.frombuffer(b, _SHARED) for b, k in zip(blobs, kinds) if k == 1]
         entries = np.concatenate(found) if found else np.zeros(0, _SHARED)
+        del found, blobs
         entries = entries[np.lexsort((entries["gram"], entries["rank"], entries["small"], entries["doc"]))]
         place = entries["doc"]
         small = entries["small"] == 1
@@ -288,6 +293,8 @@ def bounded_rows(shared: DataFrame) -> DataFrame:
                 if high > low and alone <= spare:
                     parts.append(entries["gram"][low : min(high, low + spare + 1 - alone)])
             kept.append(np.concatenate(parts).astype(np.int64) if parts else None)
+        del entries, place, small
+        trim()
         return pa.table({
             "doc": pa.array(rows["doc"]), "n": pa.array(rows["n"]), "x": pa.array(rows["x"].view(np.int64)), "y": pa.array(rows["y"].view(np.int64)),
             "short": pa.array(short, pa.bool_()), "grams": pa.array(kept, pa.list_(pa.int64())),
