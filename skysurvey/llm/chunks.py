@@ -9,13 +9,14 @@ texts are gathered from the chunks' ids in numpy.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from skysurvey.llm.bpe import Merger, WordSplitter, has_odd_space, is_plain
+from skysurvey.llm.bpe import SAFE_LAST, Merger, WordSplitter, has_odd_space, is_plain
 
 #: Entries of a generation of a worker's table of chunks, and the longest chunk kept.
 CACHE_ENTRIES = 200_000
@@ -133,8 +134,16 @@ class ChunkEncoder:
         return np.concatenate(parts), sizes
 
 
+def byte_letters() -> dict[str, str]:
+    """Of the letters of the plain code points, what the tokenizer's byte-level alphabet writes for their UTF-8 bytes."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in shown]
+    alphabet = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+    return {ch: "".join(alphabet[b] for b in ch.encode()) for ch in map(chr, range(SAFE_LAST + 1)) if ch.isalpha()}
+
+
 class LibraryLearner:
-    """Ids of chunks by the tokenizer library, many at a time."""
+    """Ids of chunks by the tokenizer library: chunks of letters are one word each for its model, others go through all its steps."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer, normalizers
@@ -142,16 +151,23 @@ class LibraryLearner:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        # The chunks are normalised already; a special string between them marks their ends.
+        # The chunks are normalised already.
         self.tokenizer.normalizer = normalizers.Sequence([])
-        self.mark = Merger(path).special
-        self.text, self.id = max(self.mark.items(), key=lambda x: x[1])
+        self.word = self.tokenizer.model.tokenize
+        self.letters = byte_letters()
 
     def __call__(self, chunks: list[str]) -> list[bytes]:
-        if not chunks:
-            return []
-        ids = np.array(self.tokenizer.encode(self.text.join(chunks), add_special_tokens=False).ids, "<u4")
-        ends = np.nonzero(ids == self.id)[0]
-        starts = np.concatenate([[0], ends + 1]).tolist()
-        data = ids.tobytes()
-        return [data[4 * a : 4 * b] for a, b in zip(starts, [*ends.tolist(), len(ids)])]
+        out: list[bytes] = []
+        rest: list[int] = []
+        word, letters = self.word, self.letters
+        for i, c in enumerate(chunks):
+            if c.isalpha() and (c.isascii() or all(x in letters for x in c)):
+                found = word(c if c.isascii() else "".join([letters[x] for x in c]))
+                out.append(array("I", [t.id for t in found]).tobytes())
+            else:
+                rest.append(i)
+                out.append(b"")
+        if rest:
+            for i, e in zip(rest, self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)):
+                out[i] = array("I", e.ids).tobytes()
+        return out
