@@ -48,6 +48,11 @@ def _string(v: Column) -> Column:
     return v.cast("string")
 
 
+def _in_folder(folder: Column, name: Column) -> Column:
+    """A path that is unique where names are not: file names cut capture numbers of more than six digits."""
+    return F.concat(_string(folder), lit("/"), name)
+
+
 # ---- readers -----------------------------------------------------------------
 
 
@@ -512,10 +517,10 @@ def renamed_dimensions(spark, sf_dir):
 @query("SELECT filename AS path, upper(filename) AS result, CASE WHEN ord % 256 > 127 THEN 255 ELSE 0 END AS mask FROM photos")
 def outside_steps(spark, sf_dir):
     """An outside program run on bytes, and a mask from a model's bytes."""
-    p = domain(spark, sf_dir, "photos")
-    done = C.external_step(p.select(c("filename").alias("path"), c("filename").cast("binary").alias("content")), bytes.upper)
-    masks = p.select(c("filename").alias("path"), C.mask_threshold(c("ord") % 256).alias("mask"))
-    return done.select("path", c("result").cast("string").alias("result")).join(masks, "path")
+    p = domain(spark, sf_dir, "photos").withColumn("path", _in_folder(c("ord"), c("filename")))
+    done = C.external_step(p.select("path", c("filename").cast("binary").alias("content")), bytes.upper)
+    masks = p.select("path", C.mask_threshold(c("ord") % 256).alias("mask"))
+    return done.select("path", c("result").cast("string").alias("result")).join(masks, "path").withColumn("path", F.substring_index("path", "/", -1))
 
 
 @query("""
