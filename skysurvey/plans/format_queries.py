@@ -249,7 +249,7 @@ def mesh_rewrite(spark, sf_dir):
 """)
 def nvm_rewrite(spark, sf_dir):
     """The images of scene files under new names."""
-    p = domain(spark, sf_dir, "photos").withColumn("file", F.floor(c("capture") / 100))
+    p = domain(spark, sf_dir, "photos").withColumn("file", F.floor(c("capture") / 100)).withColumn("filename", _in_folder(c("ord"), c("filename")))
     n = p.groupBy(_string(c("file")).alias("path")).agg(F.count("*").alias("n"))
     files = texts_by(p.withColumn("line", F.concat_ws(" ", "filename", lit("0.5"), _string(c("ord")))), "file", "line", "ord").join(n, "path")
     images = T.parse_nvm(files.select("path", _text("NVM_V3\n\n", _string(c("n")), "\n", c("text"), "\n0\n").alias("text")))

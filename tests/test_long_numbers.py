@@ -19,6 +19,6 @@ def folder(spark, tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["photo_masks", "epoch_photos", "outside_steps"])
+@pytest.mark.parametrize("name", ["photo_masks", "epoch_photos", "outside_steps", "nvm_rewrite"])
 def test_long_numbers_match_sql(spark, folder, name):
     assert spark_rows(catalog.QUERIES[name](spark, folder)) == duck_rows(connection(folder), catalog.ORACLE_SQL[name])
