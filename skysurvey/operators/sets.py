@@ -258,9 +258,9 @@ def mean_offset(x: Column, y: Column, ground_control: bool = False) -> list[Colu
 
 
 def valid_captures(photos: DataFrame, capture: str, expected: int, order: Sequence[str], digits: int = 4) -> DataFrame:
-    """Captures with the expected number of photos, numbered in order and padded."""
+    """Captures with the expected number of photos, numbered in order, equal ones by their id, and padded."""
     groups = photos.groupBy(capture).agg(F.count("*").alias("_n"), F.min(F.struct(*order)).alias("_o"))
-    good = ranked(groups.filter(F.col("_n") == expected), ["_o"], "number").select(capture, F.lpad(F.col("number").cast("string"), digits, "0").alias("number"))
+    good = ranked(groups.filter(F.col("_n") == expected), ["_o", capture], "number").select(capture, F.lpad(F.col("number").cast("string"), digits, "0").alias("number"))
     return photos.join(good, capture, "left").withColumn("valid", F.col("number").isNotNull())
 
 

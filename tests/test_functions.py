@@ -341,3 +341,26 @@ def test_hull_of_round_and_flat_outlines(spark):
     assert sorted(O.convex_hull(frame(ring + inner))) == sorted(O.monotone_chain(set(ring + inner)))
     assert O.convex_hull(frame([(0.0, 0.0), (1.0, 1.0), (2.0, 2.0), (None, 1.0)])) == [(0.0, 0.0), (2.0, 2.0)] and O.convex_hull(frame([(1.0, 1.0)] * 3)) == [(1.0, 1.0)]
     assert O.convex_hull(frame([(0.0, 0.0)]).limit(0)) == []
+
+
+def test_resample_leaves_out_cells_without_a_value(spark):
+    raster = spark.createDataFrame([(r, c, None if (r, c) == (1, 1) else 10.0 * r + c) for r in range(4) for c in range(4)], "row long, col long, value double")
+    samples = spark.createDataFrame([(1, 1.25, 1.5), (2, 1.25, 1.5), (3, 50.0, 50.0), (4, None, 1.0)], "id int, x double, y double")
+    got = {r.id: r.value for r in R.resample(samples, raster, "cubic").collect()}
+    assert got == {r.id: r.value for r in R.resample(samples, raster.filter("value IS NOT NULL"), "cubic").collect()}
+    assert got[1] == got[2] and 0 < got[1] < 40 and got[3] is None and got[4] is None
+
+
+def test_nearest_of_many_copies(spark):
+    n = 20_000
+    queries = spark.range(n).select("id", F.lit(1.0).alias("x"), F.lit(1.0).alias("y"))
+    points = spark.range(n).select(F.lit(1.5).alias("x"), F.lit(1.0).alias("y"), (F.col("id") % 40).alias("p"))
+    got = S.nearest(queries, points, "id", 3, 4.0, distinct=True)
+    assert got.count() == 3 * n and sorted((r.p, r["rank"]) for r in got.filter("id = 7").collect()) == [(0, 1), (1, 2), (2, 3)]
+    assert {(r.p, r["rank"]) for r in S.nearest(queries.limit(1), points, "id", 3, 4.0).collect()} == {(0, 1), (0, 2), (0, 3)}
+
+
+def test_equal_captures_are_numbered_by_their_id(spark):
+    photos = spark.createDataFrame([(k, "2024-01-01", "a.tif") for k in range(59, -1, -1)], "capture int, taken string, filename string").repartition(7)
+    got = {r.capture: r.number for r in S.valid_captures(photos, "capture", 1, ["taken", "filename"], 3).collect()}
+    assert got == {k: f"{k + 1:03d}" for k in range(60)}
