@@ -483,11 +483,11 @@ def merged_parts(spark, sf_dir):
     SELECT ord, row_number() OVER (ORDER BY width DESC, filename) AS by_radius, row_number() OVER (ORDER BY CASE WHEN band_name = 'Green' THEN 0 ELSE 1 END, ord) AS primary_first, row_number() OVER (ORDER BY filename) AS by_name FROM photos
 """)
 def run_orders(spark, sf_dir):
-    """Places of photos in the orders of runs: by falling size, the primary band first, and by name."""
+    """Places of photos in the orders of runs: by falling size, the primary band first, and by name; equal ones by their number."""
     p = domain(spark, sf_dir, "photos").select("ord", "width", "filename", "band_name")
-    p = C.in_order(p, {"radius": -c("width"), "name": c("filename")}, "by_radius")
+    p = C.in_order(p, {"radius": -c("width"), "name": c("filename"), "ord": c("ord")}, "by_radius")
     p = C.in_order(p, {"main": F.when(c("band_name") == "Green", 0).otherwise(1), "ord": c("ord")}, "primary_first")
-    return C.in_order(p, {"name": c("filename")}, "by_name").select("ord", "by_radius", "primary_first", "by_name")
+    return C.in_order(p, {"name": c("filename"), "ord": c("ord")}, "by_name").select("ord", "by_radius", "primary_first", "by_name")
 
 
 @query("SELECT * FROM (VALUES ('a', 0, 0, 80, 80), ('b', 40, 0, 80, 80), ('c', 0, 40, 80, 80), ('d', 30, 40, 80, 80), ('e', 60, 40, 80, 80)) AS v(name, x, y, width, height)")
