@@ -176,13 +176,15 @@ def asof_interpolate(queries: DataFrame, fixes: DataFrame, by: str, time: str, c
     return near.select(*queries.columns, *((F.col(f"_p.{c}") + (F.col(f"_n.{c}") - F.col(f"_p.{c}")) * share).alias(c) for c in columns))
 
 
-def nearest(queries: DataFrame, points: DataFrame, key: str, k: int, cell: float) -> DataFrame:
+def nearest(queries: DataFrame, points: DataFrame, key: str, k: int, cell: float, distinct: bool = False) -> DataFrame:
     """(key, x, y, point columns, distance, rank) of the k nearest points in the plane, of all where there are fewer.
 
     Points of a query's cell and the eight around it meet by equal cell keys. A query is
     done if k of them are nearer than the edge of these cells; the others go on with cells
     of twice the size, of the last round's results written to the shared folder. Queries
-    and points without a place are left out.
+    of one place share one search, and places of points are ranked before the points of the
+    first few: no more than k points of a place can be among the nearest. With distinct,
+    equal points count once. Queries and points without a place are left out.
     """
     c = F.col
     placed = "x IS NOT NULL AND y IS NOT NULL"
@@ -193,30 +195,37 @@ def nearest(queries: DataFrame, points: DataFrame, key: str, k: int, cell: float
     if not a[4] or not b[4]:
         return left.join(points.select(F.lit(None).cast("double").alias("_px"), F.lit(None).cast("double").alias("_py"), *extra), F.lit(False)).withColumn("distance", F.lit(0.0)).withColumn("rank", F.lit(0))
     extent = max(max(a[1], b[1]) - min(a[0], b[0]), max(a[3], b[3]) - min(a[2], b[2]))
-    least = min(k, b[4])
     renamed = points.withColumnsRenamed({"x": "_px", "y": "_py"})
+    here, there = ["x", "y"], ["_px", "_py"]
     step, size = F.sequence(F.lit(-1), F.lit(1)), cell
+    places = checkpointed(left.select(*here).distinct())
     done: DataFrame | None = None
-    while True:
+    while count := places.count():
         last = size > extent  # every point is in the cells around every query
         at = lambda v: F.floor(c(v) / size)  # noqa: E731, B023
-        near = left.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumn("_cx", at("x") + c("_dx")).withColumn("_cy", at("y") + c("_dy")).drop("_dx", "_dy")
-        found = near.join(renamed.withColumn("_cx", at("_px")).withColumn("_cy", at("_py")), ["_cx", "_cy"]).withColumn("distance", F.hypot(c("x") - c("_px"), c("y") - c("_py")))
-        order = Window.partitionBy(key).orderBy("distance", "_px", "_py", *extra)
-        found = found.withColumn("rank", F.row_number().over(order)).filter(c("rank") <= k)
+        near = places.withColumn("_dx", F.explode(step)).withColumn("_dy", F.explode(step)).withColumn("_cx", at("x") + c("_dx")).withColumn("_cy", at("y") + c("_dy")).drop("_dx", "_dy")
+        cells = near.select("_cx", "_cy").distinct()
+        close = renamed.withColumn("_cx", at("_px")).withColumn("_cy", at("_py")).join(F.broadcast(cells) if count <= 10_000 else cells, ["_cx", "_cy"], "left_semi")
+        first = Window.partitionBy(*there).orderBy(*(extra or there))
+        close = close.distinct() if distinct else close
+        close = checkpointed(close.withColumn("_i", F.row_number().over(first)).filter(c("_i") <= k))
+        spots = close.groupBy("_cx", "_cy", *there).agg(F.count("*").alias("_n"))
+        order = Window.partitionBy(*here).orderBy("distance", *there)
+        pairs = near.join(spots, ["_cx", "_cy"]).withColumn("distance", F.hypot(c("x") - c("_px"), c("y") - c("_py")))
+        pairs = pairs.withColumn("_r", F.row_number().over(order)).filter(c("_r") <= k)
+        before = F.coalesce(F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        pairs = pairs.withColumn("_before", before).filter(c("_before") < k).select(*here, *there, "distance", "_before")
+        found = pairs.join(close.select(*there, *extra, "_i"), there).withColumn("rank", (c("_before") + c("_i")).cast("int")).filter(c("rank") <= k)
         edge = size + F.least(*(f for v in "xy" for f in (F.pmod(c(v), F.lit(size)), size - F.pmod(c(v), F.lit(size)))))
-        safe = F.lit(True) if last else c("distance") <= edge
-        sure = F.sum(safe.cast("int")).over(Window.partitionBy(key)) >= least
-        found = found.withColumn("_sure", sure).drop("_cx", "_cy")
-        found = found if last else checkpointed(found)
+        sure = F.lit(True) if last else F.sum((c("distance") <= edge).cast("int")).over(Window.partitionBy(*here)) >= k
+        found = checkpointed(found.select(*here, *there, *extra, "distance", "rank", sure.alias("_sure")))
         fine = found.filter("_sure").drop("_sure")
         done = fine if done is None else done.unionByName(fine)
         if last:
-            return done
-        left = checkpointed(left.join(fine.select(key).distinct(), key, "left_anti").select(*left.columns))
-        if left.isEmpty():
-            return done
+            break
+        places = checkpointed(places.join(fine.select(*here).distinct(), here, "left_anti"))
         size *= 2
+    return left.join(done, here).select(*left.columns, *there, *extra, "distance", "rank")
 
 
 def range_anti(grid: DataFrame, points: DataFrame, distance: float) -> DataFrame:

@@ -174,8 +174,8 @@ def asof_positions(spark, sf_dir):
 """)
 def ground_heights(spark, sf_dir):
     """The median height of the 9 nearest points."""
-    p = domain(spark, sf_dir, "points").select("x", "y", "z").distinct()
-    return S.nearest(domain(spark, sf_dir, "gcp").select("id", "x", "y"), p, "id", 9, 4.0).groupBy("id").agg(F.round(F.median("z"), 6).alias("ground"))
+    p = domain(spark, sf_dir, "points").select("x", "y", "z")
+    return S.nearest(domain(spark, sf_dir, "gcp").select("id", "x", "y"), p, "id", 9, 4.0, distinct=True).groupBy("id").agg(F.round(F.median("z"), 6).alias("ground"))
 
 
 @query("""
