@@ -280,11 +280,17 @@ def resample(samples: DataFrame, raster: DataFrame, kernel_name: str) -> DataFra
     """Raster values at fractional (x, y) under a separable kernel, renormalised where neighbours are missing; null where none is there, or where their weights cancel out."""
     reach = {"near": 1, "bilinear": 1, "cubic": 2, "cubicspline": 2}.get(kernel_name, 3)
     step = F.sequence(F.lit(1 - reach), F.lit(reach))
-    near = samples.withColumn("_dr", F.explode(step)).withColumn("_dc", F.explode(step)).withColumn("row", F.floor("y") + F.col("_dr")).withColumn("col", F.floor("x") + F.col("_dc"))
-    w = kernel_weight(kernel_name, F.col("y") - F.col("row")) * kernel_weight(kernel_name, F.col("x") - F.col("col"))
-    hit = near.join(raster.select("row", "col", "value"), ["row", "col"]).withColumn("_w", w).filter("_w <> 0")
-    sums = hit.groupBy(*samples.columns).agg(F.when(F.abs(F.sum("_w")) > 1e-6, F.sum(F.col("value") * F.col("_w")) / F.sum("_w")).alias("value"))
-    return samples.join(sums, samples.columns, "left")
+    # Every cell goes to the places around it, of which there are fewer than samples; a sample then meets all its cells at once.
+    spread = raster.filter("value IS NOT NULL").select("row", "col", "value", F.explode(step).alias("_dr")).withColumn("_dc", F.explode(step))
+    around = spread.groupBy((F.col("row") - F.col("_dr")).alias("_r"), (F.col("col") - F.col("_dc")).alias("_c")).agg(F.sort_array(F.collect_list(F.struct("row", "col", "value"))).alias("_near"))
+
+    def term(n: Column) -> Column:
+        return F.struct((kernel_weight(kernel_name, F.col("y") - n["row"]) * kernel_weight(kernel_name, F.col("x") - n["col"])).alias("w"), n["value"].cast("double").alias("v"))
+
+    zero = F.struct(F.lit(0.0).alias("w"), F.lit(0.0).alias("v"))
+    sums = F.aggregate(F.filter(F.transform("_near", term), lambda t: t["w"] != 0), zero, lambda s, t: F.struct((s["w"] + t["w"]).alias("w"), (s["v"] + t["v"] * t["w"]).alias("v")))
+    found = samples.withColumn("_r", F.floor("y")).withColumn("_c", F.floor("x")).join(around, ["_r", "_c"], "left").withColumn("_s", sums)
+    return found.select(*samples.columns, F.when(F.abs("_s.w") > 1e-6, F.col("_s.v") / F.col("_s.w")).alias("value"))
 
 
 def contours(raster: DataFrame, interval: float) -> DataFrame:
