@@ -364,3 +364,10 @@ def test_equal_captures_are_numbered_by_their_id(spark):
     photos = spark.createDataFrame([(k, "2024-01-01", "a.tif") for k in range(59, -1, -1)], "capture int, taken string, filename string").repartition(7)
     got = {r.capture: r.number for r in S.valid_captures(photos, "capture", 1, ["taken", "filename"], 3).collect()}
     assert got == {k: f"{k + 1:03d}" for k in range(60)}
+
+
+def test_outliers_of_many_copies(spark):
+    n = 20_000
+    points = spark.range(n + 2).select("id", F.when(F.col("id") < n, 1.0).otherwise(F.col("id") - n + 3.0).alias("x"), F.lit(0.0).alias("y"))
+    got = {r.id: (r.mean_distance, r.keep) for r in O.outliers(points, "id", 4, 2.5, 8.0).filter(f"id IN (0, 7, {n}, {n + 1})").collect()}
+    assert got == {0: (0.0, True), 7: (0.0, True), n: (1.75, False), n + 1: (2.5, False)}
