@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts the lineage and survives lost executors.
+def written(df: DataFrame, tag: str, rows: int = 0) -> DataFrame:
+    """df as a Parquet table in the shared folder, with rows of so many rows a file at most: cuts the lineage and survives lost executors.
 
     The shuffle files of the job that writes it are given back at its end.
     """
@@ -43,7 +43,7 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     before = spark.conf.get(clean, "false")
     spark.conf.set(clean, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows).parquet(path)
     finally:
         spark.conf.set(clean, before)
     found = spark.read.schema(df.schema).parquet(path)

@@ -54,6 +54,11 @@ CHUNK = 1 << 16
 #: Bytes of text and windows for each task of a sort, about.
 SORT_BYTES = 16_000_000
 SORT_WINDOWS = 400_000
+#: Bytes of text that a Python worker turns into runs or into what is left at a time, and windows that it names at a time.
+SLICE_BYTES = 2_000_000
+SLICE_WINDOWS = 100_000
+#: Rows of a file of spans, so that the windows of a task's files, about 40 for each span, stay few.
+SPAN_ROWS = 20_000
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 2**63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -197,7 +202,7 @@ def named_runs(texts: DataFrame, threshold: int) -> DataFrame:
     """Step 1: the runs of (doc, text as bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, 1)):
+        for batch in (part for whole in batches for part in slices(whole, 1, SLICE_BYTES)):
             docs = batch.column(0).to_numpy(zero_copy_only=False)
             name, span, row, start, size, several = text_runs(batch.column(1).to_pylist(), threshold)
             made = [name.view(np.int64), span.view(np.int64), docs[row] if len(row) else row.astype(np.int64), start.astype(np.int64), size.astype(np.int32), several.astype(bool)]
@@ -270,21 +275,25 @@ def variant_spans(texts: DataFrame, settled: DataFrame, threshold: int) -> DataF
     return texts.join(variants, "doc").select("doc", F.explode(F.transform("runs", span)).alias("r")).select("r.name", "doc", "r.start", "r.size", "r.span")
 
 
-def span_windows(spans: DataFrame, threshold: int) -> DataFrame:
-    """Step 3: (name, window, doc, place) of every window of the spans."""
+def window_batches(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
+    """(name, window, doc, place) of every window of spans of at most ``threshold`` windows each, about SLICE_WINDOWS at a time."""
+    rows = max(SLICE_WINDOWS // threshold, 1)
+    for batch in (whole.slice(at, rows) for whole in batches for at in range(0, whole.num_rows, rows)):
+        size = batch.column(3).to_numpy().astype(np.int64)
+        data = batch.column(4).to_pylist()
+        begin = np.cumsum([0, *map(len, data)])[:-1]
+        order = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = np.repeat(begin, size) + order
+        window = windows(grams(np.frombuffer(b"".join(data), np.uint8)), at, threshold) if len(at) else np.zeros(0, np.uint64)
+        made = [np.repeat(batch.column(0).to_numpy(), size), window.view(np.int64), np.repeat(batch.column(1).to_numpy(), size), np.repeat(batch.column(2).to_numpy(), size) + order]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["name", "window", "doc", "place"])
+        del size, data, begin, order, at, window, made
+        trim()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            size = batch.column(3).to_numpy().astype(np.int64)
-            data = batch.column(4).to_pylist()
-            begin = np.cumsum([0, *map(len, data)])[:-1]
-            order = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            at = np.repeat(begin, size) + order
-            window = windows(grams(np.frombuffer(b"".join(data), np.uint8)), at, threshold) if len(at) else np.zeros(0, np.uint64)
-            made = [np.repeat(batch.column(0).to_numpy(), size), window.view(np.int64), np.repeat(batch.column(1).to_numpy(), size), np.repeat(batch.column(2).to_numpy(), size) + order]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], ["name", "window", "doc", "place"])
 
-    return spans.mapInArrow(run, "name bigint, window bigint, doc bigint, place bigint")
+def span_windows(spans: DataFrame, threshold: int) -> DataFrame:
+    """Step 3: (name, window, doc, place) of every window of the spans."""
+    return spans.mapInArrow(lambda batches: window_batches(batches, threshold), "name bigint, window bigint, doc bigint, place bigint")
 
 
 def _ranges(doc: np.ndarray, place: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -357,7 +366,7 @@ def repeated_ranges(texts: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     ranked = written(ranked_runs(runs, max(partitions(spark), -(-size // SORT_BYTES))), "suffix-ranked")
     discard(runs)
     settled = settled_runs(ranked)
-    spans = written(variant_spans(texts, settled, threshold), "suffix-spans")
+    spans = written(variant_spans(texts, settled, threshold), "suffix-spans", SPAN_ROWS)
     several = spans.agg(F.sum("size")).first()[0] or 0
     ranges = written(ranked_windows(span_windows(spans, threshold), max(partitions(spark), -(-several // SORT_WINDOWS)), threshold), "suffix-windows")
     discard(spans)
@@ -381,7 +390,7 @@ def _deduped(docs: DataFrame, key: str, text: str, full: bool) -> tuple[DataFram
     schema = ", ".join([*(f"{c} {flat.schema[c].dataType.simpleString()}" for c in columns), "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string", *(["kept string"] if full else [])])
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (part for whole in batches for part in slices(whole, n)):
+        for batch in (part for whole in batches for part in slices(whole, n, SLICE_BYTES)):
             out: list[tuple] = []
             for row, lows, highs in zip(*(batch.column(n + i).to_pylist() for i in range(3))):
                 kept, gone, spans = _kept(row, list(zip(lows or [], highs or [])))

@@ -49,11 +49,14 @@ def ship(spark: SparkSession) -> None:
     context._skysurvey_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what a Python worker holds of long texts, unless the session has its own batch size."""
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 8_000_000) -> None:
+    """Bound what a Python worker holds of long texts, by rows and bytes, unless the session has its own batch size."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if spark.conf.get(setting) == "10000":
         spark.conf.set(setting, str(rows))
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if setting not in spark.conf.getAll:
+        spark.conf.set(setting, str(size))
 
 
 _LOCAL: dict[str, str] = {}
