@@ -124,7 +124,7 @@ def reconstruction_text(spark, sf_dir):
     files = p.groupBy(_string(c("capture")).alias("path")).agg(F.to_json(F.array(scene)).alias("text"))
     cameras, shots, _ = T.parse_reconstruction(files)
     joined = shots.withColumnRenamed("camera", "key").join(cameras.select("path", c("camera").alias("key"), "width"), ["path", "key"])
-    order = F.regexp_extract("filename", r"_(\d+)_(\d)", 1).cast("long") * 5 + F.regexp_extract("filename", r"_(\d+)_(\d)", 2).cast("long") - 1
+    order = c("path").cast("long") * 5 + F.regexp_extract("filename", r"_(\d+)_(\d)", 2).cast("long") - 1  # the name cuts long capture numbers
     return joined.select("path", "filename", _text("cam", _string(order % 2)).alias("camera"), F.get("translation", lit(2)).alias("tz"), "gps_dop", "width")
 
 

@@ -19,6 +19,11 @@ def folder(spark, tmp_path_factory):
     return str(made)
 
 
-@pytest.mark.parametrize("name", ["photo_masks", "epoch_photos", "outside_steps", "nvm_rewrite"])
+@pytest.mark.parametrize("name", ["photo_masks", "epoch_photos", "outside_steps", "nvm_rewrite", "reconstruction_text"])
 def test_long_numbers_match_sql(spark, folder, name):
     assert spark_rows(catalog.QUERIES[name](spark, folder)) == duck_rows(connection(folder), catalog.ORACLE_SQL[name])
+
+
+def test_run_orders_break_ties_by_number(spark, folder):
+    sql = catalog.ORACLE_SQL["run_orders"].replace("width DESC, filename)", "width DESC, filename, ord)").replace("ORDER BY filename)", "ORDER BY filename, ord)")
+    assert spark_rows(catalog.QUERIES["run_orders"](spark, folder)) == duck_rows(connection(folder), sql)
