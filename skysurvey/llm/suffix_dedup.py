@@ -86,21 +86,22 @@ def grams(data: np.ndarray) -> np.ndarray:
     return names
 
 
+def _windows(names: np.ndarray, at: np.ndarray, size: int, level: int) -> np.ndarray:
+    """windows() at a level. No inner function of it: one that calls itself is a cycle that keeps names until Python collects its garbage."""
+    if size == GRAM:
+        return names[at]
+    half = GRAM
+    while half * 2 < size:
+        half *= 2
+    return _pair(_windows(names, at, half, level - 1), _windows(names, at + (size - half), half, level - 1), min(level, 7))
+
+
 def windows(names: np.ndarray, at: np.ndarray, threshold: int) -> np.ndarray:
     """Names of the threshold-byte strings at the given positions: pairs at growing offsets, the last one overlapping."""
     size, level = GRAM, 5
-
-    def name(at: np.ndarray, size: int, level: int) -> np.ndarray:
-        if size == GRAM:
-            return names[at]
-        half = GRAM
-        while half * 2 < size:
-            half *= 2
-        return _pair(name(at, half, level - 1), name(at + (size - half), half, level - 1), min(level, 7))
-
     while size < threshold:
         size, level = size * 2, level + 1
-    return name(at, threshold, level)
+    return _windows(names, at, threshold, level)
 
 
 def smallest(values: np.ndarray, width: int) -> np.ndarray:

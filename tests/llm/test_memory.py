@@ -1,5 +1,8 @@
 """What a Python worker holds at a time."""
 
+import gc
+import weakref
+
 import numpy as np
 import pyarrow as pa
 
@@ -23,3 +26,15 @@ def test_batches_are_bounded_by_bytes(spark):
     docs = spark.range(40).repartition(1).selectExpr("repeat('x', 1000000) AS text")
     sizes = docs.mapInArrow(lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long").collect()
     assert sum(r.n for r in sizes) == 40 and max(r.n for r in sizes) <= 10
+
+
+def test_windows_keeps_no_names_until_garbage_is_collected():
+    names = D.grams(np.arange(200, dtype=np.uint8))
+    kept = weakref.ref(names)
+    gc.disable()
+    try:
+        D.windows(names, np.arange(3), 100)
+        del names
+        assert kept() is None
+    finally:
+        gc.enable()
